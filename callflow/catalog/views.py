@@ -221,7 +221,8 @@ def oracle(body: str, *names: str, **extra: str) -> str:
     ctes = [(n, DUCK.get(n) or SHARED[n]) for n in _closure(list(names))] + list(extra.items())
     if not ctes:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in ctes) + "\n" + body
+    start = "WITH RECURSIVE " if "walk" in extra else "WITH "
+    return start + ",\n".join(f"{n} AS ({sql})" for n, sql in ctes) + "\n" + body
 
 
 class Tables:

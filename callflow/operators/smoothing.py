@@ -143,26 +143,27 @@ def gap_thresholds(gaps: DataFrame) -> DataFrame:
     """
     hist = gaps.where("gap_ms > 0").groupBy("call_id", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("call_id").orderBy("gap_ms").rowsBetween(W.unboundedPreceding, 0)
-    ranked = hist.withColumn("upto", F.sum("n").over(w)).join(
-        hist.groupBy("call_id").agg(F.sum("n").alias("total")), "call_id"
-    )
+    ranked = hist.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy("call_id")))
 
     def at(position: Column) -> Column:
         holds = (F.col("upto") > position) & (F.col("upto") - F.col("n") <= position)
         return F.max(F.when(holds, F.col("gap_ms")))
 
-    stats = ranked.groupBy("call_id").agg(
-        at(F.floor(F.col("total") / 2)).alias("median_ms"), at(F.floor(F.col("total") * 0.75)).alias("upper_ms")
-    )
-    high = stats.withColumn("high_ms", F.greatest(F.lit(TURN_GAP_MS), F.col("median_ms") * 3))
-    points = (
-        hist.join(high, "call_id").groupBy("call_id").agg(F.sum(F.when(F.col("gap_ms") >= F.col("high_ms"), F.col("n")).otherwise(0)).alias("points"))
-    )
-    return high.join(points, "call_id").select(
-        "call_id",
-        F.when(F.col("points") >= TURN_MIN_POINTS, F.col("high_ms"))
-        .otherwise(F.greatest(F.lit(TURN_GAP_LOW_MS), F.col("upper_ms")))
-        .alias("threshold_ms"),
+    high = F.greatest(F.lit(TURN_GAP_MS), F.col("median_ms") * 3)
+    # enough turn points exist when the third largest gap reaches the high threshold
+    return (
+        ranked.groupBy("call_id")
+        .agg(
+            at(F.floor(F.col("total") / 2)).alias("median_ms"),
+            at(F.floor(F.col("total") * 0.75)).alias("upper_ms"),
+            at(F.col("total") - TURN_MIN_POINTS).alias("third_ms"),
+        )
+        .select(
+            "call_id",
+            F.when(F.col("third_ms") >= high, high)
+            .otherwise(F.greatest(F.lit(TURN_GAP_LOW_MS), F.col("upper_ms")))
+            .alias("threshold_ms"),
+        )
     )
 
 
@@ -171,8 +172,10 @@ def number_silence_turns(words: DataFrame) -> DataFrame:
 
     Calls without a positive gap keep a single stretch.
     """
-    near = neighbours(words, CALL, ["word_idx"], index_block("word_idx"), ["end_ms"]).withColumn(
-        "gap_ms", F.col("start_ms") - F.col("prev_end_ms")
+    near = durable(
+        neighbours(words, CALL, ["word_idx"], index_block("word_idx"), ["end_ms"]).withColumn(
+            "gap_ms", F.col("start_ms") - F.col("prev_end_ms")
+        )
     )
     limits = gap_thresholds(near.select("call_id", "gap_ms"))
     flagged = near.join(limits, "call_id", "left").withColumn(
@@ -201,8 +204,8 @@ def split_by_silence(words: DataFrame) -> DataFrame:
     from callflow.operators.runs import collapse
 
     sizes = words.groupBy("call_id").agg(F.count(F.lit(1)).alias("call_words"))
-    numbered = number_silence_turns(words)
-    runs = collapse(numbered)
+    numbered = durable(number_silence_turns(words))
+    runs = durable(collapse(numbered))
     count = runs.groupBy("call_id").agg(F.max("run_idx").alias("last_run")).join(sizes, "call_id")
     labels = (
         alternate_speakers(runs)

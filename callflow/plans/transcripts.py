@@ -173,14 +173,14 @@ def assemble_transcripts(
     of lineage keep later branches from repeating the alignment.
     """
     spoken = durable(align_corpus(words, segments, chunks, dedupe_overlap))
-    numbered = runs.word_runs(spoken, F.col("chunk_idx"))
+    numbered = durable(runs.word_runs(spoken, F.col("chunk_idx")))
     sizes = runs.call_totals(runs.collapse(numbered))
     lone = sizes.where("call_speakers <= 1").select("call_id")
 
     many = numbered.join(lone, "call_id", "left_anti")
     # Calls heard as one speaker are cut at their silences instead.
     single = smoothing.number_silence_turns(spoken.join(lone, "call_id", "left_semi"))
-    stretches = runs.collapse(single)
+    stretches = durable(runs.collapse(single))
     span = stretches.groupBy("call_id").agg(F.max("run_idx").alias("_last"), F.sum("n_words").alias("_words"))
     split = (
         smoothing.alternate_speakers(stretches)
