@@ -482,7 +482,7 @@ def c11(t):
     )
     return merged.select(
         "request_id", F.col("document.fraud_detection.data_sufficient").alias("fraud_sufficient"),
-        F.col("document.agent_tasks.tasks")[0]["title"].alias("first_task"), F.col("document.agent_tasks").isNotNull().alias("has_tasks"),
+        F.get("document.agent_tasks.tasks", 0)["title"].alias("first_task"), F.col("document.agent_tasks").isNotNull().alias("has_tasks"),
     )
 
 
@@ -513,5 +513,5 @@ def k3(t):
     d = enrich.enrich(transcripts, t["cdr"], raw)
     return d.select(
         "request_id", F.col("document.fraud_detection.risk_level").alias("risk_level"), F.col("document.agent_scoring.overall_score").alias("overall_score"),
-        F.col("document.agent_tasks.task_count").alias("task_count"), F.col("document.agent_tasks.tasks")[0]["assigned_to"].alias("assigned_to"),
+        F.col("document.agent_tasks.task_count").alias("task_count"), F.get("document.agent_tasks.tasks", 0)["assigned_to"].alias("assigned_to"),
     )

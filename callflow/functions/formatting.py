@@ -64,21 +64,31 @@ def masked(key: Column) -> Column:
     return F.when(F.length(key) > 6, F.concat(F.substring(key, 1, 2), F.lit("..."), F.right(key, F.lit(4)))).otherwise("***")
 
 
+def one_decimal(x: Column) -> Column:
+    """One decimal, rounding the exact binary value and ties to even."""
+    n = F.rint(x * 20)
+    low = F.floor((n - 1) / 2)
+    rest = n - 16 * x  # exact; against 4x it tells on which side of the tie x lies
+    odd = F.when(rest > 4 * x, low).when(rest < 4 * x, low + 1).otherwise(low + low % 2)
+    tenths = F.when(n % 2 == 0, F.floor(n / 2)).otherwise(odd)
+    return F.format_string("%.1f", tenths / 10.0)
+
+
 def duration_text(seconds: Column) -> Column:
     return (
-        F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("s")))
-        .when(seconds < 3600, F.concat(F.format_string("%.1f", seconds / 60), F.lit("m")))
-        .otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit("h")))
+        F.when(seconds < 60, F.concat(one_decimal(seconds), F.lit("s")))
+        .when(seconds < 3600, F.concat(one_decimal(seconds / 60), F.lit("m")))
+        .otherwise(F.concat(one_decimal(seconds / 3600), F.lit("h")))
     )
 
 
 def size_text(size: Column) -> Column:
     out, value = None, size.cast("double")
     for unit in ("B", "KB", "MB", "GB"):
-        text = F.concat(F.format_string("%.1f", value), F.lit(f" {unit}"))
+        text = F.concat(one_decimal(value), F.lit(f" {unit}"))
         out = F.when(value < 1024, text) if out is None else out.when(value < 1024, text)
         value = value / 1024
-    return out.otherwise(F.concat(F.format_string("%.1f", value), F.lit(" TB")))
+    return out.otherwise(F.concat(one_decimal(value), F.lit(" TB")))
 
 
 def last_used_text(ts: Column, now: Column) -> Column:
