@@ -15,6 +15,14 @@ NULL_WORDS_CONTACT = ["null", "none", "n/a", "unknown"]
 TRUE_WORDS = ["true", "yes", "y", "1"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used.
+
+    Long rule chains would otherwise repeat their inputs in every branch.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -194,39 +194,46 @@ def enum_value(text: Column) -> Column:
     )
 
 
-def fraud_record(doc: Column) -> Column:
-    """Normalised fraud document with the consistency rules applied in order.
-
-    A value outside an enumeration replaces the whole record by the default.
-    """
-    ok = F.lit(True)
-    for name, allowed in FRAUD_ENUMS.items():
-        ok = ok & enum_value(doc[name]).isin(allowed)
+def _fraud_fields(doc: Column, ok: Column) -> Column:
+    """Every field normalised on its own; defaults where the record is not ok."""
+    empty = F.array().cast("array<string>")
+    nothing = F.lit(None).cast("string")
 
     def use(value: Column, default) -> Column:
-        return F.when(ok, value).otherwise(F.lit(default) if not isinstance(default, Column) else default)
-
-    v = {f: use(c.json_flag(doc[f]), False) for f in FRAUD_FLAGS}
-    for name in FRAUD_ENUMS:
-        v[name] = use(enum_value(doc[name]), "none")
-    risk = use(c.first_match(doc["risk_level"], RISK_RULES, "Low"), "Low")
-    confidence = use(c.unit_interval(doc["confidence_score"], 0.0), 0.0)
-    reasoning = use(F.coalesce(doc["reasoning"], F.lit("")), "")
-    reason = use(doc["reason"], F.lit(None).cast("string"))
-    empty = F.array().cast("array<string>")
-    sensitive = c.text_list(doc["sensitive_info_requested"], lower=True)
-    sensitive = use(F.when(F.size(sensitive) == 0, F.array(F.lit("none"))).otherwise(sensitive), F.array(F.lit("none")))
-    enough = use(F.coalesce(F.lower(doc["data_sufficient"]) != "false", F.lit(True)), True)
-    fallback = use(doc["fallback_reason"], F.lit(None).cast("string"))
+        return F.when(ok, value).otherwise(default if isinstance(default, Column) else F.lit(default))
+
+    sensitive = c.let(
+        c.text_list(doc["sensitive_info_requested"], lower=True),
+        lambda x: F.when(F.size(x) == 0, F.array(F.lit("none"))).otherwise(x),
+    )
+    fields = {f: use(c.json_flag(doc[f]), False) for f in FRAUD_FLAGS}
+    fields.update({name: use(enum_value(doc[name]), "none") for name in FRAUD_ENUMS})
+    fields.update(
+        risk_level=use(c.first_match(doc["risk_level"], RISK_RULES, "Low"), "Low"),
+        confidence_score=use(c.unit_interval(doc["confidence_score"], 0.0), 0.0),
+        reasoning=use(F.coalesce(doc["reasoning"], F.lit("")), ""),
+        reason=use(doc["reason"], nothing),
+        potential_fraud=use(F.when(doc["potential_fraud"].isNotNull(), c.json_flag(doc["potential_fraud"])), F.lit(None).cast("boolean")),
+        sensitive_info_requested=use(sensitive, F.array(F.lit("none"))),
+        evidence=use(c.distinct_in_order(doc["evidence"]), empty),
+        red_flags=use(c.distinct_in_order(doc["red_flags"]), empty),
+        data_sufficient=use(F.coalesce(F.lower(doc["data_sufficient"]) != "false", F.lit(True)), True),
+        fallback_reason=use(doc["fallback_reason"], nothing),
+        valid=ok & doc.isNotNull(),
+    )
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _empty(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) == ""
 
+
+def _fraud_rules(v: Column) -> Column:
+    """Consistency between the normalised fields, in their fixed order."""
     indicated = F.lit(False)
     for name in FRAUD_INDICATORS:
         indicated = indicated | v[name]
-    suspicious = v["suspicious_language"] | v["fraud_detected"]
-    potential = use(F.when(doc["potential_fraud"].isNotNull(), c.json_flag(doc["potential_fraud"])), F.lit(None).cast("boolean"))
-    detected = v["fraud_detected"] | F.coalesce(potential, F.lit(False)) | indicated
-    reason_out = F.when(reasoning != "", F.when(F.coalesce(reason, F.lit("")) == "", reasoning).otherwise(reason)).otherwise(reason)
-    reasoning_out = F.when((reasoning == "") & (F.coalesce(reason, F.lit("")) != ""), reason).otherwise(reasoning)
+    detected = v["fraud_detected"] | F.coalesce(v["potential_fraud"], F.lit(False)) | indicated
     category = F.when(
         detected & (v["fraud_category"] == "none"),
         F.when(v["impersonation_detected"], "impersonation")
@@ -236,30 +243,42 @@ def fraud_record(doc: Column) -> Column:
         .when(v["urgency_tactics"] | v["fear_tactics"] | v["authority_tactics"], "social_engineering")
         .otherwise("none"),
     ).otherwise(v["fraud_category"])
-    floor = F.when(category.isin("impersonation", "financial_fraud", "identity_phishing") & (risk == "Low"), "Medium").otherwise(risk)
-    level = F.when(v["policy_violation_detected"] & v["violation_type"].isin("threats", "coercion"), "High").otherwise(floor)
-    unsure = (confidence < 0.3) & (F.coalesce(fallback, F.lit("")) == "")
-    enough2 = enough & ~unsure
-    fallback2 = F.when(unsure, LOW_CONFIDENCE).otherwise(fallback)
-    reset = ~enough2 & ~indicated
-    out = dict(v)
-    out.update(
-        fraud_detected=detected & ~reset,
-        suspicious_language=suspicious,
-        fraud_category=category,
-        risk_level=F.when(reset, "Low").otherwise(level),
-        confidence_score=confidence,
-        sensitive_info_requested=sensitive,
-        evidence=use(c.distinct_in_order(doc["evidence"]), empty),
-        red_flags=use(c.distinct_in_order(doc["red_flags"]), empty),
-        reasoning=reasoning_out,
-        reason=reason_out,
-        potential_fraud=potential,
-        data_sufficient=enough2,
-        fallback_reason=F.when(reset & (F.coalesce(fallback2, F.lit("")) == ""), INSUFFICIENT).otherwise(fallback2),
-        valid=ok & doc.isNotNull(),
+    serious = category.isin("impersonation", "financial_fraud", "identity_phishing") & (v["risk_level"] == "Low")
+    level = F.when(v["policy_violation_detected"] & v["violation_type"].isin("threats", "coercion"), "High").otherwise(
+        F.when(serious, "Medium").otherwise(v["risk_level"])
     )
-    return F.struct(*[value.alias(name) for name, value in out.items()])
+    unsure = (v["confidence_score"] < 0.3) & _empty(v["fallback_reason"])
+    enough = v["data_sufficient"] & ~unsure
+    reset = ~enough & ~indicated
+    why = F.when(unsure, LOW_CONFIDENCE).when(reset & _empty(v["fallback_reason"]), INSUFFICIENT).otherwise(v["fallback_reason"])
+    changed = {
+        "fraud_detected": detected & ~reset,
+        "suspicious_language": v["suspicious_language"] | v["fraud_detected"],
+        "fraud_category": category,
+        "risk_level": F.when(reset, "Low").otherwise(level),
+        "reason": F.when(_empty(v["reason"]) & ~_empty(v["reasoning"]), v["reasoning"]).otherwise(v["reason"]),
+        "reasoning": F.when(_empty(v["reasoning"]) & ~_empty(v["reason"]), v["reason"]).otherwise(v["reasoning"]),
+        "data_sufficient": enough,
+        "fallback_reason": why,
+    }
+    names = [*FRAUD_FLAGS, *FRAUD_ENUMS, "risk_level", "confidence_score", "reasoning", "reason", "potential_fraud",
+             "sensitive_info_requested", "evidence", "red_flags", "data_sufficient", "fallback_reason", "valid"]
+    return F.struct(*[changed.get(n, v[n]).alias(n) for n in names])
+
+
+def fraud_record(doc: Column) -> Column:
+    """Normalised fraud document with the consistency rules applied in order.
+
+    A value outside an enumeration replaces the whole record by the default.
+    """
+
+    def fields(d: Column) -> Column:
+        ok = F.lit(True)
+        for name, allowed in FRAUD_ENUMS.items():
+            ok = ok & enum_value(d[name]).isin(allowed)
+        return c.let(ok, lambda good: _fraud_fields(d, good))
+
+    return c.let(c.let(doc, fields), _fraud_rules)
 
 
 def scoring_record(doc: Column) -> Column:

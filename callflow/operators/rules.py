@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from callflow.functions import lexicons as lx
 from callflow.functions import records
@@ -22,7 +23,7 @@ def score_batch(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt:
     A batch that fails as a whole is retried row by row, so one bad prompt
     does not lose its neighbours.
     """
-    schema = df.schema.add(out, "string").add("error", "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -48,7 +49,7 @@ def stub_scorer(prompts: list[str]) -> list[str]:
 
 def fraud_signals(text: Column) -> Column:
     """Indicator and evidence per tactic; short calls lack data."""
-    hits = {name: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(" + lx.pattern(p) + ")"), 1)) for name, p in lx.FRAUD_LEXICON.items()}
+    hits = {name: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + lx.pattern(p) + r")\b"), 1)) for name, p in lx.FRAUD_LEXICON.items()}
     found = {name: F.size(h) > 0 for name, h in hits.items()}
     return F.struct(
         *[found[n].alias(n) for n in hits],
@@ -66,8 +67,6 @@ def fraud_from_signals(s: Column) -> Column:
         "identity_verification_request": s["sensitive_info"], "high_pressure_tactics": s["pressure"],
         "policy_violation_detected": s["threats"], "data_sufficient": s["data_sufficient"],
     }
-    from pyspark.sql.types import StructType
-
     named = {k: v.cast("string") for k, v in fields.items()}
     named["violation_type"] = F.when(s["threats"], "threats")
     named["confidence_score"] = F.least(F.lit(0.9), F.lit(0.5) + 0.1 * strong).cast("string")
