@@ -162,7 +162,7 @@ def aligned_local(t):
 
 
 def aligned(t):
-    return align.place_words(aligned_local(t), t["chunks"])
+    return transcripts.align_corpus(t["chunk_words"], t["segments"], t["chunks"])
 
 
 @query(
@@ -210,7 +210,8 @@ def g1(t):
     "words",
 )
 def l1(t):
-    return align.place_words(t["chunk_words"], t["chunks"], dedupe_overlap=True).select(
+    once = align.drop_repeated(t["chunk_words"], t["chunks"])
+    return align.place_words(once, align.chunk_offsets(once, t["chunks"])).select(
         "call_id", F.col("spoken_idx").alias("word_idx"), "text", "start_ms", "end_ms"
     )
 

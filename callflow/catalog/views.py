@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callflow.operators.sequence import number_rows, running_sum
-from callflow.session import prepare
+from callflow.session import durable, prepare
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -256,6 +256,12 @@ class Tables:
         return self.spark.sql(text)
 
     def _user_turns(self) -> DataFrame:
+        # one row per turn, read by most views: written once instead of redone
+        if "user_turns" not in self._read:
+            self._read["user_turns"] = durable(self._placed_turns())
+        return self._read["user_turns"]
+
+    def _placed_turns(self) -> DataFrame:
         turns = self.base("conversations").select(
             F.col("conv_id").alias("call_id"),
             "turn",

@@ -153,29 +153,34 @@ def dominant_speaker(chunk_segments: DataFrame, keys: Sequence[str] = CHUNK) ->
     return per.groupBy(*keys).agg(F.max_by("speaker", best).alias("speaker"), F.max("covered_ms").alias("covered_ms"))
 
 
-def place_words(words: DataFrame, chunks: DataFrame, dedupe_overlap: bool = False) -> DataFrame:
-    """Concatenate chunk words: call-wide index and global times.
-
-    The offset of a chunk is a prefix sum over chunk rows, so no window ever
-    sees the words of a whole call. ``dedupe_overlap`` drops words that start
-    in a chunk's tail and are repeated at the head of the next chunk.
-    """
+def drop_repeated(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Without words that start in a chunk's tail and recur in the next chunk."""
     spans = chunks.select(*CHUNK, F.col("start_ms").alias("_from")).withColumn(
         "_next", F.lead("_from").over(W.partitionBy("call_id").orderBy("chunk_idx"))
     )
-    rows = words
-    if dedupe_overlap:
-        rows = rows.join(spans, CHUNK).where(
-            F.col("_next").isNull() | (F.col("start_ms") + F.col("_from") < F.col("_next"))
-        ).drop("_from", "_next")
-    # max(pos) + 1 keeps room for every position that occurs in the chunk
-    counts = rows.groupBy(*CHUNK).agg((F.max("pos") + 1).alias("_n"))
-    offsets = counts.withColumn(
-        "_offset",
-        F.sum("_n").over(W.partitionBy("call_id").orderBy("chunk_idx").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"),
-    ).join(spans.drop("_next"), CHUNK)
     return (
-        rows.join(offsets.drop("_n"), CHUNK)
+        words.join(spans, CHUNK)
+        .where(F.col("_next").isNull() | (F.col("start_ms") + F.col("_from") < F.col("_next")))
+        .drop("_from", "_next")
+    )
+
+
+def chunk_offsets(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Start time and number of preceding words of every chunk with words.
+
+    A prefix sum over chunk rows: no window ever sees the words of a call.
+    """
+    counts = words.groupBy(*CHUNK).agg((F.max("pos") + 1).alias("_n"))
+    before = W.partitionBy("call_id").orderBy("chunk_idx").rowsBetween(W.unboundedPreceding, -1)
+    return counts.join(chunks.select(*CHUNK, F.col("start_ms").alias("_from")), CHUNK).select(
+        *CHUNK, "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+
+
+def place_words(words: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Concatenate chunk words: call-wide index and global times."""
+    return (
+        words.join(offsets, CHUNK)
         .withColumn("word_idx", F.col("pos") + F.col("_offset"))
         .withColumn("start_ms", F.col("start_ms") + F.col("_from"))
         .withColumn("end_ms", F.col("end_ms") + F.col("_from"))

@@ -125,13 +125,15 @@ def align_corpus(words: DataFrame, segments: DataFrame, chunks: DataFrame, dedup
             F.round("end_ms").cast("long").alias("end_ms"),
         )
         local = local.unionByName(guessed)
-    placed = align.align_words(local, align.clip_segments(segments, chunks))
-    return align.place_words(placed, chunks, dedupe_overlap)
+    if dedupe_overlap:
+        local = align.drop_repeated(local, chunks)
+    aligned = align.align_words(local, align.clip_segments(segments, chunks))
+    return align.place_words(aligned, align.chunk_offsets(local, chunks))
 
 
 def talk_and_turns(words: DataFrame, segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """Talk time, turns and words per speaker and call."""
-    spoken = align_corpus(words, segments, chunks)
+    spoken = durable(align_corpus(words, segments, chunks))
     return (
         runs.speaker_runs(spoken, F.col("chunk_idx"))
         .groupBy("call_id", "speaker")
