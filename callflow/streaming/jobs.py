@@ -78,10 +78,11 @@ class StuckJobs(StatefulProcessor):
             self._handle.deleteTimer(timer)
         if last.status in ("pending", "processing"):
             self._handle.registerTimer(int(last.ts.timestamp() * 1000) + self._wait_ms)
-        yield pd.DataFrame({"job_id": [], "status": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"job_id": [key[0]], "status": [self._status.get()[0]]})
+        waited_since = expired_timer_info.get_expiry_time_in_ms() - self._wait_ms
+        yield pd.DataFrame({"job_id": [int(key[0])], "last_change_ms": [int(waited_since)]})
 
     def close(self) -> None:
         pass
@@ -92,7 +93,7 @@ def stuck_job_stream(changes: DataFrame, seconds: int = STUCK_SECONDS, lateness:
         changes.withWatermark("ts", lateness)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=StuckJobs(seconds), outputStructType="job_id long, status string", outputMode="Append", timeMode="EventTime"
+            statefulProcessor=StuckJobs(seconds), outputStructType="job_id long, last_change_ms long", outputMode="Append", timeMode="EventTime"
         )
     )
 
