@@ -78,7 +78,7 @@ class AdmissionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._admitted = handle.getListState("admitted", "us long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         admitted = sorted(int(r[0]) for r in self._admitted.get())
         batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
         out = []

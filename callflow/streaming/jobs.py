@@ -71,7 +71,7 @@ class StuckJobs(StatefulProcessor):
         self._handle = handle
         self._status = handle.getValueState("status", "status string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = pd.concat(list(rows)).sort_values("ts").iloc[-1]
         self._status.update((last.status,))
         for timer in list(self._handle.listTimers()):
@@ -80,8 +80,8 @@ class StuckJobs(StatefulProcessor):
             self._handle.registerTimer(int(last.ts.timestamp() * 1000) + self._wait_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        waited_since = expired_timer_info.get_expiry_time_in_ms() - self._wait_ms
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waited_since = expiredTimerInfo.get_expiry_time_in_ms() - self._wait_ms
         yield pd.DataFrame({"job_id": [int(key[0])], "last_change_ms": [int(waited_since)]})
 
     def close(self) -> None:
