@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callflow.operators.sequence import join_texts
+from callflow.session import durable
 
 PIECE_WORDS = 4096
 PART_WORDS = 131072  # words one document row covers; more than a five-hour call
@@ -70,10 +71,11 @@ def sentence_lines(pieces: DataFrame) -> DataFrame:
     The rule is a small state machine (words in the open line), so a run of
     several pieces composes their transitions to know how each one starts.
     """
-    many = F.count(F.lit(1)).over(W.partitionBy("call_id", "run_idx")) > 1
+    pieces = durable(pieces)
+    run = ["call_id", "run_idx"]
+    several = pieces.groupBy(*run).agg(F.max("piece").alias("_top")).where("_top > 0").select(*run)
     long_runs = (
-        pieces.select("call_id", "run_idx", "piece", "texts", many.alias("_many"))
-        .where("_many")
+        pieces.join(several, run, "left_semi")
         .select("call_id", "run_idx", F.struct("piece", _transfer(F.col("texts")).alias("move")).alias("m"))
         .groupBy("call_id", "run_idx")
         .agg(F.array_sort(F.collect_list("m")).alias("moves"))

@@ -81,7 +81,7 @@ class StuckJobs(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waited_since = expiredTimerInfo.get_expiry_time_in_ms() - self._wait_ms
+        waited_since = expiredTimerInfo.getExpiryTimeInMs() - self._wait_ms
         yield pd.DataFrame({"job_id": [int(key[0])], "last_change_ms": [int(waited_since)]})
 
     def close(self) -> None:
