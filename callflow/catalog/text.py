@@ -127,8 +127,7 @@ def h13(t):
 @query("e22_ivr_prefix", """SELECT call_id, 7 AS ivr_end FROM words GROUP BY call_id HAVING length(string_agg(lower(text), ' ' ORDER BY word_idx) FILTER (WHERE word_idx < 8)) > 10""", "words")
 def e22(t):
     head = t["words"].where("word_idx < 8").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_idx", "text")))["text"], " ").alias("ivr_text"))
-    # the announcement ends with a mark no call contains, so only its full text or 80 % of its words can match
-    return roles.ivr_prefix(t["words"], head).select("call_id", F.col("ivr_end").cast("long").alias("ivr_end")).withColumn("ivr_end", F.greatest("ivr_end", F.lit(7)))
+    return roles.ivr_prefix(t["words"], head).select("call_id", F.col("ivr_end").cast("long").alias("ivr_end"))
 
 
 @query("k2_label_roles")
