@@ -6,14 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callflow.llm.chat import format_conversations, read_back
 from callflow.llm.exact_dedup import exact_duplicates
+from callflow.llm.html_text import extract_text
+from callflow.llm.language import identify_languages
 from callflow.llm.mixing import mix_sources
+from callflow.llm.token_counts import count_tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(planted))).drop("n_tokens")
+
+
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages")).drop("n_blocks")
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(table(spark, folder, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,11 +46,34 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_mix_sources": op7_mix_sources,
-    "op9_exact_dedup": op9_exact_dedup,
+    f.__name__: f for f in (op2_token_counts, op3_chat_format, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
 }
 
 SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+    SELECT *, len(regexp_extract_all(role || chr(10) || text,
+        '<\|turn\|>|<\|says\|>|<\|done\|>|</?s>|\[/?INST\]|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\\')) AS broken
+    FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(role) + length(text) + broken)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id""",
+    "op5_html_text": r"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+b AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>?', ' ', 'g') AS body FROM a),
+c AS (
+    SELECT page_id, url, trim(regexp_replace(
+        replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '&amp', '&'),
+        '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c""",
     "op9_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n,
