@@ -64,6 +64,8 @@ def train(data: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
             x, n = data[take].astype(np.int64), len(take)
+            short = rng.random(n) < 0.4  # texts shorter than a window must be told apart too
+            x[short[:, None] & (np.arange(WINDOW) >= rng.integers(8, WINDOW + 1, n)[:, None])] = 0
             emb = p["e"][x]
             pooled, where = [], []
             for w in WIDTHS:
