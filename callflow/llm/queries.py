@@ -11,6 +11,7 @@ from callflow.llm.exact_dedup import exact_duplicates
 from callflow.llm.html_text import extract_text
 from callflow.llm.language import identify_languages
 from callflow.llm.mixing import mix_sources
+from callflow.llm.simhash import near_duplicates
 from callflow.llm.token_counts import count_tokens
 
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"))
 
@@ -46,7 +51,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_chat_format, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
+    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
 }
 
 SQL: dict[str, str] = {
