@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callflow.llm.chat import format_conversations, read_back
+from callflow.llm.decontaminate import contaminated
 from callflow.llm.exact_dedup import exact_duplicates
 from callflow.llm.html_text import extract_text
 from callflow.llm.language import identify_languages
@@ -34,6 +35,10 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(planted))).drop("n_tokens")
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages")).drop("n_blocks")
 
@@ -51,7 +56,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
+    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
 }
 
 SQL: dict[str, str] = {
