@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callflow.llm.chat import format_conversations, read_back
 from callflow.llm.decontaminate import contaminated
@@ -12,6 +13,7 @@ from callflow.llm.exact_dedup import exact_duplicates
 from callflow.llm.html_text import extract_text
 from callflow.llm.language import identify_languages
 from callflow.llm.mixing import mix_sources
+from callflow.llm.repeats import remove_repeats
 from callflow.llm.simhash import near_duplicates
 from callflow.llm.token_counts import count_tokens
 
@@ -55,8 +57,19 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    done = remove_repeats(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup)
+    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup, op10_repeated_bytes)
 }
 
 SQL: dict[str, str] = {
