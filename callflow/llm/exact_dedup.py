@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callflow.llm.shared import SPACE_BYTES, documents, stored
+from callflow.llm.shared import SPACE_BYTES, documents, row_id, rows_of, stored
 
 #: Leading bits of the key that the directory may use at most: 65,536 slots.
 DIRECTORY_BITS = 16
@@ -30,7 +30,7 @@ BUCKET_BYTES = 8 << 20
 REMEMBERED_BYTES = 64 << 20
 
 ENTRY = "struct<points: long, doc_id: long, row: long>"
-INDEX = "entry long, row long, doc_id long, key long, best " + ENTRY + ", copies long, body binary, sha string"
+INDEX = "entry long, row long, doc_id long, rid binary, key long, best " + ENTRY + ", copies long, body binary, sha string"
 SETTLED = "entry long, keep_id long, keep_row long, group_size long, sha string"
 
 
@@ -46,7 +46,7 @@ def table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 ENTRY_TYPE = pa.struct([("points", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64())])
 INDEX_SCHEMA = pa.schema(
-    [("entry", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("best", ENTRY_TYPE), ("copies", pa.int64()), ("body", pa.binary()), ("sha", pa.string())]
+    [("entry", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.binary()), ("key", pa.int64()), ("best", ENTRY_TYPE), ("copies", pa.int64()), ("body", pa.binary()), ("sha", pa.string())]
 )
 SETTLED_SCHEMA = pa.schema([("entry", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("sha", pa.string())])
 
@@ -61,12 +61,12 @@ def write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row, chains, held = base, {}, 0
 
     def entries() -> pa.RecordBatch:
-        out = [(e[1], None, None, k, dict(zip(("points", "doc_id", "row"), e[2], strict=True)), e[3], e[0], hashlib.sha256(e[0]).hexdigest()) for k, c in chains.items() for e in c]
+        out = [(e[1], None, None, None, k, dict(zip(("points", "doc_id", "row"), e[2], strict=True)), e[3], e[0], hashlib.sha256(e[0]).hexdigest()) for k, c in chains.items() for e in c]
         return table(out, INDEX_SCHEMA)
 
     for batch in batches:
         members = []
-        for doc_id, points, text in zip(batch["doc_id"].to_pylist(), batch["points"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+        for doc_id, rid, points, text in zip(batch["doc_id"].to_pylist(), batch["rid"].to_pylist(), batch["points"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
             body = text.translate(None, SPACE_BYTES)
             chain = chains.setdefault(signed(xxhash.xxh3_64_intdigest(body)), [])
             mine = (points, doc_id, row)
@@ -77,7 +77,7 @@ def write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif better(mine, entry[2]):
                 entry[2] = mine
             entry[3] += 1
-            members.append((entry[1], row, doc_id, None, None, None, None, None))
+            members.append((entry[1], row, doc_id, rid, None, None, None, None, None))
             row += 1
         yield table(members, INDEX_SCHEMA)
         if held > REMEMBERED_BYTES:
@@ -137,19 +137,11 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield table(settled(), SETTLED_SCHEMA)
 
 
-def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. The row
-    with the most code points stays, then the smallest doc_id (null last), then
-    the first one read, so exactly one row of a class has ``kept``.
-
-    Null text counts as empty; all empty texts are one class. Repeated rows are
-    members of their class. Empty table: no rows. Other columns are ignored.
-    A text that a third of all rows share gives one entry per partition.
-    """
+def classes(docs: DataFrame, bucket_bytes: int) -> DataFrame:
+    """doc_id, rid, keep_id, group_size, kept, text_sha256 of every row."""
     d = documents(docs)
-    read = d.select("doc_id", F.length("text").cast("long").alias("points"), "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    d = d.withColumn("doc_id", d["doc_id"].cast("long"))
+    read = d.select("doc_id", row_id(d).alias("rid"), F.length("text").cast("long").alias("points"), "text")
     index = stored(read.mapInArrow(write_index, INDEX))
     entries = index.where(F.col("key").isNotNull())
     slot = F.shiftrightunsigned("key", 64 - DIRECTORY_BITS)
@@ -161,8 +153,27 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     placed = entries.select("key", "entry", "best", "copies", "body", "sha", at.alias("slot")).join(F.broadcast(owners), "slot")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     owned = placed.drop("slot").repartition(parts, "bucket").sortWithinPartitions("bucket", "key")
-    classes = owned.select("key", "entry", "best", "copies", "body", "sha").mapInArrow(settle, SETTLED)
-    members = index.where(F.col("key").isNull()).select("entry", "row", "doc_id")
-    return members.join(classes, "entry").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
+    settled = owned.select("key", "entry", "best", "copies", "body", "sha").mapInArrow(settle, SETTLED)
+    members = index.where(F.col("key").isNull()).select("entry", "row", "doc_id", "rid")
+    return members.join(settled, "entry").select(
+        "doc_id", "rid", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. The row
+    with the most code points stays, then the smallest doc_id (null last), then
+    the first one read, so exactly one row of a class has ``kept``.
+
+    Null text counts as empty; all empty texts are one class. Repeated rows are
+    members of their class. Empty table: no rows. Other columns are ignored.
+    A text that a third of all rows share gives one entry per partition.
+    """
+    return classes(docs, bucket_bytes).drop("rid")
+
+
+def unique(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay."""
+    return rows_of(docs, classes(docs, bucket_bytes).where("kept"))

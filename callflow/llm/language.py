@@ -104,6 +104,8 @@ class Predictor:
 
     def __init__(self, net: Network):
         self.net = net
+        if not net.languages:
+            return
         first, second, third = [], [], []
         for w, f in zip(WIDTHS, net.filters, strict=True):
             t = [net.embedding @ f[j] for j in range(w)]
@@ -115,6 +117,25 @@ class Predictor:
         self.head = pair(np.concatenate(first, axis=1), np.concatenate(second, axis=1))
         self.tail = pair(np.concatenate([a for a, _ in third], axis=1), np.concatenate([b for _, b in third], axis=1))
 
+    def texts(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each whole text."""
+        names, scores = [], []
+        for at in range(0, len(texts), 256):
+            part = texts.slice(at, 256)
+            known = [bool(self.net.languages and t and LETTER.search(t)) for t in part.to_pylist()]
+            chosen = [windows(t) for t, k in zip(part.cast(pa.binary()).to_pylist(), known, strict=True) if k]
+            if chosen:
+                stacked = np.concatenate(chosen)
+                weights = (stacked != 0).sum(axis=1, keepdims=True).astype(float)
+                starts = np.cumsum([0, *map(len, chosen[:-1])])
+                means = np.add.reduceat(self.probabilities(stacked) * weights, starts) / np.maximum(np.add.reduceat(weights, starts), 1)
+                best = iter(zip(means.argmax(axis=1).tolist(), means.max(axis=1).tolist(), strict=True))
+            for k in known:
+                i, s = next(best) if k else (None, 0.0)
+                names.append(self.net.languages[i] if k else "und")
+                scores.append(min(1.0, max(0.0, s)))
+        return names, scores
+
     def probabilities(self, data: np.ndarray) -> np.ndarray:
         """Probability of each language for each window."""
         out = []
@@ -165,7 +186,7 @@ def fit(labelled: DataFrame, per_language: int = 400, per_text: int = 6, seed: i
     with a null language or no text teach nothing.
     """
     data, labels, languages = sample_windows(labelled, per_language, per_text, seed)
-    return train(data, labels, languages, seed=seed) if languages else Network([], *[np.zeros(0)] * 1, [], *[np.zeros(0)] * 3)
+    return train(data, labels, languages, seed=seed) if languages else Network([], np.zeros(0), [], *[np.zeros(0)] * 3)
 
 
 def predict(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
@@ -181,25 +202,9 @@ def predict(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
     rows = documents(docs, *keep)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        predictor = Predictor(net) if net.languages else None
+        predictor = Predictor(shared.value)
         for batch in batches:
-            names, scores = [], []
-            for at in range(0, len(batch), 256):
-                part = batch["text"].slice(at, 256)
-                known = [bool(predictor and LETTER.search(t)) for t in part.to_pylist()]
-                cut = [windows(t) if k else None for t, k in zip(part.cast(pa.binary()).to_pylist(), known, strict=True)]
-                chosen = [w for w in cut if w is not None]
-                if chosen:
-                    stacked = np.concatenate(chosen)
-                    weights = (stacked != 0).sum(axis=1, keepdims=True).astype(float)
-                    starts = np.cumsum([0, *map(len, chosen[:-1])])
-                    means = np.add.reduceat(predictor.probabilities(stacked) * weights, starts) / np.maximum(np.add.reduceat(weights, starts), 1)
-                    best = iter(zip(means.argmax(axis=1).tolist(), means.max(axis=1).tolist(), strict=True))
-                for k in known:
-                    i, s = next(best) if k else (None, 0.0)
-                    names.append(net.languages[i] if k else "und")
-                    scores.append(min(1.0, max(0.0, s)))
+            names, scores = predictor.texts(batch["text"])
             rest = [batch[n] for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [n for n in batch.schema.names if n != "text"] + ["lang_pred", "score"])
 
@@ -207,6 +212,20 @@ def predict(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
     return rows.mapInArrow(apply, f"{schema}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network, least: float) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text has a language, with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    text = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            names, scores = predictor.texts(batch.column(text))
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is left out of training: crc32 of its id as text is a multiple of 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

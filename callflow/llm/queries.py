@@ -13,6 +13,7 @@ from callflow.llm.exact_dedup import exact_duplicates
 from callflow.llm.html_text import extract_text
 from callflow.llm.language import identify_languages
 from callflow.llm.mixing import mix_sources
+from callflow.llm.quality import classify_quality
 from callflow.llm.repeats import remove_repeats
 from callflow.llm.simhash import near_duplicates
 from callflow.llm.token_counts import count_tokens
@@ -53,6 +54,10 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -69,7 +74,7 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op9_exact_dedup, op10_repeated_bytes)
+    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op8_quality, op9_exact_dedup, op10_repeated_bytes)
 }
 
 SQL: dict[str, str] = {

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callflow.llm.shared import documents, stored
+from callflow.llm.shared import documents, row_id, stored
 
 LENGTH = 400
 #: Bytes scanned at a time; positions within them take PLACE bits.
@@ -230,11 +230,6 @@ def repeated_runs(spans: list[bytes], weights: list[int], length: int) -> list[t
     return list(zip(of.tolist(), (first - base).tolist(), (last - base).tolist(), strict=True))
 
 
-def row_id(df: DataFrame):
-    """Digest of id and text; rows that agree in both share it."""
-    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(df["doc_id"].cast("string"), F.lit("?")), df["text"]))).alias("rid")
-
-
 GROUP = {
     "key": pa.int64(), "origin": pa.int64(), "span": pa.int64(), "weight": pa.int64(), "at": pa.int32(), "anchor": pa.int32(), "low": pa.int32(), "high": pa.int32(), "body": pa.binary()
 }
@@ -375,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     d = documents(docs)
     d = d.withColumn("doc_id", d["doc_id"].cast("long"))
-    d = d.select("doc_id", "text", row_id(d))
+    d = d.select("doc_id", "text", row_id(d).alias("rid"))
     long_enough = d.where(F.octet_length("text") >= length)
     keys = long_enough.select("text").mapInArrow(scan(length, False), "key long")
     shared = keys.groupBy("key").count().where("count > 1").select("key")

@@ -39,3 +39,14 @@ def only(df: DataFrame, *names: str) -> list[Column]:
 def documents(df: DataFrame, *names: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and further named columns, nothing else."""
     return df.select(df["doc_id"].alias("doc_id"), F.coalesce(df["text"], F.lit("")).alias("text"), *only(df, *names))
+
+
+def row_id(df: DataFrame) -> Column:
+    """Digest of id and text; only rows that agree in both share it."""
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(df["doc_id"].cast("string"), F.lit("?")), F.coalesce(df["text"], F.lit("")))))
+
+
+def rows_of(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose row id is in the column rid of ``rids``; repeated rows once."""
+    marked = docs.withColumn("_llm_rid", row_id(docs))
+    return marked.join(rids.select(F.col("rid").alias("_llm_rid")), "_llm_rid", "left_semi").dropDuplicates(["_llm_rid"]).drop("_llm_rid")

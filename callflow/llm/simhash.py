@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callflow.llm.components import components
-from callflow.llm.shared import documents, stored
+from callflow.llm.shared import documents, row_id, rows_of, stored
 
 BITS, QUARTER = 64, 16
 #: Quarter in front, the other quarter of its half, the other half.
@@ -61,15 +61,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer) of every whole text."""
+    """doc_id, rid and fp (the fingerprint as a signed 64-bit integer) of every whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch["text"].cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(found)], ["doc_id", "rid", "fp"])
 
     d = documents(docs)
-    return d.withColumn("doc_id", d["doc_id"].cast("long")).mapInArrow(hashed, "doc_id long, fp long")
+    d = d.withColumn("doc_id", d["doc_id"].cast("long"))
+    return d.withColumn("rid", row_id(d)).mapInArrow(hashed, "doc_id long, rid binary, fp long")
 
 
 def permuted(x: np.ndarray, order: tuple[int, ...], back: bool = False) -> np.ndarray:
@@ -270,6 +271,20 @@ def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     return components(stored(links.distinct()), "a", "b").select(F.col("node").alias("fp"), "root")
 
 
+def classes(docs: DataFrame, distance: int) -> DataFrame:
+    """doc_id, rid, fp, root (a fingerprint) and component_id of every row."""
+    hashed = stored(fingerprints(docs))
+    fps = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    linked = fps.join(near_components(fps, distance), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    moved = linked.join(least, "root").select("fp", "root", "component_id")
+    own = F.col("root").isNull()
+    known = fps.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(own, F.col("first")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return hashed.join(known, "fp")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -284,10 +299,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     no rows. Other columns are ignored. Copies share a fingerprint and enter the
     tries once, however many they are.
     """
-    hashed = stored(fingerprints(docs))
-    fps = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = fps.join(near_components(fps, distance), "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    classes = fps.join(moved, "fp", "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return hashed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """One row of each component, all columns: the smallest doc_id (null last), of several rows with it an arbitrary but fixed one."""
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
+    return rows_of(docs, classes(docs, distance).groupBy("root").agg(F.min_by("rid", order).alias("rid")))
