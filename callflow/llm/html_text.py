@@ -48,6 +48,8 @@ NAMES = re.compile(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Share of linked characters from which a list or box inside the article is a menu.
 MENU_DENSITY = 0.8
+#: Share of the best score from which an element that says it is the article is taken.
+MARKED_SHARE = 0.25
 BOXES = {"ul", "ol", "dl", "div", "section", "table", "tbody", "tr"}
 
 
@@ -184,11 +186,9 @@ def main_blocks(html: str) -> list[str]:
     if not any(score):
         return []
     best = max(range(len(score)), key=lambda i: (score[i], -i))
-    node = best
-    while node > 0:
-        if tree.tag[node] in ("article", "main"):
-            best = node
-        node = tree.parent[node]
+    for kind in ("main", "article"):
+        marked = [i for i, tag in enumerate(tree.tag) if tag == kind and not tree.dropped[i] and score[i] >= MARKED_SHARE * score[best]]
+        best = max(marked, key=lambda i: (score[i], -i), default=best)
     kept = [False] * len(tree.tag)
     kept[best] = True
     if tree.tag[best] not in ("body", "html", "#root", "article", "main"):

@@ -44,7 +44,7 @@ def water_level(sources: DataFrame, weights: Sequence[float], budget: float, cap
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their words come as close below ``budget`` as found.
+    """How many documents of each size to take so that their words come as close to ``budget`` as found.
 
     Exact whenever the remaining budget can be reached by the sizes left over.
     """
@@ -68,23 +68,25 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: the multiset of sizes with the largest sum of at most ``budget``."""
-    reach = np.zeros(budget + 1, bool)
+    """Bounded knapsack: the multiset of sizes whose sum is nearest to ``budget``, the lower of two equally near."""
+    top = 2 * budget  # a sum beyond it is no nearer than taking nothing
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
-    first = np.full(budget + 1, -1, np.int64)
+    first = np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
     for i in np.argsort(-sizes, kind="stable"):
         s, c, part = int(sizes[i]), int(counts[i]), 1
-        c = min(c, budget // s) if s else 0
+        c = min(c, top // s) if s else 0
         while c > 0 and not reach[budget]:
             n = min(part, c)
-            new = reach[: budget + 1 - n * s] & ~reach[n * s :]
+            new = reach[: top + 1 - n * s] & ~reach[n * s :]
             first[n * s :][new] = len(items)
             reach[n * s :] |= new
             items.append((int(i), n))
             c, part = c - n, part * 2
     take = np.zeros(len(sizes), np.int64)
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = items[first[at]]
         take[i] += n
