@@ -14,6 +14,10 @@ views.SHARED.update(
     {
         # Words with restless labels and uneven pauses, so that every repair
         # rule has something to repair.
+        "long_words": """
+SELECT CASE WHEN call_id % 2 = 0 THEN 0 ELSE 1 END AS call_id, 10000 * call_id + word_idx AS word_idx,
+       CASE WHEN call_id % 2 = 0 OR call_id % 10 > 1 THEN translate(text, '.?!', ';;;') ELSE text END AS text, 'speaker_0' AS speaker
+FROM words""",
         "noisy_words": """
 SELECT call_id, word_idx, text, start_ms, start_ms + 110 AS end_ms,
        CASE WHEN word_idx < 4 AND call_id % 4 = 0 THEN 'IVR'
@@ -60,6 +64,7 @@ FROM aligned_local a JOIN chunks c ON a.call_id = c.call_id AND a.chunk_idx = c.
 views.NEEDS.update(
     {
         "noisy_words": ["words"],
+        "long_words": ["words"],
         "one_voice_words": ["noisy_words"],
         "clipped": ["segments", "chunks"],
         "scored": ["chunk_words", "clipped"],
@@ -257,9 +262,9 @@ def d4(t):
 
 @query(
     "d5_raw_transcript",
-    """SELECT call_id, CAST(floor(chunk_idx / 1024) AS BIGINT) AS part, string_agg(text, ' ' ORDER BY chunk_idx) AS raw_text
+    """SELECT call_id, string_agg(text, ' ' ORDER BY chunk_idx) AS raw_text
        FROM (SELECT call_id, chunk_idx, string_agg(text, ' ' ORDER BY pos) AS text FROM chunk_words GROUP BY call_id, chunk_idx) c
-       GROUP BY call_id, part""",
+       GROUP BY call_id""",
     "chunk_words",
 )
 def d5(t):
@@ -442,18 +447,51 @@ LINE_SQL = {
 
 @query(
     "e10_sentence_lines",
-    """SELECT call_id, run_idx, 0 AS piece, line_idx, '[' || speaker || '] ' || array_to_string(texts[a - lo + 1 : z - lo + 1], ' ') AS line FROM walk""",
+    """SELECT call_id, run_idx, line_idx, '[' || speaker || '] ' || array_to_string(texts[a - lo + 1 : z - lo + 1], ' ') AS line FROM walk""",
     "noisy_words",
     **LINE_SQL,
 )
 def e10(t):
     pieces = lines.run_pieces(runs.word_runs(t["noisy_words"]))
-    return lines.sentence_lines(pieces).select("call_id", "run_idx", "piece", "line_idx", "line")
+    return lines.sentence_lines(pieces).select("call_id", "run_idx", "line_idx", "line")
+
+
+# Runs far longer than a piece: all words of half the calls as one speaker, one run without any stop, one with few.
+LONG_SQL = {k: v.replace("noisy_words", "long_words") for k, v in LINE_SQL.items()}
+
+
+def long_pieces(t):
+    return lines.run_pieces(runs.word_runs(t["long_words"]))
+
+
+@query(
+    "e10_long_runs",
+    """SELECT call_id, run_idx, line_idx, '[' || speaker || '] ' || array_to_string(texts[list_position(idx, a) : list_position(idx, z)], ' ') AS line FROM walk""",
+    "long_words",
+    numbered=LONG_SQL["numbered"],
+    run_ends="""SELECT call_id, run_idx, min(speaker) AS speaker, list(word_idx ORDER BY word_idx) AS idx, list(text ORDER BY word_idx) AS texts,
+       list(nth ORDER BY nth) FILTER (WHERE regexp_matches(text, '[.?!]$')) AS stops, count(*) AS n
+       FROM (SELECT *, row_number() OVER (PARTITION BY call_id, run_idx ORDER BY word_idx) AS nth FROM numbered) r GROUP BY call_id, run_idx""",
+    walk="""SELECT call_id, run_idx, 0 AS line_idx, idx[1] AS a, coalesce(list_min(list_filter(stops, lambda x: x > 8)), n) AS here, idx[coalesce(list_min(list_filter(stops, lambda x: x > 8)), n)] AS z, n, stops, texts, idx, speaker FROM run_ends
+       UNION ALL
+       SELECT call_id, run_idx, line_idx + 1, idx[here + 1], coalesce(list_min(list_filter(stops, lambda x: x > here + 8)), n), idx[coalesce(list_min(list_filter(stops, lambda x: x > here + 8)), n)], n, stops, texts, idx, speaker FROM walk WHERE here < n""",
+)
+def e10_long(t):
+    return lines.sentence_lines(long_pieces(t)).select("call_id", "run_idx", "line_idx", "line")
+
+
+@query(
+    "e11_long_runs",
+    "SELECT call_id, string_agg(text, ' ' ORDER BY word_idx) AS words FROM long_words GROUP BY call_id",
+    "long_words",
+)
+def e11_long(t):
+    return lines.plain_lines(long_pieces(t)).select("call_id", F.regexp_replace("line", r"^\[[^\]]+\] ", "").alias("words"))
 
 
 @query(
     "e11_turn_rebuild",
-    """SELECT call_id, 0 AS part, string_agg('[' || speaker || '] ' || array_to_string(texts, ' '), chr(10) ORDER BY run_idx) AS transcript
+    """SELECT call_id, string_agg('[' || speaker || '] ' || array_to_string(texts, ' '), chr(10) ORDER BY run_idx) AS transcript
        FROM run_ends GROUP BY call_id""",
     "noisy_words",
     **LINE_SQL,
@@ -540,7 +578,7 @@ def k1_runs(t):
 
 @query(
     "k1_assemble_transcripts",
-    """SELECT call_id, 0 AS part, string_agg('[' || speaker || '] ' || line, chr(10) ORDER BY run_idx, line_idx) AS transcript
+    """SELECT call_id, string_agg('[' || speaker || '] ' || line, chr(10) ORDER BY run_idx, line_idx) AS transcript
        FROM (SELECT call_id, run_idx, line_idx, speaker, array_to_string(texts[a - lo + 1 : z - lo + 1], ' ') AS line FROM walk) x
        GROUP BY call_id""",
     "aligned",

@@ -42,7 +42,7 @@ def transcripts(t):
     rows = t["spoken_lines"].select("call_id", "line_no", F.concat(F.lit("["), "speaker", F.lit("] "), "text").alias("line"))
     from callflow.operators.sequence import join_texts
 
-    return join_texts(rows, ["call_id"], ["line_no"], F.floor(F.col("line_no") / 10000), F.col("line"), "\n", "transcript").drop("part")
+    return join_texts(rows, ["call_id"], ["line_no"], F.col("line"), "\n", "transcript")
 
 
 DOCS = {"docs": "SELECT call_id, string_agg('[' || speaker || '] ' || text, chr(10) ORDER BY line_no) AS transcript FROM spoken_lines GROUP BY call_id"}

@@ -1,7 +1,8 @@
 """Transcript text from words: pieces, lines and whole documents.
 
-Text is gathered in pieces of at most two ``PIECE_WORDS`` blocks, so a run of
-any length stays in bounded rows. A run below that size is a single piece 0.
+Words are gathered in pieces of at most two ``PIECE_WORDS`` blocks. A line that
+runs across pieces is put together again from its fragments, so pieces never
+show in the result: a line is as long as the rule says, whatever its run's size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from callflow.operators.sequence import join_texts
 from callflow.session import durable
 
 PIECE_WORDS = 4096
-PART_WORDS = 131072  # words one document row covers; more than a five-hour call
 LINE_WORDS = 8
 STATES = LINE_WORDS + 2  # words in the open line: 0 … 8, and "more than 8"
 
@@ -25,27 +25,25 @@ def run_pieces(words: DataFrame) -> DataFrame:
     blocks = words.groupBy("call_id", "run_idx", "speaker", F.floor(F.col("word_idx") / PIECE_WORDS).alias("_block")).agg(
         F.collect_list(item).alias("_items"), F.min("word_idx").alias("_from")
     )
-    first = blocks.groupBy("call_id", "run_idx").agg(F.min("_from").alias("first_idx"))
-    placed = blocks.join(first, ["call_id", "run_idx"]).withColumn(
-        "piece", F.floor((F.col("_from") - F.col("first_idx")) / PIECE_WORDS)
-    )
+    ends = blocks.groupBy("call_id", "run_idx").agg(F.min("_from").alias("first_idx"), F.max("_from").alias("_to"))
+    piece = lambda at: F.floor((F.col(at) - F.col("first_idx")) / PIECE_WORDS)
+    placed = blocks.join(ends, ["call_id", "run_idx"]).withColumn("piece", piece("_from")).withColumn("last_piece", piece("_to"))
     return (
-        placed.groupBy("call_id", "run_idx", "speaker", "first_idx", "piece")
+        placed.groupBy("call_id", "run_idx", "speaker", "first_idx", "piece", "last_piece")
         .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias("_items"), F.min("_from").alias("from_idx"))
-        .select("call_id", "run_idx", "speaker", "first_idx", "piece", "from_idx", F.col("_items")["text"].alias("texts"))
+        .select("call_id", "run_idx", "speaker", "first_idx", "piece", "last_piece", "from_idx", F.col("_items")["text"].alias("texts"))
     )
 
 
+def _labelled(line):
+    return F.concat(F.lit("["), F.col("speaker"), F.lit("] "), line)
+
+
 def plain_lines(pieces: DataFrame) -> DataFrame:
-    """One line per run (or piece of a very long run): ``[speaker] words``."""
-    return pieces.select(
-        "call_id",
-        "run_idx",
-        "piece",
-        "speaker",
-        "from_idx",
-        F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.array_join("texts", " ")).alias("line"),
-    )
+    """One line per run: ``[speaker] words``."""
+    text = F.struct("piece", F.array_join("texts", " ").alias("text"))
+    runs = pieces.groupBy("call_id", "run_idx", "speaker").agg(F.array_sort(F.collect_list(text)).alias("_texts"), F.min("from_idx").alias("from_idx"))
+    return runs.select("call_id", "run_idx", "speaker", "from_idx", _labelled(F.array_join(F.col("_texts")["text"], " ")).alias("line"))
 
 
 def _ends(text):
@@ -53,53 +51,27 @@ def _ends(text):
 
 
 def _transfer(texts):
-    """For each state at the start of a piece, the state at its end."""
-    states = F.array(*[F.lit(s) for s in range(STATES)])
+    """For each state at the start of a piece, the state at its end and the lines closed in it."""
+    states = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(0).alias("closed")) for s in range(STATES)])
 
     def step(acc, text):
         stop = _ends(text)
         return F.transform(
-            acc, lambda s: F.when(stop & (s + 1 > LINE_WORDS), 0).otherwise(F.least(s + 1, F.lit(STATES - 1)))
+            acc,
+            lambda s: F.when(
+                stop & (s["state"] + 1 > LINE_WORDS), F.struct(F.lit(0).alias("state"), (s["closed"] + 1).alias("closed"))
+            ).otherwise(F.struct(F.least(s["state"] + 1, F.lit(STATES - 1)).alias("state"), s["closed"].alias("closed"))),
         )
 
     return F.aggregate(texts, states, step)
 
 
-def sentence_lines(pieces: DataFrame) -> DataFrame:
-    """Lines per run: a line closes after a sentence end past eight words.
-
-    The rule is a small state machine (words in the open line), so a run of
-    several pieces composes their transitions to know how each one starts.
-    """
-    pieces = durable(pieces)
-    run = ["call_id", "run_idx"]
-    several = pieces.groupBy(*run).agg(F.max("piece").alias("_top")).where("_top > 0").select(*run)
-    long_runs = (
-        pieces.join(several, run, "left_semi")
-        .select("call_id", "run_idx", F.struct("piece", _transfer(F.col("texts")).alias("move")).alias("m"))
-        .groupBy("call_id", "run_idx")
-        .agg(F.array_sort(F.collect_list("m")).alias("moves"))
-    )
-    seed = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        "moves",
-        seed,
-        lambda acc, m: F.struct(
-            F.get(m["move"], acc["state"]).alias("state"),
-            F.array_append(acc["starts"], acc["state"]).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    entry = long_runs.select(
-        "call_id", "run_idx", F.explode(F.arrays_zip(F.col("moves")["piece"].alias("piece"), starts.alias("open_words"))).alias("e")
-    ).select("call_id", "run_idx", F.col("e.piece").alias("piece"), F.col("e.open_words").alias("open_words"))
-
+def _fold(texts, open_words):
+    """Lines of a piece that starts ``open_words`` into a line; the last one may stay open."""
     empty = F.array().cast("array<string>")
-    fold = F.aggregate(
-        "texts",
-        F.struct(
-            F.coalesce("open_words", F.lit(0)).alias("n"), empty.alias("line"), F.array().cast("array<array<string>>").alias("done")
-        ),
+    return F.aggregate(
+        texts,
+        F.struct(open_words.alias("n"), empty.alias("line"), F.array().cast("array<array<string>>").alias("done")),
         lambda acc, t: F.when(
             _ends(t) & (acc["n"] + 1 > LINE_WORDS),
             F.struct(
@@ -112,33 +84,66 @@ def sentence_lines(pieces: DataFrame) -> DataFrame:
         ),
         lambda acc: F.when(F.size(acc["line"]) > 0, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]),
     )
-    folded = pieces.join(entry, ["call_id", "run_idx", "piece"], "left").withColumn("_lines", fold)
-    return folded.select(
-        "call_id", "run_idx", "piece", "speaker", "from_idx", F.posexplode("_lines").alias("line_idx", "_line")
-    ).select(
-        "call_id",
-        "run_idx",
-        "piece",
-        "line_idx",
-        "speaker",
-        "from_idx",
-        F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.array_join("_line", " ")).alias("line"),
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """How each piece of a run of several starts: words in the open line, and that line's number."""
+    moves = (
+        pieces.select("call_id", "run_idx", F.struct("piece", _transfer(F.col("texts")).alias("move")).alias("m"))
+        .groupBy("call_id", "run_idx")
+        .agg(F.array_sort(F.collect_list("m")).alias("moves"))
     )
+    at = lambda state, closed: F.struct(state.alias("state"), closed.alias("closed"))
+    seed = F.struct(at(F.lit(0), F.lit(0)).alias("now"), F.array().cast("array<struct<state:int,closed:int>>").alias("starts"))
 
+    def step(acc, m):
+        move = F.get(m["move"], acc["now"]["state"])
+        return F.struct(
+            at(move["state"], acc["now"]["closed"] + move["closed"]).alias("now"), F.array_append(acc["starts"], acc["now"]).alias("starts")
+        )
 
-def documents(lines: DataFrame, order: tuple[str, ...] = ("run_idx", "piece", "line_idx")) -> DataFrame:
-    """Whole labelled transcripts, one row per call and part."""
-    have = [c for c in order if c in lines.columns]
-    return join_texts(
-        lines, ["call_id"], have, F.floor(F.col("from_idx") / PART_WORDS), F.col("line"), "\n", "transcript"
+    starts = F.aggregate("moves", seed, step, lambda acc: acc["starts"])
+    entry = F.explode(F.arrays_zip(F.col("moves")["piece"].alias("piece"), starts.alias("start"))).alias("e")
+    return moves.select("call_id", "run_idx", entry).select(
+        "call_id", "run_idx", F.col("e.piece").alias("piece"), F.col("e.start.state").alias("open_words"), F.col("e.start.closed").alias("first_line")
+    )
+
+
+def sentence_lines(pieces: DataFrame) -> DataFrame:
+    """Lines per run: a line closes after a sentence end past eight words.
+
+    The rule is a small state machine (words in the open line), so a run of
+    several pieces composes their transitions to know how each one starts, and
+    fragments of a line that crosses a border join by the line's number. Runs of
+    a single piece need neither.
+    """
+    pieces = durable(pieces)
+    text = F.array_join("_line", " ")
+    single = pieces.where("last_piece = 0").withColumn("_f", _fold(F.col("texts"), F.lit(0)))
+    short = single.select("call_id", "run_idx", "speaker", "from_idx", F.posexplode("_f").alias("line_idx", "_line")).select(
+        "call_id", "run_idx", "line_idx", "speaker", "from_idx", text.alias("text")
+    )
+    several = pieces.where("last_piece > 0")
+    split = several.join(_entries(several), ["call_id", "run_idx", "piece"]).withColumn("_f", _fold(F.col("texts"), F.col("open_words")))
+    fragments = split.select(
+        "call_id", "run_idx", "piece", "speaker", "from_idx", "first_line", F.posexplode("_f").alias("_at", "_line")
+    ).withColumn("line_idx", F.col("first_line") + F.col("_at"))
+    whole = fragments.groupBy("call_id", "run_idx", "line_idx").agg(
+        F.min("speaker").alias("speaker"), F.min("from_idx").alias("from_idx"), F.array_sort(F.collect_list(F.struct("piece", text.alias("text")))).alias("_texts")
     )
+    long = whole.select("call_id", "run_idx", "line_idx", "speaker", "from_idx", F.array_join(F.col("_texts")["text"], " ").alias("text"))
+    return short.unionByName(long).select("call_id", "run_idx", "line_idx", "speaker", "from_idx", _labelled(F.col("text")).alias("line"))
+
+
+def documents(lines: DataFrame, order: tuple[str, ...] = ("run_idx", "line_idx")) -> DataFrame:
+    """Whole labelled transcripts, one row per call; a call is at most five hours of speech."""
+    have = [c for c in order if c in lines.columns]
+    return join_texts(lines, ["call_id"], have, F.col("line"), "\n", "transcript")
 
 
 def raw_transcript(chunks: DataFrame) -> DataFrame:
     """Chunk texts joined by a space in chunk order."""
-    return join_texts(
-        chunks, ["call_id"], ["chunk_idx"], F.floor(F.col("chunk_idx") / 1024), F.col("text"), " ", "raw_text"
-    )
+    return join_texts(chunks, ["call_id"], ["chunk_idx"], F.col("text"), " ", "raw_text")
 
 
 def first_lines(lines: DataFrame, n: int = 30) -> DataFrame:
@@ -147,7 +152,7 @@ def first_lines(lines: DataFrame, n: int = 30) -> DataFrame:
     Each partition keeps its own first candidates before the final ranking, so
     the ranking never sees a whole call.
     """
-    order = [c for c in ("run_idx", "piece", "line_idx") if c in lines.columns]
+    order = [c for c in ("run_idx", "line_idx") if c in lines.columns]
     block = F.floor(F.col("run_idx") / 64)
     w0 = W.partitionBy("call_id", "_b").orderBy(*order)
     w1 = W.partitionBy("call_id").orderBy(*order)

@@ -164,18 +164,14 @@ def join_texts(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    part: Column,
     text: Column,
     separator: str = " ",
     out: str = "text",
 ) -> DataFrame:
-    """Concatenate texts in order, one row per ``(keys, part)``.
-
-    ``part`` bounds what one row holds; an ordinary call is a single part 0.
-    """
-    rows = df.select(*keys, part.cast("long").alias("part"), *order, text.alias("_text"))
+    """Concatenate texts in order, one row per key."""
+    rows = df.select(*keys, *order, text.alias("_text"))
     return (
-        rows.groupBy(*keys, "part")
+        rows.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(*order, F.col("_text")))).alias("_rows"))
-        .select(*keys, "part", F.array_join(F.col("_rows")["_text"], separator).alias(out))
+        .select(*keys, F.array_join(F.col("_rows")["_text"], separator).alias(out))
     )
