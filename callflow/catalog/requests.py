@@ -86,21 +86,42 @@ def h14(t):
     return t["jobs"].select("job_id", delivery.payload(job_id=F.col("job_id"), status=F.when(F.col("status") == "completed", "").otherwise(F.col("status")), error=F.col("error_message")).alias("payload"))
 
 
-@query("h22_pseudonymise")
+KEY = "test-key"
+
+
+def hmac_sql(message: str) -> str:
+    """HMAC-SHA256 of a text from its definition."""
+    inner, outer = (p.hex() for p in signing.pads(KEY))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"
+
+
+@query("h22_pseudonymise", f"SELECT c_custkey, {hmac_sql('c_name')} AS alias FROM customer")
 def h22(t):
-    return t["customer"].select("c_custkey", signing.pseudonym(F.col("c_name"), "test-key").alias("alias"))
+    return signing.with_hmac(t["customer"].select("c_custkey", "c_name"), F.col("c_name"), KEY, "alias").select("c_custkey", "alias")
 
 
-@query("h23_signed_requests", """SELECT request_id, CASE WHEN request_id % 11 = 0 THEN 'invalid_timestamp' WHEN request_id % 5 = 0 THEN 'request_expired' WHEN request_id % 7 = 0 THEN 'invalid_signature' ELSE 'ok' END AS verdict FROM requests""", "requests")
+SIGNED_SQL = {
+    "sent": """SELECT request_id, CAST(key_id AS VARCHAR) AS user_id, CASE WHEN request_id % 11 = 0 THEN 'soon' ELSE CAST(epoch_us(ts) // 1000 AS VARCHAR) END AS timestamp,
+       'body ' || request_id AS body FROM requests""",
+}
+
+
+@query(
+    "h23_signed_requests",
+    f"""SELECT request_id, CASE WHEN request_id % 7 = 0 THEN 'forged' ELSE {hmac_sql("user_id || ':' || timestamp || ':' || sha256(body)")} END AS signature,
+       CASE WHEN request_id % 11 = 0 THEN 'invalid_timestamp' WHEN request_id % 5 = 0 THEN 'request_expired' WHEN request_id % 7 = 0 THEN 'invalid_signature' ELSE 'ok' END AS verdict FROM sent""",
+    "requests",
+    **SIGNED_SQL,
+)
 def h23(t):
     ms = F.unix_millis("ts")
     log = t["requests"].select(
         "request_id", F.col("key_id").cast("string").alias("user_id"), F.when(F.col("request_id") % 11 == 0, "soon").otherwise(ms.cast("string")).alias("timestamp"),
         F.concat(F.lit("body "), F.col("request_id").cast("string")).alias("body"), (ms + F.when(F.col("request_id") % 5 == 0, 300001).otherwise(1000)).alias("received_ms"),
     )
-    good = signing.signature(F.col("user_id"), F.col("timestamp"), F.col("body"), "test-key")
-    log = log.withColumn("signature", F.when(F.col("request_id") % 7 == 0, "forged").otherwise(good))
-    return signing.audit(log, "test-key").select("request_id", "verdict")
+    log = signing.with_signature(log, F.col("user_id"), F.col("timestamp"), F.col("body"), KEY, "signature")
+    log = log.withColumn("signature", F.when(F.col("request_id") % 7 == 0, "forged").otherwise(F.col("signature")))
+    return signing.audit(log, KEY).select("request_id", "signature", "verdict")
 
 
 def _accepts_even(url: str, body: str) -> int:
