@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callflow.functions import formatting as fmt
+from callflow.session import durable
 from callflow.streaming.jobs import LOG_SCHEMA
 
 HEADER = {
@@ -85,17 +86,28 @@ def read_tables(spark: SparkSession, location: str, names: list[str], ids: dict[
     return out
 
 
-def save_results(results: DataFrame, jobs: DataFrame, results_path: str, jobs_path: str) -> None:
-    """Write results, then the jobs with their new status.
+def save_results(results: DataFrame, jobs: DataFrame, results_path: str, jobs_path: str, batch: int = 0) -> None:
+    """Write one batch of results, then its jobs as completed.
 
-    Results go first: a job only ever reads as completed once its result is
-    there. Null fields stay null in columns; ``result_json`` omits them.
+    Every batch has a folder of its own, which a repeated save replaces, so
+    saving again changes nothing and other batches stay. Results go first: a job
+    only ever reads as completed once its result is there. Null fields stay null
+    in columns; ``result_json`` omits them. ``jobs`` may be read from
+    ``jobs_path``: the rows to write are cut off from it before.
     """
-    results.withColumn("result_json", F.to_json(F.struct(*results.columns))).write.mode("overwrite").parquet(results_path)
-    done = results.sparkSession.read.parquet(results_path).select("job_id", F.lit(True).alias("_done"))
-    jobs.join(done, "job_id", "left").withColumn(
-        "status", F.when(F.col("_done"), "completed").otherwise(F.col("status"))
-    ).drop("_done").write.mode("overwrite").parquet(jobs_path)
+    kept = f"{results_path}/batch={batch}"
+    results.withColumn("result_json", F.to_json(F.struct(*results.columns))).write.mode("overwrite").parquet(kept)
+    done = results.sparkSession.read.parquet(kept).select("job_id").distinct()
+    finished = jobs.drop("batch").join(done, "job_id", "left_semi").withColumn("status", F.lit("completed"))
+    durable(finished).write.mode("overwrite").parquet(f"{jobs_path}/batch={batch}")
+
+
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """Newest row of each job over all batches below ``path``."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
+    return newest.select("_row.*")
 
 
 def write_eval_report(report: DataFrame, path: str) -> None:

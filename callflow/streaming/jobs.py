@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATENESS = "10 minutes"
 LOG_SCHEMA = "timestamp string, data string, headers map<string,string>, method string, url string"
+#: Of changes at the same time the later one in the life of a job counts.
+STATUS_ORDER = ["pending", "processing", "rejected", "failed", "completed"]
 STUCK_SECONDS = 300  # how long a client waits for a job
 
 
@@ -38,7 +40,8 @@ def request_windows(requests: DataFrame, width: str = "1 minute", lateness: str
 
 def latest_state(changes: DataFrame) -> DataFrame:
     """Latest status of each job from its changes (job_id, status, ts)."""
-    return changes.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    order = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
+    return changes.groupBy("job_id").agg(F.max_by("status", F.struct("ts", order)).alias("status"), F.max("ts").alias("ts"))
 
 
 def sessions(turns: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
@@ -69,15 +72,25 @@ class StuckJobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._status = handle.getValueState("status", "status string")
+        self._status = handle.getValueState("status", "status string, ts_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("ts").iloc[-1]
-        self._status.update((last.status,))
+        rank = {s: i for i, s in enumerate(STATUS_ORDER)}
+        seen = self._status.get() if self._status.exists() else None
+        best = (int(seen[1]), rank.get(seen[0], -1), seen[0]) if seen else None
+        fresh = False
+        for part in rows:
+            for status, ts in zip(part["status"], part["ts"], strict=True):
+                change = (int(ts.timestamp() * 1000), rank.get(status, -1), status)
+                if best is None or change[:2] > best[:2]:
+                    best, fresh = change, True
+        if not fresh:  # a late change does not undo a newer one
+            return iter(())
+        self._status.update((best[2], best[0]))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        if last.status in ("pending", "processing"):
-            self._handle.registerTimer(int(last.ts.timestamp() * 1000) + self._wait_ms)
+        if best[2] in ("pending", "processing"):
+            self._handle.registerTimer(best[0] + self._wait_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -34,10 +34,14 @@ def test_labels_log_and_results(spark, folder):
     assert files.read_event_log(spark, f"{folder}/log").where("headers['a'] = 'b'").count() == 2
     results = spark.sql("SELECT 1L AS job_id, 'hi' AS text, CAST(NULL AS STRING) AS diarization")
     all_jobs = spark.sql("SELECT explode(array(1L, 2L)) AS job_id, 'processing' AS status")
-    files.save_results(results, all_jobs, f"{folder}/results", f"{folder}/jobs")
-    tables = files.read_tables(spark, folder, ["results", "jobs"])
-    assert tables["results"].first().result_json == '{"job_id":1,"text":"hi"}'
-    assert {r.job_id: r.status for r in tables["jobs"].collect()} == {1: "completed", 2: "processing"}
+    all_jobs.write.parquet(f"{folder}/jobs/batch=0")
+    for _ in range(2):  # saving again changes nothing, and jobs may come from where they are written
+        files.save_results(results, files.read_saved(spark, f"{folder}/jobs"), f"{folder}/results", f"{folder}/jobs", batch=1)
+    files.save_results(results.withColumn("job_id", F.lit(2).cast("long")), all_jobs, f"{folder}/results", f"{folder}/jobs", batch=2)
+    saved = {r.job_id: r.result_json for r in files.read_saved(spark, f"{folder}/results").collect()}
+    assert saved == {1: '{"job_id":1,"text":"hi"}', 2: '{"job_id":2,"text":"hi"}'}
+    assert files.read_tables(spark, folder, ["results"])["results"].count() == 2
+    assert {r.job_id: r.status for r in files.read_saved(spark, f"{folder}/jobs").collect()} == {1: "completed", 2: "completed"}
     dated = operations.dated_layout(all_jobs.withColumn("created_at", F.lit("2024-05-06 07:00:00").cast("timestamp")))
     operations.write_dated(dated, f"{folder}/dated")
     assert spark.read.parquet(f"{folder}/dated").where("ingest_date = '2024-05-06'").count() == 2
@@ -113,6 +117,24 @@ def test_windows_stream_equals_batch(spark, folder):
     assert run(more(stream), "use", "complete") == sorted(map(tuple, more(df).collect()))
 
 
+def test_a_late_change_does_not_undo_a_newer_one(spark, folder):
+    sql = "SELECT {0}L AS job_id, '{1}' AS status, timestamp'2024-01-01 {2}' AS ts"
+    for part, rows in enumerate([[(1, "pending", "00:00:00")], [(1, "completed", "00:00:30")], [(1, "processing", "00:00:10"), (2, "pending", "00:00:20")], [(9, "completed", "03:00:00")], [(9, "completed", "06:00:00")]]):
+        frames = [spark.sql(sql.format(*r)) for r in rows]
+        for f in frames:
+            f.coalesce(1).write.mode("append").parquet(f"{folder}/in{part}")
+    schema = spark.read.parquet(f"{folder}/in0").schema
+    for part in range(5):
+        spark.read.parquet(f"{folder}/in{part}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = jobs.stuck_job_stream(stream, lateness="1 hour").writeStream.format("memory").queryName("late").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None
+    assert [r.job_id for r in spark.table("late").collect()] == [2]
+    tied = spark.sql("SELECT 1L AS job_id, s AS status, timestamp'2024-01-01' AS ts FROM VALUES ('completed'), ('pending'), ('processing') t(s)")
+    assert jobs.latest_state(tied).first().status == "completed"
+
+
 def test_incremental_and_stuck_jobs(spark, folder):
     df = spark.sql("SELECT * FROM VALUES (1L, 'pending', timestamp'2024-01-01 00:00:00'), (2L, 'completed', timestamp'2024-01-01 00:00:10'), (3L, 'processing', timestamp'2024-01-01 02:00:00') t(job_id, status, ts)")
     for job in (1, 2, 3):
