@@ -399,6 +399,19 @@ def b29(t):
     return t["events"].select("event_id", responses.sanitize_numbers(v).alias("value"))
 
 
+@query(
+    "b29_sanitize_nested",
+    """SELECT event_id, v AS first, v AS inner_value, CAST(2.5 AS DOUBLE) AS kept, event_type AS name
+       FROM (SELECT *, CASE WHEN event_id % 7 = 0 OR event_id % 7 = 1 THEN NULL ELSE value END AS v FROM events) e""",
+)
+def b29_nested(t):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 1, F.lit(float("-inf"))).otherwise(F.col("value"))
+    doc = F.struct(F.array(v, F.lit(2.5)).alias("list"), F.create_map(F.lit("k"), F.struct(v.alias("x"), F.col("event_type").alias("name"))).alias("map"))
+    d = responses.sanitize_frame(t["events"].select("event_id", doc.alias("doc")))
+    at = F.col("doc.map")["k"]
+    return d.select("event_id", F.col("doc.list")[0].alias("first"), at["x"].alias("inner_value"), F.col("doc.list")[1].alias("kept"), at["name"].alias("name"))
+
+
 @query("b30_response_defaults", """SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'pricing' ELSE 'general_discussion' END AS intent, 'neutral' AS sentiment,
        CAST(CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE 0.8 END AS DOUBLE) AS confidence_score, '' AS summary, 0 AS n_items FROM events""")
 def b30(t):

@@ -13,7 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 from callflow.functions import records
 
@@ -176,7 +176,21 @@ def by_strategy(df: DataFrame, keys: list[str], strategies: list[DataFrame]) ->
     return df.select(*keys).join(best, keys, "left")
 
 
-def sanitize_numbers(value: Column) -> Column:
-    """NaN and infinities become null, for a number or an array of numbers."""
+def sanitize_numbers(value: Column, kind: DataType | None = None) -> Column:
+    """NaN and infinities become null, in a number or anywhere inside arrays, maps and structs of type ``kind``."""
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sanitize_numbers(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: sanitize_numbers(x, kind.valueType))
+    if isinstance(kind, StructType):
+        fields = [sanitize_numbers(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if kind is not None and not isinstance(kind, (FloatType, DoubleType)):
+        return value
     bad = [float("inf"), float("-inf")]
     return F.when(F.isnan(value) | value.isin(bad), None).otherwise(value)
+
+
+def sanitize_frame(df: DataFrame) -> DataFrame:
+    """Every column with its NaN and infinite numbers made null."""
+    return df.select(*[sanitize_numbers(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])

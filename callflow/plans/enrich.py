@@ -86,17 +86,23 @@ def enrich(transcripts: DataFrame, cdr: DataFrame, raw: DataFrame) -> DataFrame:
     """Documents for all requests with a transcript.
 
     ``transcripts`` is (request_id, transcript), ``raw`` is (request_id, kind,
-    raw). All kinds are searched in one pass and pivoted by one aggregation
+    raw and, if known, created_at). All kinds are searched in one pass and pivoted by one aggregation
     keyed on the request, instead of five joins. Empty transcripts get a null
     document; tasks exist only where a call record does.
     """
     usable = transcripts.where(F.trim(F.coalesce("transcript", F.lit(""))) != "").select("request_id")
+    made = F.col("created_at") if "created_at" in raw.columns else F.lit(0)
     docs = raw.join(usable, "request_id", "left_semi").select(
-        "request_id", "kind", "raw", responses.salvage(F.col("raw"), F.col("kind")).alias("doc")
+        "request_id", "kind", "raw", responses.salvage(F.col("raw"), F.col("kind")).alias("doc"), made.alias("made")
     )
+
+    def newest(kind: str, column: str, order: Column) -> Column:
+        return F.max_by(column, F.when((F.col("kind") == kind) & F.col(column).isNotNull(), order))
+
+    # of several responses the newest readable one counts; without a time, or at equal times, the one last in order
     wide = docs.groupBy("request_id").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("doc"))).alias(f"doc_{k}") for k in RECORDS],
-        F.max(F.when(F.col("kind") == "analysis", F.col("raw"))).alias("raw_analysis"),
+        *[newest(k, "doc", F.struct("made", "raw")).alias(f"doc_{k}") for k in RECORDS],
+        newest("analysis", "raw", F.struct("made", "raw")).alias("raw_analysis"),
     )
     typed = wide.select(
         "request_id",
