@@ -124,10 +124,27 @@ def h13(t):
     return roles.apply_roles(t["noisy_words"], two.select("call_id", F.inline(table))).select("call_id", "word_idx", "speaker")
 
 
-@query("e22_ivr_prefix", """SELECT call_id, 7 AS ivr_end FROM words GROUP BY call_id HAVING length(string_agg(lower(text), ' ' ORDER BY word_idx) FILTER (WHERE word_idx < 8)) > 10""", "words")
+# Announcements by call: the first eight words; one of their words twice more than spoken, so that only the share decides; words that are not spoken.
+IVR_TEXTS = """SELECT call_id, CASE call_id % 3 WHEN 0 THEN first8 WHEN 1 THEN first8 || ' zzzz' ELSE 'zzzz yyyy ' || first8 || ' xxxx wwww' END AS ivr_text
+       FROM (SELECT call_id, array_to_string(list(text ORDER BY word_idx), ' ') AS first8 FROM words WHERE word_idx < 8 GROUP BY call_id) h"""
+
+
+@query(
+    "e22_ivr_prefix",
+    r"""SELECT call_id, min(word_idx) AS ivr_end FROM (
+         SELECT p.call_id, p.word_idx, p.prefix, lower(trim(i.ivr_text)) AS ivr, regexp_split_to_array(lower(trim(i.ivr_text)), '\s+') AS ivr_words, regexp_split_to_array(p.prefix, '\s+') AS said
+         FROM prefixes p JOIN ivr_texts i ON p.call_id = i.call_id WHERE length(trim(i.ivr_text)) > 10) x
+       WHERE contains(prefix, ivr) OR (len(said) >= len(ivr_words) AND len(list_intersect(list_distinct(said), list_distinct(ivr_words))) / len(list_distinct(ivr_words)) >= 0.8)
+       GROUP BY call_id""",
+    "words",
+    ivr_texts=IVR_TEXTS,
+    prefixes="SELECT call_id, word_idx, array_to_string(list(lower(text)) OVER (PARTITION BY call_id ORDER BY word_idx), ' ') AS prefix FROM words",
+)
 def e22(t):
-    head = t["words"].where("word_idx < 8").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_idx", "text")))["text"], " ").alias("ivr_text"))
-    return roles.ivr_prefix(t["words"], head).select("call_id", F.col("ivr_end").cast("long").alias("ivr_end"))
+    words = t["words"]
+    first8 = words.where("word_idx < 8").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_idx", "text")))["text"], " ").alias("first8"))
+    text = F.when(F.col("call_id") % 3 == 0, F.col("first8")).when(F.col("call_id") % 3 == 1, F.concat("first8", F.lit(" zzzz"))).otherwise(F.concat(F.lit("zzzz yyyy "), "first8", F.lit(" xxxx wwww")))
+    return roles.ivr_prefix(words, first8.select("call_id", text.alias("ivr_text"))).select("call_id", F.col("ivr_end").cast("long").alias("ivr_end"))
 
 
 @query("k2_label_roles")

@@ -116,21 +116,24 @@ def ivr_prefix(words: DataFrame, announcements: DataFrame) -> DataFrame:
     texts = announcements.where(F.length(F.trim("ivr_text")) > IVR_MIN_CHARS).select(
         "call_id", F.filter(F.split(F.lower(F.trim("ivr_text")), r"\s+"), lambda w: w != "").alias("ivr")
     )
-    rows = words.join(texts, "call_id").select(
-        "call_id", "word_idx", F.lower("text").alias("w"), F.size("ivr").alias("n"), F.size(F.array_distinct("ivr")).alias("d"), "ivr"
-    )
-    # positions of the announcement at which this word could stand
-    spots = rows.select("call_id", "word_idx", "n", F.posexplode("ivr").alias("j", "v"), "w").where(
-        F.when(F.col("j") == 0, F.col("w").endswith(F.col("v"))).when(F.col("j") == F.col("n") - 1, F.col("w").startswith(F.col("v"))).otherwise(F.col("w") == F.col("v"))
-    )
+    said = words.select("call_id", "word_idx", F.lower("text").alias("w"))
+    sizes = texts.select("call_id", F.size("ivr").alias("n"), F.size(F.array_distinct("ivr")).alias("d"))
+    # a word inside the announcement stands alone in it and must be equal; only its first and last word may be part of a longer one
+    inner = texts.select("call_id", F.size("ivr").alias("n"), F.posexplode("ivr").alias("j", "w")).where("j > 0 AND j < n - 1")
+    middle = said.join(inner, ["call_id", "w"]).select("call_id", "word_idx", "n", "j")
+    outer = texts.select("call_id", F.size("ivr").alias("n"), F.element_at("ivr", 1).alias("head"), F.element_at("ivr", -1).alias("tail"))
+    sides = said.join(outer, "call_id")
+    alone = sides.where((F.col("n") == 1) & F.col("w").contains(F.col("head"))).select("call_id", "word_idx", "n", F.lit(0).alias("j"))
+    first = sides.where((F.col("n") > 1) & F.col("w").endswith(F.col("head"))).select("call_id", "word_idx", "n", F.lit(0).alias("j"))
+    final = sides.where((F.col("n") > 1) & F.col("w").startswith(F.col("tail"))).select("call_id", "word_idx", "n", (F.col("n") - 1).alias("j"))
+    spots = middle.unionByName(alone).unionByName(first).unionByName(final)
     # words of one placement share word_idx − j
     whole = (
         spots.groupBy("call_id", (F.col("word_idx") - F.col("j")).alias("start"), "n").agg(F.count(F.lit(1)).alias("hits"))
         .where("hits = n").groupBy("call_id").agg(F.min(F.col("start") + F.col("n") - 1).alias("whole_idx"))
     )
-    new = (
-        rows.where(F.array_contains("ivr", F.col("w"))).groupBy("call_id", "w", "n", "d").agg(F.min("word_idx").alias("word_idx"))
-    )
+    kinds = texts.select("call_id", F.explode(F.array_distinct("ivr")).alias("w")).join(sizes, "call_id")
+    new = said.join(kinds, ["call_id", "w"]).groupBy("call_id", "w", "n", "d").agg(F.min("word_idx").alias("word_idx"))
     counted = running_sum(new, ["call_id"], ["word_idx"], index_block("word_idx"), F.lit(1), "shared")
     shared = (
         counted.where(F.col("shared") / F.col("d") >= IVR_SHARE).groupBy("call_id")
