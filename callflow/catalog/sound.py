@@ -139,21 +139,23 @@ def c13_pairs(t):
     return speakers.pair_affinity(v, nxt).withColumn("affinity", F.round("affinity", 6))
 
 
-D18 = {
-    "unit": UNIT,
-    "pairs": "SELECT a.vec_id, a.call_id AS ca, b.call_id AS cb, avg(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE (1 - list_dot_product(a.u, b.u)) / 2 END) AS d, count(*) AS n FROM unit a CROSS JOIN unit b GROUP BY 1, 2, 3",
-    "sil": "SELECT avg(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT vec_id, max(CASE WHEN ca = cb THEN d * n / nullif(n - 1, 0) END) AS a, max(CASE WHEN ca = cb THEN n END) AS n, min(CASE WHEN ca <> cb THEN d END) AS b FROM pairs GROUP BY vec_id) t",
-    "flat": "SELECT call_id, vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM unit",
-    "cen": "SELECT call_id, i, avg(x) AS c FROM flat GROUP BY call_id, i",
-    "spr": "SELECT call_id, avg(d) AS s FROM (SELECT f.call_id, vec_id, sqrt(sum((x - c) * (x - c))) AS d FROM flat f JOIN cen ON cen.call_id = f.call_id AND cen.i = f.i GROUP BY f.call_id, vec_id) t GROUP BY call_id",
-    "dbi": "SELECT avg(w) AS davies_bouldin FROM (SELECT a, max((sa.s + sb.s) / d) AS w FROM (SELECT p.call_id AS a, q.call_id AS b, sqrt(sum((p.c - q.c) * (p.c - q.c))) AS d FROM cen p JOIN cen q ON p.i = q.i AND p.call_id <> q.call_id GROUP BY 1, 2) m JOIN spr sa ON sa.call_id = a JOIN spr sb ON sb.call_id = b GROUP BY a) t",
-}
-
-
-@query("d18_cluster_quality", "SELECT round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(0.7 * silhouette + 0.3 / (1 + davies_bouldin), 5) AS combined FROM sil CROSS JOIN dbi", "speaker_vectors", **D18)
+def quality_sql(labelled: str) -> dict[str, str]:
+    """Silhouette, Davies–Bouldin and their mix per group of ``labelled`` (g, vec_id, c, u), from all pairs."""
+    return {
+        "pairs": f"SELECT a.g, a.vec_id, a.c AS ca, b.c AS cb, avg(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE (1 - list_dot_product(a.u, b.u)) / 2 END) AS d, count(*) AS n FROM {labelled} a JOIN {labelled} b ON a.g = b.g GROUP BY 1, 2, 3, 4",
+        "sil": "SELECT g, avg(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT g, vec_id, max(CASE WHEN ca = cb THEN d * n / nullif(n - 1, 0) END) AS a, max(CASE WHEN ca = cb THEN n END) AS n, min(CASE WHEN ca <> cb THEN d END) AS b FROM pairs GROUP BY g, vec_id) t GROUP BY g",
+        "flat": f"SELECT g, c, vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM {labelled}",
+        "cen": "SELECT g, c, i, avg(x) AS m FROM flat GROUP BY g, c, i",
+        "spr": "SELECT g, c, avg(d) AS s FROM (SELECT f.g, f.c, vec_id, sqrt(sum((x - m) * (x - m))) AS d FROM flat f JOIN cen ON cen.g = f.g AND cen.c = f.c AND cen.i = f.i GROUP BY f.g, f.c, vec_id) t GROUP BY g, c",
+        "dbi": "SELECT g, avg(w) AS davies_bouldin, count(*) AS clusters FROM (SELECT m.g, a, max((sa.s + sb.s) / d) AS w FROM (SELECT p.g, p.c AS a, q.c AS b, sqrt(sum((p.m - q.m) * (p.m - q.m))) AS d FROM cen p JOIN cen q ON p.g = q.g AND p.i = q.i AND p.c <> q.c GROUP BY 1, 2, 3) m JOIN spr sa ON sa.g = m.g AND sa.c = a JOIN spr sb ON sb.g = m.g AND sb.c = b GROUP BY m.g, a) t GROUP BY g",
+    }
+
+
+@query("d18_cluster_quality", "SELECT g AS call_id, round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(0.7 * silhouette + 0.3 / (1 + davies_bouldin), 5) AS combined FROM sil JOIN dbi USING (g)", "speaker_vectors",
+    unit=UNIT, thirds="SELECT call_id AS g, vec_id, vec_id % 3 AS c, u FROM unit", **quality_sql("thirds"))
 def d18(t):
-    q = speakers.quality(t["speaker_vectors"].withColumnRenamed("call_id", "cluster"))
-    return q.select(*[F.round(c, 5).alias(c) for c in ("silhouette", "davies_bouldin", "combined")])
+    q = speakers.quality(t["speaker_vectors"].withColumn("cluster", F.col("vec_id") % 3), ["call_id"])
+    return q.select("call_id", *[F.round(c, 5).alias(c) for c in ("silhouette", "davies_bouldin", "combined")])
 
 
 @query("f7_best_cluster_count", """SELECT user_id, CASE WHEN k > 3 AND tried >= 3 AND best - coalesce(s3, 0) < 0.1 THEN 3 ELSE k END AS k, round(best, 6) AS score FROM (SELECT user_id, arg_max(k, s) AS k, max(s) AS best, max(CASE WHEN k = 3 THEN s END) AS s3, count(*) AS tried
@@ -163,15 +165,47 @@ def f7(t):
     return speakers.best_count(scores, ["user_id"]).withColumn("score", F.round("score", 6))
 
 
-@query("j9_speaker_clusters")
+def cluster_sql() -> dict[str, str]:
+    """The clustering written out: seeds one after the other, then the fixed number of rounds, for every count."""
+    out = {"unit": UNIT, "coord": "SELECT call_id, vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM unit", "seed1": "SELECT call_id, 1 AS i, arg_min(u, vec_id) AS u FROM unit GROUP BY call_id"}
+    for i in range(2, max(speakers.COUNTS) + 1):
+        out[f"seed{i}"] = f"""SELECT * FROM seed{i - 1} UNION ALL SELECT call_id, {i}, arg_min(u, near) FROM
+            (SELECT a.call_id, a.vec_id, a.u, max(list_dot_product(a.u, s.u)) AS near FROM unit a JOIN seed{i - 1} s ON s.call_id = a.call_id GROUP BY 1, 2, 3) n GROUP BY call_id"""
+    out["c0"] = f"SELECT k, call_id, i, u FROM seed{max(speakers.COUNTS)} JOIN (SELECT unnest({list(speakers.COUNTS)}) AS k) ks ON i <= k"
+    for r in range(speakers.ROUNDS + 1):
+        out[f"a{r}"] = f"SELECT k, a.call_id, vec_id, arg_max(i, list_dot_product(a.u, c.u)) AS i FROM unit a JOIN c{r} c ON c.call_id = a.call_id GROUP BY 1, 2, 3"
+        if r < speakers.ROUNDS:
+            out[f"v{r}"] = f"SELECT k, call_id, i, list(x ORDER BY p) AS v FROM (SELECT k, a.call_id, i, p, sum(x) AS x FROM a{r} a JOIN coord f ON f.call_id = a.call_id AND f.vec_id = a.vec_id GROUP BY 1, 2, 3, 4) s GROUP BY 1, 2, 3"
+            out[f"c{r + 1}"] = f"""SELECT c.k, c.call_id, c.i, CASE WHEN v IS NULL THEN c.u ELSE list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS u
+                FROM c{r} c LEFT JOIN v{r} n ON n.k = c.k AND n.call_id = c.call_id AND n.i = c.i"""
+    out["labelled"] = f"SELECT {{'k': k, 'call': a.call_id}} AS g, k, a.call_id, a.vec_id, i AS c, u FROM a{speakers.ROUNDS} a JOIN unit n ON n.call_id = a.call_id AND n.vec_id = a.vec_id"
+    out |= quality_sql("labelled")
+    out["score"] = "SELECT g.call AS call_id, g.k AS k, 0.7 * silhouette + 0.3 / (1 + davies_bouldin) AS s FROM sil JOIN dbi USING (g) JOIN (SELECT call_id, count(*) AS n FROM unit GROUP BY call_id) z ON z.call_id = g.call WHERE clusters = g.k AND g.k < n AND n >= 4"
+    out["best"] = "SELECT call_id, CASE WHEN k > 3 AND tried >= 3 AND top - coalesce(s3, 0) < 0.1 THEN 3 ELSE k END AS k FROM (SELECT call_id, arg_max(k, s) AS k, max(s) AS top, max(CASE WHEN k = 3 THEN s END) AS s3, count(*) AS tried FROM score GROUP BY call_id) b"
+    return out
+
+
+@query(
+    "j9_speaker_clusters",
+    "SELECT l.call_id, l.vec_id, dense_rank() OVER (PARTITION BY l.call_id ORDER BY c) - 1 AS speaker_no FROM labelled l LEFT JOIN best b ON b.call_id = l.call_id WHERE l.k = coalesce(b.k, 2)",
+    "speaker_vectors",
+    **cluster_sql(),
+)
 def j9(t):
-    return speakers.cluster_corpus(t["speaker_vectors"]).select("call_id", "vec_id", "speaker_no")
+    return speakers.cluster_calls(t["speaker_vectors"])
 
 
 @query("k4_diarize_segments")
 def k4(t):
     t["frames"].createOrReplaceTempView("frames")
     feats = t.spark.sql(FEATURES)
+    vectors = t["embeddings"].select(F.col("vec_id").alias("_vec"), "embedding")
+    held = t["embeddings"].agg(F.count(F.lit(1))).first()[0]  # one row
+
+    def by_vectors(windows):
+        # every window is heard as one of the given vectors
+        heard = windows.withColumn("_vec", F.pmod(F.col("call_id") * 31 + F.col("win_idx"), F.lit(max(held, 1)))).join(vectors, "_vec")
+        named = speakers.cluster_calls(heard.select("call_id", F.col("win_idx").alias("vec_id"), "embedding"))
+        return windows.join(named.select("call_id", F.col("vec_id").alias("win_idx"), F.col("speaker_no").alias("label")), ["call_id", "win_idx"])
 
-    lookup = lambda w: w.withColumn("label", F.pmod(F.hash("call_id", "win_idx"), F.lit(3)))  # noqa: E731 - stands for a fitted model
-    return diarize.diarize_segments(quiet(t), feats, lookup)
+    return diarize.diarize_segments(quiet(t), feats, by_vectors)

@@ -2,14 +2,25 @@
 
 Cosine sums over pairs equal products with summed vectors, so affinity degrees,
 silhouette and Davies–Bouldin need one pass over the vectors and one small
-table of sums per cluster; pairs are never listed.
+table of sums per cluster; pairs are never listed. All calls are clustered
+together: what is kept per call is at most four centres per tried count. Vectors
+meet these in ``BLOCKS`` blocks per call, so a long call is not one task.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callflow.session import durable
+
+COUNTS = (2, 3, 4)  # speakers a call is tried with
+ROUNDS = 4
+BLOCKS = 16
+
 SILHOUETTE_WEIGHT, DB_WEIGHT = 0.7, 0.3
 PREFERRED_K, K_MARGIN = 3, 0.1
 
@@ -24,12 +35,18 @@ def normalise(v: Column) -> Column:
 
 
 def vector_sums(vectors: DataFrame, keys: list[str], vector: str = "unit") -> DataFrame:
-    """Element-wise sums per key; elements are added before the shuffle."""
-    parts = vectors.select(*keys, F.posexplode(vector).alias("i", "x"))
-    sums = parts.groupBy(*keys, "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"), F.max("n").alias("n")
-    )
+    """Element-wise sums per key."""
+    sums = vectors.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col(vector))).alias("_sum"), F.count(F.lit(1)).alias("n"))
+    return sums.select(*keys, vector_to_array("_sum").alias("total"), "n")
+
+
+def _block() -> Column:
+    return F.pmod(F.hash("vec_id"), F.lit(BLOCKS)).cast("int")
+
+
+def _meet(vectors: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Vectors (with _block) next to the row of their keys in a small table, which is repeated for every block."""
+    return vectors.join(small.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), [*keys, "_block"])
 
 
 def affinity_degree(vectors: DataFrame) -> DataFrame:
@@ -51,50 +68,55 @@ def pair_affinity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("call_id", "left_id", "right_id", value.alias("affinity"))
 
 
-def silhouette(labelled: DataFrame) -> DataFrame:
-    """Mean silhouette over distance (1 − cos) / 2, by cluster sums."""
-    unit = labelled.select("vec_id", "cluster", normalise(F.col("embedding")).alias("unit"))
-    sums = vector_sums(unit, ["cluster"]).select(F.struct(F.col("cluster").alias("c"), "total", "n").alias("s"))
-    table = sums.agg(F.collect_list("s").alias("sums"))  # one row per cluster: at most a few
-    rows = unit.join(F.broadcast(table), F.lit(True))
-    own = F.filter("sums", lambda s: s["c"] == F.col("cluster"))[0]
-    inside = (own["n"] - dot(F.col("unit"), own["total"])) / 2 / (own["n"] - 1)
+def cluster_tables(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key an array of its clusters with their vector sums; ``labelled`` has unit and cluster."""
+    sums = vector_sums(labelled, [*keys, "cluster"])
+    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "total"))).alias("sums"))
+
+
+def silhouette(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean silhouette per key over distance (1 − cos) / 2, by cluster sums."""
+    unit = labelled.select(*keys, "vec_id", "cluster", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block())
+    rows = _meet(unit, cluster_tables(unit, keys), keys)
+    own = F.filter("sums", lambda s: s["cluster"] == F.col("cluster"))[0]
+    inside = (own["n"] - dot(F.col("unit"), own["total"])) / 2 / F.nullif(own["n"] - 1, F.lit(0))
     others = F.transform(
-        F.filter("sums", lambda s: s["c"] != F.col("cluster")), lambda s: (1 - dot(F.col("unit"), s["total"]) / s["n"]) / 2
+        F.filter("sums", lambda s: s["cluster"] != F.col("cluster")), lambda s: (1 - dot(F.col("unit"), s["total"]) / s["n"]) / 2
     )
     b = F.array_min(others)
     value = F.when(own["n"] <= 1, 0.0).otherwise(F.coalesce((b - inside) / F.nullif(F.greatest(inside, b), F.lit(0.0)), F.lit(0.0)))
-    return rows.agg(F.avg(value).alias("silhouette"))
+    return rows.groupBy(*keys).agg(F.avg(value).alias("silhouette"))
 
 
-def davies_bouldin(labelled: DataFrame) -> DataFrame:
-    """Davies–Bouldin index on normalised vectors."""
-    unit = labelled.select("cluster", normalise(F.col("embedding")).alias("unit"))
-    centre = F.transform("total", lambda x: x / F.col("n")).alias("centre")
-    centres = vector_sums(unit, ["cluster"]).select("cluster", centre)
+def davies_bouldin(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Davies–Bouldin index per key on normalised vectors."""
+    unit = labelled.select(*keys, "vec_id", "cluster", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block())
+    centre = lambda s: F.transform(s["total"], lambda x: x / s["n"])
+    table = cluster_tables(unit, keys)
 
     def distance(a: Column, b: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    spread = unit.join(F.broadcast(centres), "cluster").groupBy("cluster").agg(
-        F.avg(distance(F.col("unit"), F.col("centre"))).alias("spread")
-    )
-    # the table of clusters is tiny: its rows are compared inside one array
-    row = centres.join(spread, "cluster").agg(F.collect_list(F.struct("cluster", "centre", "spread")).alias("t"))
+    own = F.filter("sums", lambda s: s["cluster"] == F.col("cluster"))[0]
+    spread = _meet(unit, table, keys).groupBy(*keys, "cluster").agg(F.avg(distance(F.col("unit"), centre(own))).alias("spread"))
+    spreads = spread.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "spread"))).alias("spreads"))
+    # the few clusters of one key are compared inside its row
+    row = table.join(spreads, keys)
     worst = F.transform(
-        "t",
+        "sums",
         lambda a: F.array_max(
             F.transform(
-                F.filter("t", lambda b: b["cluster"] != a["cluster"]),
-                lambda b: (a["spread"] + b["spread"]) / distance(a["centre"], b["centre"]),
+                F.filter("sums", lambda b: b["cluster"] != a["cluster"]),
+                lambda b: (F.col("spreads")[a["cluster"]] + F.col("spreads")[b["cluster"]]) / distance(centre(a), centre(b)),
             )
         ),
     )
-    return row.select((F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / F.size("t")).alias("davies_bouldin"))
+    mean = F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / F.size("sums")
+    return row.select(*keys, mean.alias("davies_bouldin"), F.size("sums").alias("clusters"))
 
 
-def quality(labelled: DataFrame) -> DataFrame:
-    both = silhouette(labelled).join(davies_bouldin(labelled), F.lit(True))
+def quality(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    both = silhouette(labelled, keys).join(davies_bouldin(labelled, keys), keys)
     combined = SILHOUETTE_WEIGHT * F.col("silhouette") + DB_WEIGHT / (1 + F.col("davies_bouldin"))
     return both.withColumn("combined", combined)
 
@@ -115,28 +137,46 @@ def best_count(scores: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.when(back, PREFERRED_K).otherwise(F.col("k")).cast("long").alias("k"), "score")
 
 
-def cluster_corpus(vectors: DataFrame, counts: tuple[int, ...] = (2, 3, 4, 5), seed: int = 42) -> DataFrame:
-    """Speaker clusters over all vectors: k-means per count, best quality wins.
+def _seeds(units: DataFrame) -> DataFrame:
+    """Per call its first vector, then again and again the one least like those chosen."""
+    chosen = units.groupBy("call_id").agg(F.array(F.min_by("unit", "vec_id")).alias("seeds"))
+    for _ in range(max(COUNTS) - 1):
+        near = F.array_max(F.transform("seeds", lambda c: dot(c, F.col("unit"))))
+        far = _meet(units, chosen, ["call_id"]).groupBy("call_id").agg(F.min_by("unit", F.struct(near, "vec_id")).alias("_next"))
+        chosen = durable(chosen.join(far, "call_id").select("call_id", F.array_append("seeds", F.col("_next")).alias("seeds")))
+    return chosen
+
+
+def _assign(units: DataFrame, centres: DataFrame) -> DataFrame:
+    """Nearest centre of each vector, for every count tried."""
+    like = F.transform("centres", lambda c: dot(c, F.col("unit")))
+    return _meet(units, centres, ["call_id"]).withColumn("_like", like).withColumn(
+        "cluster", (F.array_position("_like", F.array_max("_like")) - 1).cast("int")
+    ).drop("_like")
+
+
+def cluster_calls(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """speaker_no of each vector (call_id, vec_id, embedding), clustered within its call.
 
-    Labels hold across calls; ``speaker_no`` renumbers them within each call.
+    Spherical k-means from deterministic seeds for 2 to 4 speakers; the count
+    with the best quality wins. A call of one vector has one speaker, of fewer
+    than four two. Speakers are numbered from zero without gaps.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.sql import Window as W
-
-    from callflow.session import durable
-
-    units = durable(vectors.select("call_id", "vec_id", "embedding", array_to_vector(normalise(F.col("embedding"))).alias("features")))
-    scored, models = [], {}
-    for k in counts:
-        models[k] = KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(units)
-        labelled = models[k].transform(units).withColumnRenamed("prediction", "cluster")
-        scored.append(quality(labelled).select(F.lit(k).cast("long").alias("k"), F.col("combined").alias("score")))
-    table = scored[0]
-    for s in scored[1:]:
-        table = table.unionByName(s)
-    chosen = int(best_count(table.withColumn("all", F.lit(0)), ["all"]).first()["k"])  # one row
-    out = models[chosen].transform(units).withColumnRenamed("prediction", "cluster").select("call_id", "vec_id", "cluster")
-    seen = out.select("call_id", "cluster").distinct()
-    names = seen.withColumn("speaker_no", F.dense_rank().over(W.partitionBy("call_id").orderBy("cluster")) - 1)
-    return out.join(names, ["call_id", "cluster"])
+    units = durable(vectors.select("call_id", "vec_id", "embedding", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block()))
+    sizes = units.groupBy("call_id").agg(F.count(F.lit(1)).alias("size"))
+    seeds = _seeds(units).withColumn("k", F.explode(F.array(*map(F.lit, COUNTS))))
+    centres = seeds.select("call_id", "k", F.slice("seeds", F.lit(1), F.col("k")).alias("centres"))
+    for _ in range(rounds):
+        sums = vector_sums(_assign(units, centres), ["call_id", "k", "cluster"])
+        moved = sums.groupBy("call_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("cluster", normalise(F.col("total"))))).alias("_moved"))
+        kept = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_moved", i), c))  # a centre without vectors stays
+        centres = durable(centres.join(moved, ["call_id", "k"]).select("call_id", "k", kept.alias("centres")))
+    labelled = durable(_assign(units, centres).select("call_id", "k", "vec_id", "embedding", "cluster"))
+    tried = quality(labelled, ["call_id", "k"]).join(sizes, "call_id").where("clusters = k AND k < size AND size >= 4")
+    best = best_count(tried.withColumnRenamed("combined", "score"), ["call_id"]).select("call_id", F.col("k").alias("_best"))
+    count = F.when(F.col("size") < 2, 1).when(F.col("size") < 4, 2).otherwise(F.coalesce("_best", F.lit(2)))
+    counts = sizes.join(best, "call_id", "left").select("call_id", count.cast("int").alias("_count"))
+    # a call of one vector is read from its first trial, where it is alone in a cluster
+    chosen = labelled.join(counts.withColumn("k", F.greatest("_count", F.lit(COUNTS[0]))), ["call_id", "k"])
+    names = chosen.select("call_id", "cluster").distinct().withColumn("speaker_no", F.dense_rank().over(W.partitionBy("call_id").orderBy("cluster")) - 1)
+    return chosen.join(names, ["call_id", "cluster"]).select("call_id", "vec_id", F.col("speaker_no").cast("long").alias("speaker_no"))
