@@ -38,20 +38,32 @@ def around(frames: DataFrame, aggregates: dict[str, Column], before: int = HALF,
     return rows.where(F.col("_block") == index_block(at, FRAME_BLOCK)).drop("_block")
 
 
+def per_call(frames: DataFrame, stats: DataFrame) -> DataFrame:
+    """Frames with the row of their call in ``stats`` (with _last, the call's last frame).
+
+    The small side is repeated for every block of the call, so that frames stay
+    dealt by block and a long call does not end up in one task.
+    """
+    spread = stats.withColumn("_home", F.explode(F.sequence(F.lit(0).cast("long"), index_block("_last", FRAME_BLOCK))))
+    return frames.withColumn("_home", index_block("frame_idx", FRAME_BLOCK)).join(spread, [*CALL, "_home"]).drop("_home")
+
+
 def rolling_std(frames: DataFrame, value: str = "energy", out: str = "energy_std") -> DataFrame:
     """Population deviation over [i − 10, i + 10); 0 for the first and last ten frames."""
     last = frames.groupBy(*CALL).agg(F.max("frame_idx").alias("_last"))
-    rows = around(frames, {"_std": F.stddev_pop(value)}).join(last, CALL)
+    rows = around(per_call(frames, last), {"_std": F.stddev_pop(value)})
     inner = (F.col("frame_idx") >= HALF) & (F.col("frame_idx") <= F.col("_last") - HALF)
     return rows.withColumn(out, F.when(inner, F.col("_std")).otherwise(0.0)).drop("_std", "_last")
 
 
-def z_scores(frames: DataFrame, metrics: list[str]) -> DataFrame:
-    """Per-call z-scores; 0 where a metric hardly varies."""
+def z_scores(frames: DataFrame, metrics: list[str], **more: Column) -> DataFrame:
+    """Per-call z-scores; 0 where a metric hardly varies. ``more`` adds aggregates of the call."""
     stats = frames.groupBy(*CALL).agg(
-        *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_dev") for m in metrics]
+        F.max("frame_idx").alias("_last"),
+        *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_dev") for m in metrics],
+        *[c.alias(n) for n, c in more.items()],
     )
-    out = frames.join(stats, CALL)
+    out = per_call(frames, stats)
     for m in metrics:
         z = F.when(F.col(f"{m}_dev") < TINY, F.lit(0.0)).otherwise((F.col(m) - F.col(f"{m}_mean")) / F.col(f"{m}_dev"))
         out = out.withColumn(f"z_{m}", z).drop(f"{m}_mean", f"{m}_dev")
@@ -60,8 +72,8 @@ def z_scores(frames: DataFrame, metrics: list[str]) -> DataFrame:
 
 def flag_frames(frames: DataFrame) -> DataFrame:
     """Frames that look like tones, synthetic speech or an early announcement."""
-    totals = frames.groupBy(*CALL).agg(F.max("t_ms").alias("_total"), F.max("frame_idx").alias("_last"))
-    z = z_scores(frames, METRICS).join(totals, CALL)
+    step = (F.max("t_ms") - F.min("t_ms")) / F.greatest(F.max("frame_idx") - F.min("frame_idx"), F.lit(1))
+    z = z_scores(frames, METRICS, _total=F.max("t_ms"), _frame_ms=step)
     flat, calm = F.col("z_flatness") < LOW_FLAT_Z, F.col("z_energy_std") < LOW_VAR_Z
     crossing = F.col("z_zcr") > HIGH_Z
     tone = (F.col("z_dtmf") > HIGH_Z) & flat & crossing
@@ -84,13 +96,13 @@ def non_speech_segments(frames: DataFrame) -> DataFrame:
         F.max("t_ms").alias("_last_t"),
         F.max("frame_idx").alias("_last_i"),
         F.max("_last").alias("_last"),
+        F.max("_frame_ms").alias("_frame_ms"),
         F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"),
         F.avg("std").alias("std"),
     )
     # a run ends where the next frame starts; at the end of the call, with its last frame
-    step = flagged.groupBy("call_id").agg(((F.max("t_ms") - F.min("t_ms")) / F.greatest(F.max("frame_idx") - F.min("frame_idx"), F.lit(1))).alias("_step"))
-    ended = spans.where("flag = 1").join(step, "call_id").withColumn(
-        "end_ms", F.when(F.col("_last_i") == F.col("_last"), F.col("_last_t")).otherwise(F.col("_last_t") + F.col("_step"))
+    ended = spans.where("flag = 1").withColumn(
+        "end_ms", F.when(F.col("_last_i") == F.col("_last"), F.col("_last_t")).otherwise(F.col("_last_t") + F.col("_frame_ms"))
     )
     fine = ((F.col("start_ms") < EARLY_START_MS) & (F.col("std") < EARLY_STD)) | (F.col("std") < LOW_STD)
     return ended.where((F.col("end_ms") - F.col("start_ms") > MIN_NON_SPEECH_MS) & (F.col("rms") >= MIN_RMS) & fine).select(

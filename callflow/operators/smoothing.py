@@ -178,7 +178,11 @@ def number_silence_turns(words: DataFrame) -> DataFrame:
         )
     )
     limits = gap_thresholds(near.select("call_id", "gap_ms"))
-    flagged = near.join(limits, "call_id", "left").withColumn(
+    # the few thresholds are repeated for every block of their call, so that words stay dealt by block
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), index_block("_last")))
+    ends = near.groupBy("call_id").agg(F.max("word_idx").alias("_last")).join(limits, "call_id", "left")
+    spread = ends.select("call_id", "threshold_ms", blocks.alias("_home"))
+    flagged = near.withColumn("_home", index_block("word_idx")).join(spread, ["call_id", "_home"]).drop("_home").withColumn(
         "_turn", F.coalesce(F.col("gap_ms") >= F.col("threshold_ms"), F.lit(False)).cast("long")
     )
     numbered = running_sum(flagged, CALL, ["word_idx"], index_block("word_idx"), F.col("_turn"), "run_idx")

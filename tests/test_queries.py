@@ -57,3 +57,28 @@ def test_projection_and_filter_reach_the_scan(spark):
     text = plan(registry.queries()["b10_pending_async"](spark, FOLDER))
     assert "o_totalprice" not in text and "PushedFilters" in text
     assert align.CHUNK == ["call_id", "chunk_idx"] and t["orders"] is not None
+
+
+def test_long_calls_stay_dealt_by_block(spark):
+    """No window over a block sits on rows that a per-call join has dealt by call alone."""
+    import re
+
+    from callflow.operators import frames, smoothing
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        feats = ["energy_std", "dtmf", "flatness", "high_freq", "zcr", "rms", "std"]
+        rows = spark.createDataFrame([], "call_id long, frame_idx long, t_ms long, " + ", ".join(f"{f} double" for f in feats))
+        words = spark.createDataFrame([], "call_id long, word_idx long, text string, start_ms long, end_ms long, speaker string")
+        for df in (frames.flag_frames(rows), frames.rolling_std(rows.withColumn("energy", rows["rms"])), smoothing.number_silence_turns(words)):
+            lines = plan(df).split("\n")
+            at = [i for i, x in enumerate(lines) if re.search(r"\bWindow \[.*\[call_id#\d+L?, _block#", x)]
+            assert at
+            for i in at:
+                below = next(x for x in lines[i + 1 :] if re.search(r"Exchange|Join", x))
+                assert "_block#" in below, below
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
