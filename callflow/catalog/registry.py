@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callflow.catalog.views import Tables, oracle
 
-MODULES = ["alignment", "documents", "operations", "requests", "sound", "text"]
+MODULES = ["alignment", "documents", "files", "operations", "requests", "sound", "text"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callflow.session import durable
-from callflow.sources import delivery
+from callflow.sources import delivery, files
 
 
 def build_payloads(results: DataFrame) -> DataFrame:
@@ -17,3 +17,11 @@ def build_payloads(results: DataFrame) -> DataFrame:
 def deliver_results(results: DataFrame, sender, **options) -> DataFrame:
     """Status per job. The result is durable, so reading it never sends again."""
     return durable(delivery.deliver(build_payloads(results), sender, **options))
+
+
+def log_deliveries(results: DataFrame, status: DataFrame, path: str, at: Column) -> None:
+    """Append what was delivered to the log: time, payload, headers, method, address."""
+    sent = build_payloads(results).join(status.where("delivered").select("job_id"), "job_id", "left_semi")
+    headers = F.create_map(F.lit("Content-Type"), F.lit("application/json"))
+    entries = sent.select(at.alias("timestamp"), F.col("payload").alias("data"), headers.alias("headers"), F.lit("POST").alias("method"), F.col("callback_url").alias("url"))
+    files.append_event_log(entries, path)
