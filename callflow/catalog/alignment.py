@@ -14,10 +14,6 @@ views.SHARED.update(
     {
         # Words with restless labels and uneven pauses, so that every repair
         # rule has something to repair.
-        "long_words": """
-SELECT CASE WHEN call_id % 2 = 0 THEN 0 ELSE 1 END AS call_id, 10000 * call_id + word_idx AS word_idx,
-       CASE WHEN call_id % 2 = 0 OR call_id % 10 > 1 THEN translate(text, '.?!', ';;;') ELSE text END AS text, 'speaker_0' AS speaker
-FROM words""",
         "noisy_words": """
 SELECT call_id, word_idx, text, start_ms, start_ms + 110 AS end_ms,
        CASE WHEN word_idx < 4 AND call_id % 4 = 0 THEN 'IVR'
@@ -28,6 +24,11 @@ FROM (SELECT call_id, word_idx, text,
              CAST(floor(word_idx / (5 + call_id % 7)) AS BIGINT) AS block,
              CASE WHEN call_id % 3 = 0 THEN 3 ELSE 2 END AS speakers
       FROM words) t""",
+        # Two calls of one speaker: one without any sentence end, one with few.
+        "long_words": """
+SELECT CASE WHEN call_id % 2 = 0 THEN 0 ELSE 1 END AS call_id, 10000 * call_id + word_idx AS word_idx,
+       CASE WHEN call_id % 2 = 0 OR call_id % 10 > 1 THEN translate(text, '.?!', ';;;') ELSE text END AS text, 'speaker_0' AS speaker
+FROM words""",
         "one_voice_words": """
 SELECT call_id, word_idx, text, start_ms, end_ms, 'speaker_0' AS speaker FROM noisy_words""",
     }

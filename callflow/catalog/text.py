@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callflow.catalog import views
+from callflow.catalog.alignment import LINE_SQL
 from callflow.catalog.documents import FRAUD_SQL, analysis, fraud, scoring
 from callflow.catalog.registry import query
 from callflow.functions import lexicons as lx
 from callflow.functions import records
-from callflow.operators import roles, rules
+from callflow.operators import roles, rules, runs
 from callflow.plans import label_roles
 
 views.SHARED.update(
@@ -147,16 +148,52 @@ def e22(t):
     return roles.ivr_prefix(words, first8.select("call_id", text.alias("ivr_text"))).select("call_id", F.col("ivr_end").cast("long").alias("ivr_end"))
 
 
-@query("k2_label_roles")
-def k2(t):
-    labelled = label_roles.label_roles(numbered_words(t))
-    return labelled.groupBy("call_id", "speaker").agg(F.count(F.lit(1)).alias("n_words"))
+# Roles through model answers: fenced, in prose with an announcement, unreadable, and with a role that does not exist.
+ANNOUNCEMENT = "thank you for calling please hold the line"
+ANSWERED = f"""SELECT call_id, word_idx, CASE WHEN call_id % 4 = 1 AND word_idx < {len(ANNOUNCEMENT.split())} THEN split_part('{ANNOUNCEMENT}', ' ', CAST(word_idx + 1 AS INT)) ELSE text END AS text,
+       start_ms, end_ms, speaker FROM noisy_words"""
+ANSWERS = """SELECT call_id, CASE call_id % 4 WHEN 0 THEN '```json {"has_ivr": false, "ivr_text": "", "speaker_roles": {"speaker_0": "Customer", "speaker_1": "Agent"}} ```'
+       WHEN 1 THEN 'Here it is: {"has_ivr": true, "ivr_text": "IVR_TEXT", "speaker_roles": {"speaker_0": "Agent", "speaker_1": "Customer"}} as asked.'
+       WHEN 2 THEN 'I cannot tell.' ELSE '{"has_ivr": false, "ivr_text": "", "speaker_roles": {"speaker_0": "Boss", "speaker_1": "Customer"}}' END AS raw
+       FROM (SELECT DISTINCT call_id FROM noisy_words) c""".replace("IVR_TEXT", ANNOUNCEMENT)
+K2_SQL = {
+    "said": ANSWERED,
+    **{k: v.replace("noisy_words", "said") for k, v in LINE_SQL.items()},
+    "sample": "SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY run_idx, line_idx) - 1 AS line_no FROM walk",
+    "given": """SELECT call_id, speaker, place, CASE WHEN call_id % 4 = 2 THEN CASE WHEN place = 1 THEN 'Customer' ELSE 'Agent' END
+       WHEN call_id % 4 = 0 AND speaker = 'speaker_0' OR call_id % 4 IN (1, 3) AND speaker = 'speaker_1' THEN 'Customer' ELSE 'Agent' END AS role
+       FROM (SELECT call_id, speaker, row_number() OVER (PARTITION BY call_id ORDER BY min(line_no)) - 1 AS place FROM sample WHERE line_no < 30 GROUP BY call_id, speaker) p""",
+    "counted": """SELECT *, count(*) FILTER (WHERE role = 'Customer') OVER w AS nc, min(CASE WHEN role = 'Customer' THEN place END) OVER w AS fc, count(*) OVER w AS n FROM given WINDOW w AS (PARTITION BY call_id)""",
+    "settled": "SELECT call_id, speaker, CASE WHEN nc = 0 AND n > 1 AND place = 1 THEN 'Customer' WHEN role = 'Customer' AND place > fc THEN 'Agent' ELSE role END AS role FROM counted",
+    "labelled": f"""SELECT s.call_id, s.word_idx, s.text, CASE WHEN s.speaker = 'IVR' OR (s.call_id % 4 = 1 AND s.word_idx < {len(ANNOUNCEMENT.split())}) THEN 'IVR' ELSE coalesce(r.role, s.speaker) END AS speaker
+       FROM said s LEFT JOIN settled r ON r.call_id = s.call_id AND r.speaker = s.speaker""",
+}
+
 
+def labelled_words(t):
+    words = runs.word_runs(t.sql(ANSWERED.replace("FROM noisy_words", "FROM noisy")))
+    return label_roles.label_roles(words, t.sql(ANSWERS.replace("FROM noisy_words", "FROM noisy")))
 
-def numbered_words(t):
-    from callflow.operators import runs
 
-    return runs.word_runs(t["noisy_words"].where("speaker <> 'IVR'"))
+@query("k2_label_roles", "SELECT call_id, word_idx, speaker FROM labelled", "noisy_words", **K2_SQL)
+def k2(t):
+    t["noisy_words"].createOrReplaceTempView("noisy")
+    return labelled_words(t).select("call_id", "word_idx", "speaker")
+
+
+@query(
+    "k2_role_documents",
+    """SELECT call_id, string_agg('[' || speaker || '] ' || line, chr(10) ORDER BY g) AS transcript FROM (
+         SELECT call_id, g, min(speaker) AS speaker, string_agg(text, ' ' ORDER BY word_idx) AS line FROM (
+           SELECT *, sum(turn) OVER (PARTITION BY call_id ORDER BY word_idx) AS g FROM (
+             SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY call_id ORDER BY word_idx) THEN 0 ELSE 1 END AS turn FROM labelled) a) b GROUP BY call_id, g) c
+       GROUP BY call_id""",
+    "noisy_words",
+    **K2_SQL,
+)
+def k2_documents(t):
+    t["noisy_words"].createOrReplaceTempView("noisy")
+    return label_roles.role_documents(labelled_words(t))
 
 
 @query("j1_score_batch", "SELECT call_id, line_no, '{\"length\": ' || CAST(length(text) AS VARCHAR) || '}' AS response, CAST(NULL AS VARCHAR) AS error FROM spoken_lines", "spoken_lines")
