@@ -1,12 +1,8 @@
-import os
-import sys
 import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-from callflow.session import local_session, prepare  # noqa: E402
+from callflow.session import local_session, prepare
 
 
 @pytest.fixture(scope="session")
