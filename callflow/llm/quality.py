@@ -47,6 +47,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """Integer columns of a frame of bounded size, collected as Arrow."""
+    table = df.toArrow()
+    return [table.column(i).to_numpy() for i in range(table.num_columns)]
+
+
 class Filter:
     """Bloom filter over 64-bit keys: never denies a key it holds."""
 
@@ -76,9 +82,10 @@ class Filter:
                 np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-        found = keys.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        found = keys.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
         words = np.zeros(FILTER_BITS // 64, np.uint64)
-        words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+        word, mask = columns(found)
+        words[word] = mask.view(np.uint64)
         return cls(words)
 
 
@@ -169,8 +176,8 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     words = texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = stored(words)
     total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") >= max(2, math.ceil(total * FREQUENT))).select("word").toPandas()["word"]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(bytes(w) for w in kept))}
+    kept = words.where(F.col("n") >= max(2, math.ceil(total * FREQUENT))).select("word").toArrow().column(0)
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(kept.to_pylist()))}
     shards = max(8, -(-total // SHARD_WORDS))
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -224,22 +231,24 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
                     ["kind", "id", "a", "b", "c", "d"],
                 )
 
-    stats = model.mapInArrow(statistics, "kind int, id long, a long, b long, c long, d long").groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"]).toPandas()
+    stats = model.mapInArrow(statistics, "kind int, id long, a long, b long, c long, d long").groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"])
+    kind, *rest = columns(stats)
+    context, word, number, big = ([x[kind == k] for x in rest] for k in range(4))
     size = len(vocabulary) + 2
-    context, word, number, big = (stats[stats["kind"] == k] for k in range(4))
-    d = discounts(dict(zip(number["id"], number["a"], strict=True)))
-    at = context["id"].to_numpy(np.int64)
+    d = discounts(dict(zip(number[0].tolist(), number[1].tolist(), strict=True)))
+    at, n, once, twice, more = context
     totals, backoff = np.ones(size), np.zeros(size)
-    totals[at] = context["a"]
-    backoff[at] = np.log((d[1] * context["b"] + d[2] * context["c"] + d[3] * context["d"]) / context["a"])
+    totals[at] = n
+    backoff[at] = np.log((d[1] * once + d[2] * twice + d[3] * more) / n)
     before = np.zeros(size)
-    before[word["id"].to_numpy(np.int64)] = word["a"]
+    before[word[0]] = word[1]
     dl = discounts(Counter(before[before > 0].astype(int).tolist()))
     spared = dl[np.minimum(before, 3).astype(int)]
     lower = np.log((before - spared) / max(1.0, before.sum()) + (spared.sum() / before.sum() if before.sum() else 1.0) / (size - 1))
     keys = model.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(unpacked(k))], ["key"]) for b in batches for k in b["keys"].to_pylist()), "key long")
-    out = Model(vocabulary, totals, backoff, lower, d, np.sort(big["id"].to_numpy(np.int64)), np.zeros(0), Filter.of(keys), int(shards))
-    out.gain = out.gains(out.frequent, big.sort_values("id")["a"].to_numpy(np.int64)) if len(big) else np.zeros(0)
+    order = np.argsort(big[0])
+    out = Model(vocabulary, totals, backoff, lower, d, big[0][order], np.zeros(0), Filter.of(keys), int(shards))
+    out.gain = out.gains(out.frequent, big[1][order])
     return out, model
 
 
