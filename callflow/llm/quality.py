@@ -32,8 +32,8 @@ from callflow.llm.shared import documents, only, stored
 FREQUENT = 1e-6
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]")
 ID_BITS = 20
-#: Trusted words per shard of the model, words counted before a task writes them out, documents scored at a time.
-SHARD_WORDS, COUNTED, SCORED = 2_000_000, 1 << 22, 1024
+#: Trusted words per shard of the model, bigrams and distinct words held before a task writes their counts, documents scored at a time.
+SHARD_WORDS, COUNTED, COUNTED_WORDS, SCORED = 2_000_000, 1 << 20, 1 << 18, 512
 #: Bits of the filters that spare needless shuffling; a fixed size, so a filter grows weaker, not larger.
 FILTER_BITS = 1 << 26
 QUANTILE = 0.99
@@ -119,7 +119,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for body in batch["body"].to_pylist():
             counts.update(TOKEN.findall(zlib.decompress(body).lower()))
-            if len(counts) > COUNTED // 4:
+            if len(counts) > COUNTED_WORDS:
                 yield out()
                 counts.clear()
     yield out()
