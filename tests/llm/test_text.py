@@ -5,7 +5,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import FOLDER  # noqa: F401 - the folder of the small tables
 
 from callflow.llm import chat, decontaminate, html_text, language, queries, token_counts
 from callflow.llm.queries import QUERIES, SQL
