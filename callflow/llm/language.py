@@ -159,8 +159,8 @@ def sample_windows(labelled: DataFrame, per_language: int, per_text: int, seed:
     """Up to about ``per_language`` texts of each language and ``per_text`` windows of each, in a seeded order."""
     rows = documents(labelled, "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
     chance = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)).cast("double") / float(1 << 53)
-    totals = rows.groupBy("lang").count()
-    picked = rows.join(totals, "lang").where(chance < per_language / F.col("count")).select("lang", "text", chance.alias("chance"))
+    totals = rows.groupBy("lang").count()  # a row per language, as many as the network tells apart
+    picked = rows.join(F.broadcast(totals), "lang").where(chance < per_language / F.col("count")).select("lang", "text", chance.alias("chance"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
