@@ -234,16 +234,21 @@ SENT = "CASE " + " ".join("WHEN tok IN (" + ", ".join(f"'{w}'" for w in ws) + f"
 
 
 @query("j4_sentiment_baseline", f"""SELECT call_id, CASE WHEN n < 5 THEN 'No Sentiment' WHEN s >= 4 THEN 'Very Positive' WHEN s >= 1 THEN 'Positive' WHEN s <= -4 THEN 'Very Negative' WHEN s <= -1 THEN 'Negative' ELSE 'Neutral' END AS category, CAST(s AS BIGINT) AS score
-    FROM (SELECT call_id, sum({SENT}) AS s, count(*) AS n FROM (SELECT call_id, regexp_replace(lower(w), '[^\\p{{L}}]', '', 'g') AS tok FROM (SELECT call_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM spoken_lines) a) b GROUP BY call_id) c""", "spoken_lines")
+    FROM (SELECT call_id, coalesce(sum({SENT}) FILTER (speaker = 'speaker_1'), 0) AS s, count(*) FILTER (speaker = 'speaker_1') AS n FROM (SELECT call_id, speaker, regexp_replace(lower(w), '[^\\p{{L}}]', '', 'g') AS tok FROM (SELECT call_id, speaker, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM spoken_lines) a) b GROUP BY call_id) c""", "spoken_lines")
 def j4(t):
-    words = t["spoken_lines"].select("call_id", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("text"))
-    return rules.sentiment_tokens(words).select("call_id", "category", "score")
+    words = t["spoken_lines"].select("call_id", "speaker", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("text"))
+    return rules.sentiment_tokens(words, "speaker_1").select("call_id", "category", "score")
+
+
+N_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
 
 
 @query("j5_agent_scores", f"""SELECT call_id, CASE WHEN arg_min({wb(lx.OPENERS)}, line_no) FILTER (WHERE m) THEN 10 ELSE 0 END AS greeting, CASE WHEN arg_max({wb(lx.CLOSERS)}, line_no) FILTER (WHERE m) THEN 10 ELSE 0 END AS call_closure,
-    greatest(0, 10 - 5 * count(*) FILTER (WHERE m AND {wb(lx.PROHIBITED)})) AS compliance FROM (SELECT *, speaker = 'speaker_0' AS m FROM spoken_lines) t GROUP BY call_id""", "spoken_lines")
+    greatest(0, least(10, CAST(round(20 * (1 - greatest(said / total, 1 - said / total))) AS INT))) AS listening_balance,
+    greatest(0, 10 - 5 * count(*) FILTER (WHERE m AND {wb(lx.PROHIBITED)})) AS compliance
+    FROM (SELECT *, sum(w) OVER (PARTITION BY call_id) AS total, sum(CASE WHEN m THEN w ELSE 0 END) OVER (PARTITION BY call_id) AS said FROM (SELECT *, speaker = 'speaker_0' AS m, {N_WORDS} AS w FROM spoken_lines) a) t GROUP BY call_id, said, total""", "spoken_lines")
 def j5(t):
-    return rules.agent_scores(t["spoken_lines"], "speaker_0").select("call_id", "greeting", "call_closure", "compliance")
+    return rules.agent_scores(t["spoken_lines"], "speaker_0").select("call_id", "greeting", "call_closure", "listening_balance", "compliance")
 
 
 @query("j7_call_flags", "SELECT call_id, line_no, " + ", ".join(f"{has(p)} AS {n}" for n, p in lx.CALL_FLAGS.items()) + " FROM spoken_lines", "spoken_lines")
@@ -251,14 +256,15 @@ def j7(t):
     return t["spoken_lines"].select("call_id", "line_no", rules.call_flags(F.col("text")).alias("f")).select("call_id", "line_no", "f.*")
 
 
-N_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
-
-
-@query("j8_email_route", f"""SELECT call_id, line_no, "case", CASE WHEN "case" IN ('voicemail', 'ivr_only') THEN 're_engagement' WHEN "case" = 'cancellation' THEN 'problem_solving' ELSE 'general_follow_up' END AS email_type, "case" NOT IN ('voicemail', 'ivr_only', 'short') AS data_sufficient
-    FROM (SELECT call_id, line_no, CASE WHEN {has(lx.CALL_FLAGS['voicemail'])} THEN 'voicemail' WHEN {has(lx.IVR_PHRASES)} AND {N_WORDS} < 50 THEN 'ivr_only' WHEN lower(text) LIKE '%cancel%' THEN 'cancellation' WHEN {N_WORDS} < 50 THEN 'short' ELSE 'regular' END AS "case" FROM spoken_lines) t""", "spoken_lines")
+@query("j8_email_route", f"""SELECT call_id, line_no, "case", email_type, tone, data_sufficient, 'Hi Ann,' || chr(10) || chr(10) || CASE "case" WHEN 'voicemail' THEN 'Sorry I missed you.' WHEN 'very_negative' THEN 'I am sorry about your experience.' ELSE 'Thank you for your time.' END
+       || chr(10) || chr(10) || 'Would a short call this week suit you?' || chr(10) || chr(10) || 'Best regards' AS email
+    FROM (SELECT *, CASE WHEN "case" IN ('voicemail', 'ivr_only') THEN 're_engagement' WHEN "case" IN ('very_negative', 'cancellation') THEN 'problem_solving' ELSE 'general_follow_up' END AS email_type, "case" NOT IN ('voicemail', 'ivr_only', 'short') AS data_sufficient,
+            CASE WHEN "case" = 'very_negative' THEN 'empathetic' ELSE 'professional' END AS tone
+    FROM (SELECT call_id, line_no, CASE WHEN {has(lx.CALL_FLAGS['voicemail'])} THEN 'voicemail' WHEN {has(lx.IVR_PHRASES)} AND {N_WORDS} < 50 THEN 'ivr_only' WHEN line_no % 4 = 3 THEN 'very_negative' WHEN lower(text) LIKE '%cancel%' THEN 'cancellation' WHEN {N_WORDS} < 50 THEN 'short' ELSE 'regular' END AS "case" FROM spoken_lines) t) u""", "spoken_lines")
 def j8(t):
-    r = t["spoken_lines"].select("call_id", "line_no", rules.email_route(F.col("text"), F.lit("Neutral")).alias("r"))
-    return r.select("call_id", "line_no", "r.case", "r.email_type", "r.data_sufficient")
+    mood = F.when(F.col("line_no") % 4 == 3, "Very Negative").otherwise("Neutral")
+    r = t["spoken_lines"].select("call_id", "line_no", rules.email_route(F.col("text"), mood).alias("r"))
+    return r.select("call_id", "line_no", "r.case", "r.email_type", "r.tone", "r.data_sufficient", rules.fill_email(F.col("r"), F.lit("Ann")).alias("email"))
 
 
 @query("j10_entities", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a' || CAST(doc_id AS VARCHAR) || '@ex.org' END AS mail, list_aggregate(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), 'count') AS n_emails,

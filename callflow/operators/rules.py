@@ -87,14 +87,18 @@ def action_task(description: Column) -> Column:
     return F.struct(kind.alias("task_type"), F.when(kind == "escalation", "high").otherwise("medium").alias("priority"))
 
 
-def sentiment_tokens(words: DataFrame) -> DataFrame:
-    """Six-class sentiment per call from lexicon hits on its words."""
+def sentiment_tokens(words: DataFrame, customer: str | None = "Customer") -> DataFrame:
+    """Six-class sentiment per call from lexicon hits on the customer's words.
+
+    ``words`` has (call_id, speaker, text); without a ``customer`` all words count.
+    """
+    said = F.lit(True) if customer is None else F.coalesce(F.col("speaker") == customer, F.lit(False))
     tidy = F.regexp_replace(F.lower("text"), r"[^\p{L}]", "")
     weight = (
         F.when(tidy.isin(lx.SENTIMENT_LEXICON["very_positive"]), 2).when(tidy.isin(lx.SENTIMENT_LEXICON["positive"]), 1)
         .when(tidy.isin(lx.SENTIMENT_LEXICON["negative"]), -1).when(tidy.isin(lx.SENTIMENT_LEXICON["very_negative"]), -2)
     )
-    per = words.groupBy("call_id").agg(F.sum(F.coalesce(weight, F.lit(0))).alias("score"), F.count(F.lit(1)).alias("n_words"))
+    per = words.groupBy("call_id").agg(F.sum(F.when(said, F.coalesce(weight, F.lit(0))).otherwise(0)).alias("score"), F.count_if(said).alias("n_words"))
     s = F.col("score")
     category = (
         F.when(F.col("n_words") < 5, "No Sentiment").when(s >= 4, "Very Positive").when(s >= 1, "Positive")
