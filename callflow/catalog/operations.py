@@ -326,7 +326,12 @@ def a1(t):
     UNION ALL SELECT 'keys', CASE WHEN is_active THEN 'active' ELSE 'revoked' END, count(*) FROM api_keys GROUP BY is_active
     UNION ALL SELECT 'requests', 'total', count(*) FROM requests
     UNION ALL SELECT 'rtf', strftime(created_at, '%Y-%m'), round(avg(processing_time / audio_duration), 6) FROM jobs WHERE audio_duration > 0 GROUP BY 2
-    UNION ALL SELECT 'queue', CASE WHEN count(*) > 80 THEN 'error' WHEN count(*) > 50 THEN 'warning' ELSE 'ok' END, count(*) FROM jobs WHERE status = 'pending' AND is_async""", "jobs api_keys requests")
+    UNION ALL SELECT 'queue', CASE WHEN count(*) > 80 THEN 'error' WHEN count(*) > 50 THEN 'warning' ELSE 'ok' END, count(*) FROM jobs WHERE status = 'pending' AND is_async
+    UNION ALL SELECT * FROM (SELECT 'next', CAST(job_id AS VARCHAR), priority FROM jobs WHERE status = 'pending' AND is_async ORDER BY priority DESC, created_at, job_id LIMIT 10) q
+    UNION ALL SELECT 'usage', CAST(key_id AS VARCHAR), count(*) FROM requests GROUP BY key_id
+    UNION ALL SELECT 'peak', w, max(n) FROM (SELECT unnest(['minute', 'hour', 'day']) AS w, unnest([{trailing(60)}, {trailing(3600)}, {trailing(86400)}]) AS n FROM requests) p GROUP BY w
+    UNION ALL SELECT 'key_stats', unnest(['total_requests', 'audio_minutes', 'most_used_requests']), unnest([CAST(sum(n) AS DOUBLE), round(sum(m), 4), CAST(max(n) AS DOUBLE)])
+        FROM (SELECT k.key_id, count(r.request_id) AS n, coalesce(sum(greatest(audio_seconds, 0) / 60.0), 0) AS m FROM api_keys k LEFT JOIN requests r ON r.key_id = k.key_id GROUP BY k.key_id) s""", "jobs api_keys requests")
 def k6(t):
     return operations.ops_report(t["jobs"], t["api_keys"], t["requests"])
 
@@ -341,6 +346,12 @@ def a11(t):
     return operations.dated_layout(t["jobs"]).select("job_id", "ingest_date", "media_path")
 
 
-@query("k7_admit_checks", "SELECT coalesce(CASE WHEN NOT regexp_matches(key_type, '^(bp-proj|bp|bp-svc)') THEN 'bad_format' WHEN NOT is_active THEN 'revoked' END, 'checked') AS outcome, count(*) AS n FROM (SELECT r.request_id, k.key_type, k.is_active FROM requests r JOIN api_keys k ON k.key_id = r.key_id) t GROUP BY 1", "requests api_keys")
+@query(
+    "k7_admit_checks",
+    """SELECT CASE WHEN key_type IS NULL THEN 'unknown_key' WHEN NOT regexp_matches(key_type, '^(bp-proj|bp|bp-svc)') THEN 'bad_format' WHEN NOT is_active THEN 'revoked' ELSE 'checked' END AS outcome, count(*) AS n
+       FROM (SELECT r.request_id, CASE WHEN k.key_id % 9 = 0 THEN 'xx-' || k.key_type ELSE k.key_type END AS key_type, k.is_active FROM requests r LEFT JOIN api_keys k ON k.key_id = r.key_id) t GROUP BY 1""",
+    "requests api_keys",
+)
 def k7_checks(t):
-    return admit.check_keys(t["requests"], t["api_keys"]).where("outcome <> 'unknown_key'").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    keys = t["api_keys"].withColumn("key_type", F.when(F.col("key_id") % 9 == 0, F.concat(F.lit("xx-"), "key_type")).otherwise(F.col("key_type")))
+    return admit.check_keys(t["requests"], keys).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

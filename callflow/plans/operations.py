@@ -17,12 +17,25 @@ def ops_report(jobs: DataFrame, keys: DataFrame, requests: DataFrame) -> DataFra
     n = F.count(F.lit(1)).alias("n")
     state = F.when(F.col("is_active"), "active").otherwise("revoked").alias("state")
     waiting = usage.pending_async(jobs).agg(n)
+    used = usage.key_usage(requests)
+    peaks = usage.trailing_counts(requests).agg(*[F.max(f"last_{w}").alias(w) for w in usage.WINDOWS_S])
+    stats = usage.key_stats(keys, used).select("total_requests", F.round("audio_minutes", 4).alias("audio_minutes"), "most_used_requests")
+
+    def turned(df: DataFrame, section: str) -> DataFrame:
+        """One row per column of a frame of one row."""
+        pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns]))
+        return df.select(F.lit(section).alias("section"), pairs)
+
     return (
         rows(jobs.groupBy("status").agg(n), "jobs", F.col("status"), F.col("n"))
         .unionByName(rows(keys.groupBy(state).agg(n), "keys", F.col("state"), F.col("n")))
         .unionByName(rows(requests.agg(n), "requests", F.lit("total"), F.col("n")))
         .unionByName(rows(usage.rtf_by_month(jobs), "rtf", F.col("period"), F.round("mean_rtf", 6)))
         .unionByName(rows(waiting, "queue", usage.level(F.col("n"), usage.QUEUE_WARN, usage.QUEUE_ERROR), F.col("n")))
+        .unionByName(rows(usage.pending_queue(jobs), "next", F.col("job_id").cast("string"), F.col("priority")))
+        .unionByName(rows(used, "usage", F.col("key_id").cast("string"), F.col("total_requests")))
+        .unionByName(turned(peaks, "peak"))
+        .unionByName(turned(stats, "key_stats"))
     )
 
 
