@@ -271,18 +271,16 @@ def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     return components(stored(links.distinct()), "a", "b").select(F.col("node").alias("fp"), "root")
 
 
-def classes(docs: DataFrame, distance: int) -> DataFrame:
-    """doc_id, rid, fp, root (a fingerprint) and component_id of every row."""
-    hashed = stored(fingerprints(docs))
+def classes(hashed: DataFrame, distance: int) -> DataFrame:
+    """fp, root (a fingerprint) and component_id of every distinct fingerprint."""
     fps = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = fps.join(near_components(fps, distance), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "root", "component_id")
     own = F.col("root").isNull()
-    known = fps.join(moved, "fp", "left").select(
+    return fps.join(moved, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(own, F.col("first")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return hashed.join(known, "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -299,10 +297,15 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     no rows. Other columns are ignored. Copies share a fingerprint and enter the
     tries once, however many they are.
     """
-    return classes(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hashed = stored(fingerprints(docs))
+    joined = hashed.join(classes(hashed, distance), "fp")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     """One row of each component, all columns: the smallest doc_id (null last), of several rows with it an arbitrary but fixed one."""
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    return rows_of(docs, classes(docs, distance).groupBy("root").agg(F.min_by("rid", order).alias("rid")))
+    hashed = stored(fingerprints(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("row")
+    # copies share a fingerprint and are settled before they meet its component
+    best = hashed.groupBy("fp").agg(first).join(classes(hashed, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return rows_of(docs, best.select("row.rid"))
