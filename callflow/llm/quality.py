@@ -1,9 +1,11 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model.
 
 The model is trained on trusted texts. Words that make up a millionth of the
-trusted words or more are its vocabulary, the others are one unknown word, so
-everything kept per word has at most a million entries. Bigram counts grow with
-the input and live in shards by the hash of the bigram. A document's bigrams are
+trusted words or more are its vocabulary, so everything sent to all tasks has at
+most a million entries. The others form a pool that stands as one word in the
+bigrams; charged, a word of the pool takes only its own share of the pool's
+probability. Counts of bigrams and of pooled words grow with the input and live
+in shards by their hash. A document's bigrams are
 settled where it is read if they are very frequent (a millionth of all bigrams
 or more, again a million at most); the others meet their counts in the shards.
 Perplexities above a quantile of held-out trusted texts of the same language are
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from callflow.llm.shared import documents, only, stored
 FREQUENT = 1e-6
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]")
 ID_BITS = 20
+#: Keys of pooled words stand above those of all bigrams.
+POOLED = 1 << 62
 #: Trusted words per shard of the model, bigrams and distinct words held before a task writes their counts, documents scored at a time.
 SHARD_WORDS, COUNTED, COUNTED_WORDS, SCORED = 2_000_000, 1 << 20, 1 << 18, 512
 #: Bits of the filters that spare needless shuffling; a fixed size, so a filter grows weaker, not larger.
@@ -131,6 +136,10 @@ def bigrams(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
     return (ids[:-1] << ID_BITS) | ids[1:]
 
 
+def pooled_keys(words: list[bytes]) -> np.ndarray:
+    return np.array([POOLED | xxhash.xxh64_intdigest(w) >> 2 for w in words], np.int64)
+
+
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted keys by shard, and the shard of each."""
     shard = (mixed(keys) % np.uint64(shards)).astype(np.int64)
@@ -138,6 +147,17 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, shard[order]
 
 
+def in_shards(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A row of packed keys and counts for each shard that has some of the sorted keys."""
+    order, shard = by_shard(keys, shards)
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+    parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard[edges[:-1]], pa.int64()), pa.array([packed(keys[p]) for p in parts], pa.binary()), pa.array([counts[p].astype(np.int64).tobytes() for p in parts], pa.binary())],
+        ["shard", "keys", "counts"],
+    )
+
+
 def discounts(counts: dict[int, float]) -> np.ndarray:
     """Discount of a count of 0, 1, 2, and 3 or more, from how many occur once to four times."""
     n = [counts.get(i, 0.0) for i in range(5)]
@@ -159,11 +179,16 @@ class Model:
     discount: np.ndarray
     frequent: np.ndarray  # keys of frequent bigrams, sorted
     gain: np.ndarray  # what each adds to the backed-off log probability
-    held: Filter  # bigrams the model has
+    held: Filter  # bigrams and pooled words the model has
     shards: int
+    pool: float = 0.0  # log of the trusted words outside the vocabulary
+    charged: bool = True  # whether a word of the pool takes only its share
 
     def gains(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Log probability of counted bigrams less the backed-off one."""
+        """Log probability of counted bigrams less the backed-off one; of pooled words, what their count adds to a word seen once."""
+        if len(keys) and keys[-1] >= POOLED:
+            of = np.searchsorted(keys, POOLED)
+            return np.concatenate([self.gains(keys[:of], counts[:of]), np.log(counts[of:])])
         v, w = keys >> ID_BITS, keys & ((1 << ID_BITS) - 1)
         back = self.backoff[v] + self.lower[w]
         own = (counts - self.discount[np.minimum(counts, 3)]) / self.total[v]
@@ -176,8 +201,10 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     words = texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = stored(words)
     total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") >= max(2, math.ceil(total * FREQUENT))).select("word").toArrow().column(0)
+    least = max(2, math.ceil(total * FREQUENT))
+    kept = words.where(F.col("n") >= least).select("word").toArrow().column(0)
     vocabulary = {w: i + 1 for i, w in enumerate(sorted(kept.to_pylist()))}
+    pool = words.where(F.col("n") < least).agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-total // SHARD_WORDS))
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -186,13 +213,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
 
         def out() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            order, shard = by_shard(keys, shards)
-            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
-            parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard[edges[:-1]], pa.int64()), pa.array([packed(keys[p]) for p in parts], pa.binary()), pa.array([counts[p].astype(np.int64).tobytes() for p in parts], pa.binary())],
-                ["shard", "keys", "counts"],
-            )
+            return in_shards(keys, counts, shards)
 
         for batch in batches:
             for body in batch["body"].to_pylist():
@@ -210,6 +231,12 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
         summed = np.bincount(inverse, counts, len(key)).astype(np.int64)
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "keys": [packed(key)], "counts": [summed.tobytes()]})
 
+    def count_pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = pooled_keys(batch["word"].to_pylist()), batch["n"].to_numpy(zero_copy_only=False)
+            order = np.argsort(keys)
+            yield in_shards(keys[order], counts[order], shards)
+
     schema = "shard long, keys binary, counts binary"
     model = stored(texts.mapInArrow(count_bigrams, schema).groupBy("shard").applyInPandas(add, schema))
 
@@ -245,9 +272,12 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     dl = discounts(Counter(before[before > 0].astype(int).tolist()))
     spared = dl[np.minimum(before, 3).astype(int)]
     lower = np.log((before - spared) / max(1.0, before.sum()) + (spared.sum() / before.sum() if before.sum() else 1.0) / (size - 1))
+    # words seen once count like unseen ones and need no entry
+    rare = stored(words.where(F.col("n").between(2, least - 1)).mapInArrow(count_pooled, schema).groupBy("shard").applyInPandas(add, schema))
+    model = model.unionByName(rare)
     keys = model.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(unpacked(k))], ["key"]) for b in batches for k in b["keys"].to_pylist()), "key long")
     order = np.argsort(big[0])
-    out = Model(vocabulary, totals, backoff, lower, d, big[0][order], np.zeros(0), Filter.of(keys), int(shards))
+    out = Model(vocabulary, totals, backoff, lower, d, big[0][order], np.zeros(0), Filter.of(keys), int(shards), math.log(max(1, pool)))
     out.gain = out.gains(out.frequent, big[1][order])
     return out, model
 
@@ -272,7 +302,8 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
         for whole in batches:
             for start in range(0, len(whole), SCORED):
                 batch = whole.slice(start, SCORED)
-                made = [bigrams(TOKEN.findall(t.lower()), m.vocabulary) for t in batch["text"].cast(pa.binary()).to_pylist()]
+                split = [TOKEN.findall(t.lower()) for t in batch["text"].cast(pa.binary()).to_pylist()]
+                made = [bigrams(words, m.vocabulary) for words in split]
                 sizes = np.array([len(x) for x in made])
                 doc, keys = np.repeat(np.arange(len(made)), sizes), np.concatenate(made)
                 score = m.backoff[keys >> ID_BITS] + m.lower[keys & ((1 << ID_BITS) - 1)]
@@ -282,7 +313,13 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
                     place = np.minimum(place, len(m.frequent) - 1)
                     known = m.frequent[place] == keys
                     score[known] += m.gain[place[known]]
+                if m.charged:
+                    unknown = (keys & ((1 << ID_BITS) - 1)) == UNKNOWN
+                    score[unknown] -= m.pool
                 base = np.bincount(doc, score, len(made))
+                if m.charged:
+                    keys = np.concatenate([keys, pooled_keys([w for words in split for w in words if w not in m.vocabulary])])
+                    doc, known = np.concatenate([doc, doc[unknown]]), np.concatenate([known, np.zeros(unknown.sum(), bool)])
                 ask = ~known & m.held.holds(keys.view(np.uint64))
                 order = np.argsort(keys[ask], kind="stable")
                 wanted, of = keys[ask][order], doc[ask][order]
@@ -301,8 +338,13 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
             rows = []
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    shard, keys = r["shard"], unpacked(r["keys"])
-                    gains = m.gains(keys, np.frombuffer(r["counts"], np.int64))
+                    # bigrams and pooled words of a shard come as a row each
+                    if r["shard"] != shard:
+                        shard, keys, gains = r["shard"], np.zeros(0, np.int64), np.zeros(0)
+                    more = unpacked(r["keys"])
+                    keys, gains = np.concatenate([keys, more]), np.concatenate([gains, m.gains(more, np.frombuffer(r["counts"], np.int64))])
+                    order = np.argsort(keys, kind="stable")
+                    keys, gains = keys[order], gains[order]
                 elif r["kind"] == 2:
                     rows.append(r)
                 elif r["shard"] == shard and len(keys):
@@ -332,14 +374,16 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
     return met.select("kind", "batch", "at", "counts", "doc_id", "lang", "words", "base").groupBy("batch").applyInPandas(gather, "doc_id long, lang string, words long, log_probability double")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, charged: bool = False) -> DataFrame:
     """doc_id, lang, words, perplexity, threshold, kept of every document.
 
     Trusted are documents labelled quality 1 and not toxic; four fifths of them
     (by crc32 of the id) train the model, the rest sets the thresholds: the
     ``quantile`` of their perplexity in each language. Languages without such
     texts, null included, take the quantile over all. Kept is a perplexity at or
-    below the threshold.
+    below the threshold. ``charged``: a word outside the vocabulary has the
+    probability of the pool times its share of the pooled trusted words, an unseen
+    one that of a word seen once; else each has that of the whole pool.
 
     Null and empty texts have no perplexity and are not kept. A null doc_id is
     never trusted. Repeated rows come back as often as they occur; repeated
@@ -353,6 +397,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     trusted = marked.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
     aside = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model, counts = fit(stored(trusted_texts(d, trusted.where(~aside))))
+    model.charged = charged
     scored = stored(log_probabilities(d, model, counts))
     perplexity = F.when(F.col("words") > 0, F.exp(-F.col("log_probability") / F.col("words")))
     scored = scored.select("doc_id", "lang", "words", perplexity.alias("perplexity"))

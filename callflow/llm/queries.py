@@ -55,7 +55,7 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), charged=True)
 
 
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -180,6 +180,26 @@ def test_perplexity_equals_a_plain_model(spark, docs, monkeypatch, frequent):
         assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold)
 
 
+@pytest.mark.parametrize("share", [1e-6, 1e-3])
+def test_words_outside_the_vocabulary_take_their_share_of_the_pool(spark, docs, monkeypatch, share):
+    monkeypatch.setattr(quality, "FREQUENT", share)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    strange = spark.createDataFrame([(-1, " ".join(f"zq{i}xv" for i in range(300)), "en")], "doc_id long, text string, lang string")
+    df = docs.select("doc_id", "text", "lang").unionByName(strange)
+    learn = {d for d in trusted(labels.collect()) if zlib.crc32(str(d).encode()) % 5}
+    split = {r.doc_id: quality.TOKEN.findall((r.text or "").encode().lower()) for r in df.collect()}
+    words = Counter(w for d in learn for w in split.get(d, ()))
+    least = max(2, math.ceil(sum(words.values()) * share))
+    pool = sum(n for n in words.values() if n < least)
+    bare = {r.doc_id: r for r in quality.classify_quality(df, labels).collect()}
+    got = {r.doc_id: r for r in quality.classify_quality(df, labels, charged=True).collect()}
+    assert share == 1e-6 or any(2 <= n < least for n in words.values())
+    for d, s in split.items():
+        charge = sum(math.log(pool / max(1, words[w])) for w in s if words[w] < least)
+        assert not s or math.isclose(math.log(got[d].perplexity / bare[d].perplexity) * len(s), charge, rel_tol=1e-6, abs_tol=1e-6)
+    assert bare[-1].kept and not got[-1].kept
+
+
 def test_quality_edge_rows(spark, odd, none):
     schema = "doc_id long, quality int, toxic int, text string"
     labels = spark.createDataFrame([(1, 1, 0, "x"), (7, 1, None, "x"), (7, 1, 0, "x"), (8, None, 0, "x"), (None, 1, 0, "x"), (9, 1, 1, "x")], schema)
