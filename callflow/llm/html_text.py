@@ -4,7 +4,8 @@ A page becomes a tree of elements. Each text block passes points for its length
 and commas to its parent, half of them to its grandparent and a third further
 up; a container's points are discounted by its link density. The best container
 and the siblings that score well beside it are kept; what is boilerplate by its
-element, its name or its links is left out of them.
+element, its name or its links is left out of them. A form or a name drops nothing
+that holds the article or most of the page.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: Elements that such an implied end does not reach across.
 BARRIERS = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "html", "blockquote", "form", "td", "th"}
 DROPPED = {
-    "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "input", "textarea", "iframe", "object", "embed",
+    "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "button", "select", "input", "textarea", "iframe", "object", "embed",
     "canvas", "svg", "math", "audio", "video", "dialog", "menu", "title",
 }
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 #: Words of a class or id that name boilerplate.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
@@ -50,6 +51,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 MENU_DENSITY = 0.8
 #: Share of the best score from which an element that says it is the article is taken.
 MARKED_SHARE = 0.25
+#: Share of the page's points from which a form or an element with a boilerplate name is a wrapper of the page.
+WRAPPER_SHARE = 0.75
 BOXES = {"ul", "ol", "dl", "div", "section", "table", "tbody", "tr"}
 
 
@@ -58,6 +61,7 @@ class Tree:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.dropped, self.main = ["#root"], [-1], [False], [False]
+        self.doubtful, self.marks = [False], [""]  # dropped unless it holds the article or most of the page; what the element says it is
         self.blocks: list[tuple[int, str, int]] = []
         self._open, self._text, self._links, self._linked = [0], [], 0, 0
         skip = None
@@ -119,7 +123,8 @@ class Tree:
         given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip(" /\n\t\r") else {}
         up = self._open[-1]
         named = f"{given.get('class', '')} {given.get('id', '')}"
-        inside = self.main[up] or name in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
+        mark = name if name in ("article", "main") else given["role"] if given.get("role") in ("main", "article") else "main" if given.get("itemprop") == "articleBody" else ""
+        inside = self.main[up] or bool(mark)
         drop = (
             self.dropped[up]
             or name in DROPPED
@@ -128,14 +133,16 @@ class Tree:
             or "hidden" in given
             or given.get("aria-hidden") == "true"
             or bool(HIDDEN.search(given.get("style", "")))
-            or (name not in ("html", "body", "article", "main") and bool(NAMES.search(named)))
         )
+        doubtful = name == "form" or given.get("role") == "form" or (name not in ("html", "body", "article", "main") and bool(NAMES.search(named)))
         if name in VOID or attributes.endswith("/") and name in INLINE:
             return
         self.tag.append(name)
         self.parent.append(up)
         self.dropped.append(drop)
         self.main.append(inside)
+        self.doubtful.append(doubtful)
+        self.marks.append(mark)
         self._open.append(len(self.tag) - 1)
         self._links += name == "a"
 
@@ -163,18 +170,39 @@ def sums(tree: Tree) -> tuple[list[int], list[int]]:
     return chars, linked
 
 
+def points_of(text: str, links: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+
+
+def wrappers(tree: Tree) -> list[bool]:
+    """Elements around a main element, an article that is not a mere comment or teaser, or most of the page."""
+    below, around = [0.0] * len(tree.tag), [False] * len(tree.tag)
+    for owner, text, links in tree.blocks:
+        if not tree.dropped[owner]:
+            below[owner] += points_of(text, links)
+    for i in range(len(tree.tag) - 1, 0, -1):
+        below[tree.parent[i]] += below[i]
+    for i in range(len(tree.tag) - 1, 0, -1):
+        mark = tree.marks[i] if below[i] else ""
+        around[i] = around[i] or mark == "main" or (mark == "article" and below[i] >= MARKED_SHARE * below[0])
+        around[tree.parent[i]] = around[tree.parent[i]] or around[i]
+    # inside an article, another one is a teaser
+    return [(a and not (i and tree.main[tree.parent[i]])) or b >= WRAPPER_SHARE * below[0] > 0 for i, (a, b) in enumerate(zip(around, below, strict=True))]
+
+
 def main_blocks(html: str) -> list[str]:
     """The blocks of text of the main article, in page order."""
     tree = Tree(html)
     chars, linked = sums(tree)
+    wrapper = wrappers(tree) if any(tree.doubtful) else []
     for i in range(1, len(tree.tag)):
-        if tree.dropped[tree.parent[i]] or (tree.tag[i] in BOXES and chars[i] and linked[i] >= MENU_DENSITY * chars[i]):
+        if tree.dropped[tree.parent[i]] or (tree.doubtful[i] and not wrapper[i]) or (tree.tag[i] in BOXES and chars[i] and linked[i] >= MENU_DENSITY * chars[i]):
             tree.dropped[i] = True
     points = [0.0] * len(tree.tag)
     for owner, text, links in tree.blocks:
         if tree.dropped[owner]:
             continue
-        got = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+        got = points_of(text, links)
         node, share = owner if tree.tag[owner] in ("article", "main", "body", "div", "section", "#root") else tree.parent[owner], 1.0
         level = 1
         while node >= 0:

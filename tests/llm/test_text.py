@@ -105,6 +105,29 @@ def test_html():
     assert html_text.main_blocks("<div>" * 5000 + "<p>deep, text" + "</div>" * 5000) == ["deep, text"]
 
 
+def test_html_wrappers_keep_their_article():
+    first, second = "The council met on Monday, and it voted, after a long debate.", "Nobody, it seems, was surprised by the result, least of all the mayor."
+    text = [first, second]
+    body = f"<p>{first}</p><p>{second}</p>"
+    aside = "<div class='sidebar'><p>Most read, today</p></div>"
+    for page in (
+        f"<body><form id='aspnetForm' action='x'><input name='v'><div>{body}</div></form></body>",
+        f"<body><form><div class='header'>Shop</div><article>{body}</article><select><option>a</option></select></form></body>",
+        f"<body><div class='page has-sidebar'><article>{body}</article>{aside}</div></body>",
+        f"<body><div class='no-sidebar'><main>{body}</main></div>{aside}</body>",
+        f"<body><div class='layout has-sidebar'><div>{body}</div></div></body>",
+        f"<article><div class='review'>{body}</div></article>",
+    ):
+        assert html_text.main_blocks(page) == text, page
+    comments = "".join(f"<article><p>I agree, number {i}</p></article>" for i in range(5))
+    for page in (
+        f"<body><div>{body}</div><form><p>Your name, please</p></form></body>",
+        f"<body><div>{body}</div><div class='comments'>{comments}</div></body>",
+        f"<article>{body}<div class='related'><article><p>Another, other story</p></article></div></article>",
+    ):
+        assert html_text.main_blocks(page) == text, page
+
+
 def test_html_edge_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a  b</p>", "y"), (1, "u", None, "x"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     got = Counter(map(tuple, html_text.extract_text(df).collect()))
