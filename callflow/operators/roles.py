@@ -29,19 +29,29 @@ def parse_lines(transcripts: DataFrame) -> DataFrame:
 def speaker_signals(sample: DataFrame) -> DataFrame:
     """Per speaker: order of appearance and what the sample lines contain.
 
-    Phrases are tested per line, which keeps the text itself out of the
-    aggregation; only flags and counts are combined.
+    Phrases are tested on a speaker's lines joined in order, so that they may run
+    over a line break; hits are lines with a phrase and phrases over a break.
+    ``sample`` has a few lines a call (``SAMPLE_LINES``), whose text is collected.
     """
+    lines = F.array_sort(F.collect_list(F.struct("line_no", F.trim("text").alias("text"))))["text"]
+
     def seen(phrases: list[str]) -> Column:
-        return F.max(lx.mentions(F.col("text"), phrases))
+        return lx.mentions(F.array_join("_lines", " "), phrases)
+
+    def over_breaks(phrases: list[str]) -> Column:
+        found = F.regexp_extract_all(F.lower(F.array_join("_lines", "\n")), F.lit(lx.pattern(phrases).replace(" ", "[ \n]")), F.lit(0))
+        return F.size(F.filter(found, lambda m: m.contains("\n")))
 
     per = sample.where(F.col("speaker").isNotNull()).groupBy("call_id", "speaker").agg(
         F.min("line_no").alias("first_line"),
         F.count(F.lit(1)).alias("n_lines"),
-        seen(lx.IVR_SPEAKER_PHRASES).alias("ivr_phrase"),
-        seen(lx.CUSTOMER_PHRASES).alias("customer_signal"),
-        seen(lx.AGENT_PHRASES).alias("agent_signal"),
         *[F.sum(lx.mentions(F.col("text"), p).cast("int")).alias(f"{r.lower()}_hits") for r, p in lx.ROLE_RULES.items()],
+        lines.alias("_lines"),
+    )
+    per = per.select(
+        "call_id", "speaker", "first_line", "n_lines", seen(lx.IVR_SPEAKER_PHRASES).alias("ivr_phrase"),
+        seen(lx.CUSTOMER_PHRASES).alias("customer_signal"), seen(lx.AGENT_PHRASES).alias("agent_signal"),
+        *[(F.col(f"{r.lower()}_hits") + over_breaks(p)).alias(f"{r.lower()}_hits") for r, p in lx.ROLE_RULES.items()],
     )
     order = F.row_number().over(W.partitionBy("call_id").orderBy("first_line")) - 1
     return per.withColumn("place", order)
