@@ -111,16 +111,18 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         vocabulary, known = unigram(model.value), {}
         for batch in batches:
             ids, n_words, n_tokens = batch["doc_id"].to_pylist(), [], []
-            for text in batch["text"].cast(pa.binary()).to_pylist():
+            texts, fresh = batch["text"].cast(pa.binary()).to_pylist(), set()
+            for text in texts:
+                fresh.update(text.split())
+            marked = {w: WORD_START + w.decode() for w in fresh if w not in known}
+            found = vocabulary.counts(marked.values())
+            known.update((w, found[x]) for w, x in marked.items())
+            for text in texts:  # split again, as only distinct words are held
                 words = text.split()
-                fresh = {w: WORD_START + w.decode() for w in set(words) if w not in known}
-                if fresh:
-                    found = vocabulary.counts(fresh.values())
-                    known.update((w, found[x]) for w, x in fresh.items())
                 n_words.append(len(words))
                 n_tokens.append(sum(map(known.__getitem__, words)))
-                if len(known) > REMEMBERED:
-                    known.clear()
+            if len(known) > REMEMBERED:
+                known.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     d = documents(docs)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callflow.llm import chat, decontaminate, html_text, language, queries, token_counts
@@ -59,6 +60,18 @@ CONVERSATIONS = [
 ]
 
 
+def test_prefixes_are_scored_once_for_a_batch(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "prefixing"), (2, "prefixes prefix")], "doc_id long, text string")
+    functions, calls = [], []
+    mapped, counts = type(df).mapInArrow, token_counts.Unigram.counts
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: functions.append(f) or mapped(self, f, schema))
+    monkeypatch.setattr(token_counts.Unigram, "counts", lambda self, words: calls.append(sorted(words)) or counts(self, calls[-1]))
+    token_counts.count_tokens(df)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
+    assert [r["n_words"] for b in functions[0](iter([batch])) for r in b.to_pylist()] == [1, 2]
+    assert calls == [[token_counts.WORD_START + w for w in ("prefix", "prefixes", "prefixing")]]
+
+
 def test_chat_round_trip(spark):
     import hashlib
 
