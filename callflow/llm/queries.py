@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,13 @@ from callflow.llm.exact_dedup import exact_duplicates
 from callflow.llm.html_text import extract_text
 from callflow.llm.language import identify_languages
 from callflow.llm.mixing import mix_sources
+from callflow.llm.packing import pack
 from callflow.llm.quality import classify_quality
 from callflow.llm.repeats import remove_repeats
 from callflow.llm.simhash import near_duplicates
 from callflow.llm.token_counts import count_tokens
+from callflow.llm.variants import spelling_variants
+from callflow.llm.vector_codes import compress_vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,11 +77,91 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"), spoil_every=199)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op8_quality, op9_exact_dedup, op10_repeated_bytes)
+    f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op3_chat_format, op4_decontaminate, op5_html_text, op6_language_id, op7_mix_sources, op8_quality, op9_exact_dedup, op10_repeated_bytes, op11_spelling_variants, op12_vector_codes, op13_pack_sequences)
 }
 
+
+def crc_step(value: int) -> int:
+    """What the CRC-32 polynomial makes of one byte."""
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
 SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+    SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b
+    FROM counted),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, ({[crc_step(i) for i in range(256)]}::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295) AS h
+    FROM bytes),
+spoiled AS (
+    SELECT n, CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word
+    FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spoiled GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+cuts AS MATERIALIZED (
+    SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pairs GROUP BY word),
+formed AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (
+    SELECT word, word AS root, form AS next FROM formed
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL""",
+    "op12_vector_codes": r"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS no, vec_id, label, embedding, len(embedding) // 16 AS width
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS MATERIALIZED (
+    SELECT no, (i - 1) // width AS part, (i - 1) % width AS pos, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x
+    FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT part, no - 1 AS entry, pos, x AS c FROM flat WHERE no <= 64),
+dist0 AS (SELECT no, f.part, entry, sum((x - c) * (x - c)) AS d FROM flat f JOIN book0 b ON f.part = b.part AND f.pos = b.pos GROUP BY ALL),
+near0 AS (SELECT no, part, arg_min(entry, (d, entry)) AS entry FROM dist0 GROUP BY ALL),
+mean0 AS (
+    SELECT f.part, entry, pos, sum(x)::BIGINT AS s, count(*) AS k FROM flat f JOIN near0 n ON f.no = n.no AND f.part = n.part GROUP BY ALL),
+book1 AS MATERIALIZED (
+    SELECT b.part, b.entry, b.pos, CASE WHEN k IS NULL THEN c ELSE (s - ((s % k) + k) % k) // k END AS c
+    FROM book0 b LEFT JOIN mean0 m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos),
+dist1 AS (SELECT no, f.part, entry, sum((x - c) * (x - c)) AS d FROM flat f JOIN book1 b ON f.part = b.part AND f.pos = b.pos GROUP BY ALL),
+near1 AS (SELECT no, part, arg_min(entry, (d, entry)) AS entry FROM dist1 GROUP BY ALL),
+mean1 AS (
+    SELECT f.part, entry, pos, sum(x)::BIGINT AS s, count(*) AS k FROM flat f JOIN near1 n ON f.no = n.no AND f.part = n.part GROUP BY ALL),
+book2 AS MATERIALIZED (
+    SELECT b.part, b.entry, b.pos, CASE WHEN k IS NULL THEN c ELSE (s - ((s % k) + k) % k) // k END AS c
+    FROM book1 b LEFT JOIN mean1 m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos),
+dist2 AS (SELECT no, f.part, entry, sum((x - c) * (x - c)) AS d FROM flat f JOIN book2 b ON f.part = b.part AND f.pos = b.pos GROUP BY ALL),
+near2 AS (SELECT no, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM dist2 GROUP BY ALL),
+coded AS (SELECT no, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY no),
+hash AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (no), hash""",
     "op3_chat_format": r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
