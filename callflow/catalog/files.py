@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callflow.catalog.registry import query
-from callflow.catalog.requests import CHANGES
+from callflow.catalog.requests import CHANGES, accepts_even, no_wait
 from callflow.plans import deliver
 from callflow.sources import files
 from callflow.streaming import jobs
+from callflow.streaming.keyed import KeyedFolder, upsert_stream
 
 
 def new_folder(t) -> str:
@@ -104,6 +105,42 @@ def a10(t):
     return files.read_saved(t.spark, states).select("job_id", "status").join(results, "job_id", "left")
 
 
+def arriving(t, rows: DataFrame, out: str, parts: int) -> DataFrame:
+    """The rows as a stream of ``parts`` files, one a batch."""
+    rows.repartition(parts).write.parquet(out)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+@query("i3_lifecycle_stream", "SELECT job_id, status FROM jobs", "jobs")
+def i3_stream(t):
+    out = new_folder(t)
+    states = jobs.job_states(t.spark, f"{out}/states", buckets=8)
+    upsert_stream(arriving(t, t.sql(CHANGES), f"{out}/in", 3), states, f"{out}/c", jobs.latest_state).awaitTermination()
+    return states.read().select("job_id", "status")
+
+
+@query("a10_save_stream", "SELECT j.job_id, r.text, CASE WHEN r.job_id IS NULL THEN j.status ELSE 'completed' END AS status FROM jobs j LEFT JOIN results r ON r.job_id = j.job_id", "jobs results")
+def a10_stream(t):
+    out = new_folder(t)
+    kept, states = (KeyedFolder(t.spark, f"{out}/{name}", "job_id", jobs.change_order if name == "jobs" else lambda: F.struct("ts"), 8) for name in ("results", "jobs"))
+    states.upsert(t["jobs"].select("job_id", "status", F.lit("1990-01-01").cast("timestamp").alias("ts")), -1)
+    results = t["results"].withColumn("ts", F.lit("2030-01-01").cast("timestamp"))
+    jobs.save_stream(arriving(t, results, f"{out}/in", 2), kept, states, f"{out}/c").awaitTermination()
+    saved = kept.read().select("job_id", F.get_json_object("result_json", "$.text").alias("text"))
+    return states.read().select("job_id", "status").join(saved, "job_id", "left")
+
+
+@query("k8_deliver_stream", """SELECT job_id, job_id % 3 <> 0 AND job_id % 2 = 0 AS delivered, CASE WHEN job_id % 3 = 0 THEN 0 WHEN job_id % 2 = 0 THEN 1 ELSE 3 END AS attempts,
+    CASE WHEN job_id % 3 <> 0 AND job_id % 2 = 0 THEN 'https://x.example/cb' END AS logged FROM results""", "results")
+def k8_stream(t):
+    out = new_folder(t)
+    rows = t["results"].select("job_id", F.when(F.col("job_id") % 3 == 0, "ftp://x").otherwise("https://x.example/cb").alias("callback_url"), F.col("text").alias("transcription"))
+    states = deliver.delivery_states(t.spark, f"{out}/states", 8)
+    deliver.deliver_stream(arriving(t, rows, f"{out}/in", 2), accepts_even, states, f"{out}/log", f"{out}/c", sleep=no_wait).awaitTermination()
+    log = deliver.committed_log(f"{out}/log", states).select(F.get_json_object("data", "$.job_id").cast("long").alias("job_id"), F.col("url").alias("logged"))
+    return states.read().select("job_id", "delivered", "attempts").join(log, "job_id", "left")
+
+
 @query("i7_incremental", "SELECT job_id, status FROM jobs", "jobs")
 def i7(t):
     out = new_folder(t)

@@ -124,15 +124,15 @@ def h23(t):
     return signing.audit(log, KEY).select("request_id", "signature", "verdict")
 
 
-def _accepts_even(url: str, body: str) -> int:
+def accepts_even(url: str, body: str) -> int:
     return 200 if int(body.split(":")[1].split(",")[0].rstrip("}")) % 2 == 0 else 503
 
 
 @query("a12_k8_deliver", "SELECT job_id, job_id % 3 <> 0 AND job_id % 2 = 0 AS delivered, CASE WHEN job_id % 3 = 0 THEN 0 WHEN job_id % 2 = 0 THEN 1 ELSE 3 END AS attempts, CASE WHEN job_id % 3 = 0 THEN 'invalid url' WHEN job_id % 2 = 1 THEN 'HTTP 503' END AS last_error FROM results", "results")
 def k8(t):
     out = t["results"].select("job_id", F.when(F.col("job_id") % 3 == 0, "ftp://x").otherwise("https://x.example/cb").alias("callback_url"), F.col("text").alias("transcription"))
-    return deliver.deliver_results(out, _accepts_even, sleep=_no_wait)
+    return deliver.deliver_results(out, accepts_even, sleep=no_wait)
 
 
-def _no_wait(_: float) -> None:
+def no_wait(_: float) -> None:
     return None

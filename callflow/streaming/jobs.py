@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from callflow.streaming.keyed import BUCKETS, KeyedFolder
+
 LATENESS = "10 minutes"
 LOG_SCHEMA = "timestamp string, data string, headers map<string,string>, method string, url string"
 #: Of changes at the same time the later one in the life of a job counts.
@@ -38,10 +40,33 @@ def request_windows(requests: DataFrame, width: str = "1 minute", lateness: str
     )
 
 
+def change_order() -> Column:
+    """Which of two changes of a job is the newer one."""
+    return F.struct(F.col("ts"), F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")))
+
+
 def latest_state(changes: DataFrame) -> DataFrame:
     """Latest status of each job from its changes (job_id, status, ts)."""
-    order = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
-    return changes.groupBy("job_id").agg(F.max_by("status", F.struct("ts", order)).alias("status"), F.max("ts").alias("ts"))
+    return changes.groupBy("job_id").agg(F.max_by("status", change_order()).alias("status"), F.max("ts").alias("ts"))
+
+
+def job_states(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedFolder:
+    """Folder of the latest change (job_id, status, ts) of every job."""
+    return KeyedFolder(spark, path, "job_id", change_order, buckets)
+
+
+def save_stream(results: DataFrame, kept: KeyedFolder, states: KeyedFolder, checkpoint: str):
+    """Save results (job_id, ts, …) as they arrive, each batch first into ``kept``, then as completed jobs into ``states``.
+
+    Null fields stay null in columns; ``result_json`` omits them. A batch that
+    failed between the two folders finds its results saved and completes the jobs.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept.upsert(batch.withColumn("result_json", F.to_json(F.struct(*batch.columns))), batch_id)
+        states.upsert(batch.select("job_id", F.lit("completed").alias("status"), "ts"), batch_id)
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(turns: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
