@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callflow.catalog.registry import query
-from callflow.operators import frames, segments, speakers
+from callflow.operators import frames, segments, speakers, spectral
 from callflow.plans import diarize
 
 ISLANDS = """SELECT call_id, run_idx, min(label) AS label, min(frame_idx) AS lo, max(frame_idx) AS hi FROM (SELECT *, sum(turn) OVER (PARTITION BY call_id ORDER BY frame_idx) AS run_idx
@@ -195,6 +195,11 @@ def j9(t):
     return speakers.cluster_calls(t["speaker_vectors"])
 
 
+@query("j9_spectral_speakers")
+def j9_spectral(t):
+    return spectral.spectral_speakers(t["speaker_vectors"])
+
+
 @query("k4_diarize_segments")
 def k4(t):
     t["frames"].createOrReplaceTempView("frames")
@@ -205,7 +210,7 @@ def k4(t):
     def by_vectors(windows):
         # every window is heard as one of the given vectors
         heard = windows.withColumn("_vec", F.pmod(F.col("call_id") * 31 + F.col("win_idx"), F.lit(max(held, 1)))).join(vectors, "_vec")
-        named = speakers.cluster_calls(heard.select("call_id", F.col("win_idx").alias("vec_id"), "embedding"))
+        named = spectral.spectral_speakers(heard.select("call_id", F.col("win_idx").alias("vec_id"), "embedding"))
         return windows.join(named.select("call_id", F.col("vec_id").alias("win_idx"), F.col("speaker_no").alias("label")), ["call_id", "win_idx"])
 
     return diarize.diarize_segments(quiet(t), feats, by_vectors)
