@@ -252,13 +252,13 @@ def f1(t):
 KEYS_CREATED = "SELECT key_id, name, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (key_id % 1000) AS created_at FROM api_keys"
 
 
+def created(keys):
+    return keys.withColumn("created_at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,CAST(key_id % 1000 AS INT))"))
+
+
 @query("f2_keys_newest_first", f"SELECT key_id, row_number() OVER (ORDER BY created_at DESC, key_id DESC) AS place FROM ({KEYS_CREATED}) k", "api_keys")
 def f2(t):
-    from callflow.operators.sequence import number_rows
-
-    k = t["api_keys"].select("key_id", (-(F.col("key_id") % 1000)).alias("age"), (-F.col("key_id")).alias("last"), F.lit(0).alias("all"))
-    placed = number_rows(k, ["all"], ["age", "last"], F.floor(F.col("age") / 50), "place")
-    return placed.select("key_id", (F.col("place") + 1).alias("place"))
+    return usage.key_places(created(t["api_keys"])).select("key_id", "place")
 
 
 @query("f3_log_tail", "SELECT entry_id, epoch_us(ts) AS us FROM (SELECT event_id AS entry_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) t")
@@ -269,8 +269,7 @@ def f3(t):
 
 @query("f4_recent_keys", f"SELECT key_id FROM ({KEYS_CREATED}) k ORDER BY created_at DESC, key_id DESC LIMIT 2", "api_keys")
 def f4(t):
-    k = t["api_keys"].withColumn("created_at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,CAST(key_id % 1000 AS INT))"))
-    return usage.newest_keys(k, 2).select("key_id")
+    return usage.newest_keys(created(t["api_keys"]), 2).select("key_id")
 
 
 @query("f8_most_used_key", "SELECT key_id, n FROM (SELECT key_id, count(*) AS n FROM requests GROUP BY key_id) t ORDER BY n DESC, key_id LIMIT 1", "requests")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,51 +166,63 @@ def plan_chunks(
 ) -> DataFrame:
     """Chunks of about ``target_ms`` cut at the silent frame nearest to it.
 
-    The next cut depends on the last one. All calls advance together, one cut
-    per round: each round is a join of the open positions with the silence
-    spans of their own time bin, so no call is ever gathered in one row. The
-    number of rounds is the longest call over the target length.
+    The next cut depends on the last one alone, so one pass over the spans of a
+    call in time order plans it: a task streams them with one open chunk in
+    memory, and those spans that the next chunk may still need. Spans are runs
+    of silent frames; no call is gathered and nothing is repeated per chunk.
     """
-    from callflow.session import durable
-
-    bins = F.explode(F.sequence(F.floor(F.col("start_ms") / target_ms), F.floor(F.col("last_ms") / target_ms)))
-    spans = durable(silences.select("call_id", "start_ms", "last_ms", bins.alias("bin")))
-    totals = calls.select("call_id", "total_ms")
-    longest = totals.agg(F.max("total_ms")).first()[0] or 0
-    rounds = -(-int(longest) // max(1, target_ms - drift_ms)) + 1
-    zero = F.lit(0).cast("long")
-    opened = totals.where("total_ms > 0").select("call_id", "total_ms", zero.alias("chunk_idx"), zero.alias("start_ms"))
-    done = None
-    for turn in range(rounds):
-        goal = F.col("start_ms") + target_ms
-        last = opened.where(goal >= F.col("total_ms")).select(
-            "call_id", "chunk_idx", "start_ms", F.col("total_ms").alias("end_ms"), F.lit(None).cast("long").alias("cut_ms")
-        )
-        going = opened.where(goal < F.col("total_ms"))
-        low = F.greatest(zero, goal - drift_ms)
-        high = F.least(F.col("total_ms"), goal + drift_ms)
-        near = going.select("*", goal.alias("goal"), low.alias("low"), high.alias("high"))
-        near = near.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / target_ms), F.floor(F.col("high") / target_ms))))
-        found = near.join(spans.select("call_id", "bin", F.col("start_ms").alias("a"), F.col("last_ms").alias("b")), ["call_id", "bin"]).where(
-            (F.col("a") <= F.col("high")) & (F.col("b") >= F.col("low"))
-        )
-        # frame of the span closest to the goal and inside the window; the earlier one wins ties
-        inside_low = F.col("a") + F.ceil(F.greatest(zero, F.col("low") - F.col("a")) / frame_ms) * frame_ms
-        inside_high = F.col("a") + F.floor((F.least(F.col("b"), F.col("high")) - F.col("a")) / frame_ms) * frame_ms
-        below = F.col("a") + F.floor((F.col("goal") - F.col("a")) / frame_ms) * frame_ms
-        options = F.transform(
-            F.array(inside_low, inside_high, below, below + frame_ms),
-            lambda t: F.when((t >= inside_low) & (t <= inside_high), F.struct(F.abs(t - F.col("goal")).alias("off"), t.alias("t"))),
-        )
-        best = found.select("call_id", F.array_min(F.filter(options, lambda o: o.isNotNull())).alias("o")).groupBy("call_id").agg(F.min("o").alias("o"))
-        cut = F.coalesce("o.t", goal)
-        steps = going.join(best, "call_id", "left").select(
-            "call_id", "total_ms", "chunk_idx", "start_ms", F.least(cut + pad_ms, F.col("total_ms")).alias("end_ms"), cut.alias("cut_ms")
-        )
-        steps = durable(steps)
-        part = last.unionByName(steps.drop("total_ms"))
-        done = part if done is None else done.unionByName(part)
-        opened = steps.select("call_id", "total_ms", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("cut_ms").alias("start_ms"))
-        if steps.isEmpty():
-            break
-    return done.select("call_id", "chunk_idx", "start_ms", "end_ms")
+    if target_ms <= drift_ms:
+        raise ValueError("a chunk must be longer than its drift")
+
+    def nearest(spans: Sequence[tuple[int, int]], goal: int, low: int, high: int) -> int:
+        """Silent frame closest to ``goal`` within the window, the earlier of two; ``goal`` if there is none."""
+        best = None
+        for a, b in spans:
+            first = a + -(-max(0, low - a) // frame_ms) * frame_ms
+            last = a + (min(b, high) - a) // frame_ms * frame_ms
+            if first <= last:
+                below = min(max(a + (goal - a) // frame_ms * frame_ms, first), last)
+                for t in (below, min(below + frame_ms, last)):
+                    if best is None or (abs(t - goal), t) < best:
+                        best = (abs(t - goal), t)
+        return goal if best is None else best[1]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, total, start, chunk, kept = None, 0, 0, 0, []
+        rows: list[tuple] = []
+
+        def advance(until: float) -> None:
+            """Write the chunks whose window ends before ``until``, from where spans are still to come."""
+            nonlocal start, chunk, kept
+            while start < total:
+                goal = start + target_ms
+                if goal >= total:
+                    rows.append((call, chunk, start, total))
+                    start = total
+                    return
+                low, high = max(0, goal - drift_ms), min(total, goal + drift_ms)
+                if high >= until:
+                    return
+                cut = nearest(kept, goal, low, high)
+                rows.append((call, chunk, start, min(cut + pad_ms, total)))
+                start, chunk = cut, chunk + 1
+                kept = [x for x in kept if x[1] >= start + target_ms - drift_ms]
+
+        for batch in batches:
+            for key, a, b in zip(batch["call_id"].to_pylist(), batch["start_ms"].to_pylist(), batch["last_ms"].to_pylist(), strict=True):
+                if a < 0:  # a new call, with its length
+                    advance(float("inf"))
+                    call, total, start, chunk, kept = key, b, 0, 0, []
+                elif key == call:
+                    advance(a)
+                    if b >= start + target_ms - drift_ms:
+                        kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["call_id", "chunk_idx", "start_ms", "end_ms"])
+            rows.clear()
+        advance(float("inf"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["call_id", "chunk_idx", "start_ms", "end_ms"])
+
+    long = [F.col(c).cast("long").alias(c) for c in ("call_id", "start_ms", "last_ms")]
+    heads = calls.where("total_ms > 0").select("call_id", F.lit(-1).alias("start_ms"), F.col("total_ms").alias("last_ms")).select(*long)
+    ordered = silences.select(*long).unionByName(heads).repartition("call_id").sortWithinPartitions("call_id", "start_ms", "last_ms")
+    return ordered.mapInArrow(walk, "call_id long, chunk_idx long, start_ms long, end_ms long")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callflow.session import durable
+
 BLOCK_ROWS = 65536
 
 _B = "_block"
@@ -64,6 +66,44 @@ def running_sum(
     )
 
 
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    value: Column,
+    out: str,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Largest ``value`` so far along ``order`` within ``keys``, the row's own counted if ``inclusive``."""
+    rows = df.withColumn(_B, block).withColumn("_v", value)
+    tops = rows.groupBy(*keys, _B).agg(F.max("_v").alias("_top"))
+    before = tops.withColumn("_before", F.max("_top").over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1))).drop("_top")
+    here = F.max("_v").over(_local(keys, order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+    return rows.join(before, [*keys, _B]).withColumn(out, F.greatest(here, "_before")).drop(_B, "_v", "_before")
+
+
+def dealt(df: DataFrame, order: Sequence[str | Column], out: str = "_dealt") -> DataFrame:
+    """Deal rows into ranges of about equal size along ``order``; ``out`` numbers the range of each row.
+
+    A key that holds a third of all rows fills a third of the ranges, however
+    short the time it took, if ``order`` tells its rows apart. The number never
+    decreases along ``order``, so it serves as a block.
+    """
+    return durable(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id().cast("long")))
+
+
+def order_numbers(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Place of each row, from one, in a total order of the whole table.
+
+    Only the sizes of the ranges, a row each, meet in one task.
+    """
+    rows = dealt(df, order, _B)
+    sizes = rows.groupBy(_B).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(_B, (F.sum("_size").over(W.orderBy(_B).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size")).alias("_before"))
+    return rows.join(before, _B).withColumn(out, F.row_number().over(W.partitionBy(_B).orderBy(*order)) + F.col("_before")).drop(_B, "_before")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str
 ) -> DataFrame:

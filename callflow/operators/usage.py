@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callflow.operators.sequence import dealt, order_numbers, running_sum
+
 # Key prefixes, job states, windows and thresholds.
 KEY_PREFIXES = ["bp-proj", "bp", "bp-svc"]
 JOB_STATES = ["pending", "processing", "completed", "failed"]
@@ -149,22 +150,36 @@ def rtf_by_month(jobs: DataFrame) -> DataFrame:
     )
 
 
-def trailing_counts(requests: DataFrame, bucket_s: int = 86400) -> DataFrame:
-    """Attempts of the key in the trailing minute, hour and day.
+def instant_counts(requests: DataFrame, *aggregates: Column) -> DataFrame:
+    """key_id, us, n, last_minute, last_hour, last_day and ``_dealt`` of every instant at which a key has attempts.
 
-    Counts every attempt with age below the window. Rows meet in day buckets
-    (each row also visits the next bucket, where it only adds to counts), so a
-    busy key spreads over its days instead of filling one task.
+    Counts every attempt with age below the window. A sweep: each instant adds
+    its attempts at ``us`` and asks at ``us`` and at ``us - window`` how many
+    came until then; the count is the difference. Additions and questions are
+    dealt into ranges along (key, time) and summed in two levels, so no task
+    holds a key or a day. ``_dealt`` never decreases along the time of a key.
+    Further ``aggregates`` are kept per instant.
     """
-    us = F.unix_micros("ts")
-    day = F.floor(us / (bucket_s * 1_000_000))
-    rows = requests.withColumn("_us", us).withColumn("_home", day)
-    spread = rows.withColumn("_day", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = W.partitionBy("key_id", "_day").orderBy("_us")
-    for name, seconds in WINDOWS_S.items():
-        # age < window, in whole microseconds
-        spread = spread.withColumn(f"last_{name}", F.count(F.lit(1)).over(w.rangeBetween(-(seconds * 1_000_000 - 1), 0)))
-    return spread.where("_day = _home").drop("_us", "_home", "_day")
+    instants = requests.groupBy("key_id", F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    kept = [c for c in instants.columns if c not in ("key_id", "us")]
+    asked = F.explode(F.array(*[F.lit(s * 1_000_000) for s in (0, *WINDOWS_S.values())]))
+    merged = instants.select("key_id", "us", asked.alias("back"), F.struct(*kept).alias("kept"))
+    merged = merged.withColumn("at", F.col("us") - F.col("back")).withColumn("kept", F.when(F.col("back") == 0, F.col("kept")))
+    ranges = dealt(merged, ["key_id", "at", "back"])
+    swept = running_sum(ranges, ["key_id"], ["at", "back"], F.col("_dealt"), F.coalesce("kept.n", F.lit(0)), "until")
+    found = swept.withColumnRenamed("_dealt", "range").groupBy("key_id", "us").agg(
+        F.max("kept").alias("kept"),
+        F.max(F.when(F.col("back") == 0, F.col("range"))).alias("_dealt"),
+        F.max(F.when(F.col("back") == 0, F.col("until"))).alias("until"),
+        *[F.max(F.when(F.col("back") == s * 1_000_000, F.col("until"))).alias(f"before_{w}") for w, s in WINDOWS_S.items()],
+    )
+    return found.select("key_id", "us", "kept.*", *[(F.col("until") - F.col(f"before_{w}")).alias(f"last_{w}") for w in WINDOWS_S], "_dealt")
+
+
+def trailing_counts(requests: DataFrame) -> DataFrame:
+    """Attempts of the key in the trailing minute, hour and day, for every request."""
+    counts = instant_counts(requests).select("key_id", F.col("us").alias("_us"), *[f"last_{w}" for w in WINDOWS_S])
+    return requests.withColumn("_us", F.unix_micros("ts")).join(counts, ["key_id", "_us"]).drop("_us")
 
 
 def window_reset(epoch_s: Column, seconds: int) -> Column:
@@ -180,6 +195,11 @@ def newest_keys(keys: DataFrame, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
+def key_places(keys: DataFrame) -> DataFrame:
+    """``place`` of every key, newest first, over the whole table."""
+    return order_numbers(keys, [F.desc("created_at"), F.desc("key_id")], "place")
+
+
 def log_tail(log: DataFrame, n: int = 100) -> DataFrame:
     """The last ``n`` entries, oldest first."""
     return log.orderBy(F.desc("ts"), F.desc("entry_id")).limit(n).orderBy("ts", "entry_id")

@@ -18,7 +18,7 @@ def ops_report(jobs: DataFrame, keys: DataFrame, requests: DataFrame) -> DataFra
     state = F.when(F.col("is_active"), "active").otherwise("revoked").alias("state")
     waiting = usage.pending_async(jobs).agg(n)
     used = usage.key_usage(requests)
-    peaks = usage.trailing_counts(requests).agg(*[F.max(f"last_{w}").alias(w) for w in usage.WINDOWS_S])
+    peaks = usage.instant_counts(requests).agg(*[F.max(f"last_{w}").alias(w) for w in usage.WINDOWS_S])
     stats = usage.key_stats(keys, used).select("total_requests", F.round("audio_minutes", 4).alias("audio_minutes"), "most_used_requests")
 
     def turned(df: DataFrame, section: str) -> DataFrame:
