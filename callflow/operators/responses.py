@@ -1,19 +1,21 @@
 """Salvage of JSON documents from raw model text.
 
-The candidate search is per-row text work and runs in Arrow batches; only the
-raw text and its kind cross to Python. It is linear in the text, so a response
-with thousands of objects, or a truncated one, costs no more than its length.
+The candidate search runs in the engine: a fold over the pieces of the text
+between braces keeps a stack of open braces and the objects closed so far. An
+object is kept only if it may be the document, so the fold holds a few, and a
+response with thousands of objects, or a truncated one, costs little more than
+its length. ``salvage_text`` states the same rule for one text in plain Python.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from callflow.functions import records
 
@@ -29,6 +31,9 @@ WRAPPERS = {"analysis": "ai_analysis", "scoring": "agent_scoring", "fraud": "fra
 MAX_DEPTH = 4
 FENCE = re.compile(r"```(?:json)?\s*")
 COMMENT = re.compile(r"(?<!:)//(?!/)[^\n]*")
+#: Numbers that JSON does not have become null.
+NO_NUMBER = r"(?<=[:\[,\s])(?:NaN|-?Infinity)(?=\s*[,\]}])"
+EMPTY = ["", "{}", "[]", "0", "0.0", "false"]
 
 SCHEMAS = {
     "analysis": records.ANALYSIS_SCHEMA,
@@ -95,14 +100,104 @@ def salvage_text(raw: str | None, kind: str) -> str | None:
     return json.dumps(inner, ensure_ascii=False) if inner else None
 
 
-@F.pandas_udf(StringType())
-def _salvage(raw: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([salvage_text(r, k) for r, k in zip(raw, kind)], dtype=object)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, computing ``value`` once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _keys(kind: Column, which: int) -> Column:
+    return F.coalesce(*[F.when(kind == k, F.array(*map(F.lit, keys[which]))) for k, keys in MARKERS.items()])
+
+
+def _fields(text: Column) -> Column:
+    """Top-level fields of a text that is one JSON object and nothing else; null otherwise."""
+    whole = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+
+
+def _marked(text: Column, keys: Column) -> Column:
+    return F.exists(keys, lambda k: F.contains(text, F.concat(F.lit('"'), k, F.lit('"'))))
+
+
+def _loads(text: Column, keys: Column) -> Column:
+    """Whether ``text`` is an object with one of ``keys``; the words are looked for before it is parsed."""
+    fields = _fields(text)
+    return _marked(text, keys) & F.coalesce(F.exists(keys, lambda k: F.map_contains_key(fields, k)), F.lit(False))
+
+
+def _closed(text: Column, keys: Column) -> Column:
+    """Matched brace pairs (at, size, height, outer) that may be the document, in the order they close.
+
+    Those no higher than ``MAX_DEPTH`` and not inside another such pair, and
+    the outermost ones; both only with one of ``keys`` in their text.
+    """
+    stack, pair = "array<struct<at:int,peak:int,held:int>>", "array<struct<at:int,size:int,height:int,outer:boolean>>"
+    seed = F.struct(F.lit(0).alias("pos"), F.array().cast(stack).alias("open"), F.array().cast(pair).alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end, depth = (acc["pos"] + F.length(part)).alias("pos"), F.size(acc["open"])
+        opened = F.struct(end, F.array_append(acc["open"], F.struct(end.alias("at"), (depth + 1).alias("peak"), F.size(acc["found"]).alias("held"))).alias("open"), acc["found"].alias("found"))
+
+        def close(top: Column) -> Column:
+            height, size = top["peak"] - depth + 1, end - top["at"] + 1
+            under = F.get(acc["open"], depth - 2)
+            raised = F.struct(under["at"].alias("at"), F.greatest(under["peak"], top["peak"]).alias("peak"), under["held"].alias("held"))
+            rest = F.when(depth > 1, F.array_append(F.slice(acc["open"], F.lit(1), depth - 2), raised)).otherwise(F.array().cast(stack))
+            low = height <= MAX_DEPTH
+            kept = F.when(low, F.slice(acc["found"], F.lit(1), top["held"])).otherwise(acc["found"])
+            wanted = (low | (depth == 1)) & _marked(F.substr(text, top["at"], size), keys)
+            this = F.struct(top["at"].alias("at"), size.alias("size"), height.alias("height"), (depth == 1).alias("outer"))
+            return F.struct(end, rest.alias("open"), F.when(wanted, F.array_append(kept, this)).otherwise(kept).alias("found"))
+
+        closes = (F.right(part, F.lit(1)) == "}") & (depth > 0)
+        return (
+            F.when(F.right(part, F.lit(1)) == "{", opened)
+            .when(closes, _bound(F.get(acc["open"], depth - 1), close))
+            .otherwise(F.struct(end, acc["open"].alias("open"), acc["found"].alias("found")))
+        )
+
+    return F.aggregate(F.split(text, r"(?<=[{}])"), seed, step, lambda acc: acc["found"])
+
+
+def _search(text: Column, kind: Column) -> Column:
+    strict, relaxed = _keys(kind, 0), _keys(kind, 1)
+    cut = lambda p: F.substr(text, p["at"], p["size"])
+
+    def choose(found: Column) -> Column:
+        low = F.filter(found, lambda p: p["height"] <= MAX_DEPTH)
+        none = F.struct(F.lit(0).alias("size"), F.lit(None).cast("string").alias("doc"))
+        longest = F.aggregate(low, none, lambda acc, p: F.when((p["size"] > acc["size"]) & _loads(cut(p), strict), F.struct(p["size"].alias("size"), cut(p).alias("doc"))).otherwise(acc), lambda acc: acc["doc"])
+        first = F.instr(text, "{")
+        span = F.substr(text, first, F.length(text) - first - F.instr(F.reverse(text), "}") + 2)
+        whole = F.when((kind == "analysis") & (first > 0) & _loads(span, strict), span)
+        outer = F.filter(found, lambda p: p["outer"])
+        last = F.aggregate(outer, F.lit(None).cast("string"), lambda acc, p: F.when(_loads(cut(p), relaxed), cut(p)).otherwise(acc))
+        return F.coalesce(longest, whole, last)
+
+    def unwrapped(doc: Column) -> Column:
+        wrapper = F.coalesce(*[F.when(kind == k, F.lit(w)) for k, w in WRAPPERS.items()], F.lit(""))
+        fields = _fields(doc)
+        inner = F.element_at(fields, wrapper)
+        typed = F.element_at(F.from_json(doc, "map<string,variant>"), wrapper)
+        text = F.coalesce(F.schema_of_variant(typed) == "STRING", F.lit(False))  # a field's text comes without its quotes
+        value = F.when(text, F.when(inner != "", F.to_json(typed))).otherwise(F.when(~inner.isin(EMPTY), inner))
+        return F.when(F.map_contains_key(fields, wrapper), value).otherwise(doc)
+
+    both = F.array_distinct(F.concat(strict, relaxed))
+    return _bound(_bound(_closed(text, both), choose), unwrapped)
 
 
 def salvage(raw: Column, kind: str | Column) -> Column:
-    """JSON text of the document in ``raw``; ``kind`` is a key of MARKERS."""
-    return _salvage(raw, F.lit(kind) if isinstance(kind, str) else kind)
+    """JSON text of the document in ``raw``; ``kind`` is a key of MARKERS.
+
+    The longest object of at most ``MAX_DEPTH`` levels with the key of its
+    kind; for an analysis else what lies between the first and the last brace;
+    else the last outermost object with a key. The value of the kind's wrapper
+    is taken if it is there, and null if that is empty.
+    """
+    named = F.lit(kind) if isinstance(kind, str) else kind
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, FENCE.pattern, ""), COMMENT.pattern, ""), NO_NUMBER, "null")
+    return _bound(clean, lambda text: _search(text, named))
 
 
 def parse(doc: Column, kind: str) -> Column:
@@ -117,24 +212,23 @@ def role_object(raw: Column) -> Column:
     return F.when(usable, fenced).otherwise(_first_object(raw))
 
 
-@F.pandas_udf(StringType())
-def _first_object(raw: pd.Series) -> pd.Series:
-    def first(text):
-        if not text or "{" not in text:
-            return None
-        depth, start = 0, text.index("{")
-        for m in re.finditer(r"[{}]", text[start:]):
-            depth += 1 if m.group() == "{" else -1
-            if depth == 0:
-                piece = text[start : start + m.end()]
-                try:
-                    json.loads(piece)
-                    return piece
-                except ValueError:
-                    return None
-        return None
+def _first_object(raw: Column) -> Column:
+    """The object that the first opening brace begins, if it closes and is valid JSON."""
+    seed = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end, brace = acc["pos"] + F.length(part), F.right(part, F.lit(1))
+        depth = acc["depth"] + F.when(brace == "{", 1).when((brace == "}") & (acc["depth"] > 0), -1).otherwise(0)
+        done = acc["end"].isNull() & (acc["depth"] == 1) & (depth == 0)
+        return F.struct(end.alias("pos"), depth.alias("depth"), F.when(done, end).otherwise(acc["end"]).alias("end"))
+
+    def cut(text: Column) -> Column:
+        first = F.instr(text, "{")
+        end = F.aggregate(F.split(text, r"(?<=[{}])"), seed, step, lambda acc: acc["end"])
+        piece = F.substr(text, first, end - first + 1)
+        return F.when(_fields(piece).isNotNull(), piece)
 
-    return pd.Series([first(t) for t in raw], dtype=object)
+    return _bound(raw, cut)
 
 
 def outer_object(raw: Column) -> Column:
