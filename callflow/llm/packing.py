@@ -14,6 +14,7 @@ piece finds its place by its rank among those of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,19 +31,35 @@ from pyspark.sql import functions as F
 from callflow.llm.shared import documents, stored
 
 WINDOW = 2048
-#: Chunks between white space whose ids a task remembers before it starts anew, and the bytes of the longest it keeps beyond a batch.
-REMEMBERED, LONGEST = 500_000, 64
+#: Chunks whose ids a task remembers before the older ones are forgotten, and the bytes of the longest.
+REMEMBERED, LONGEST = 700_000, 64
+#: Chunks encoded in one call, and documents and bytes of text handled at once (one document at least); all bound a task's memory.
+CALL, SLICE, SLICE_BYTES = 2048, 4096, 1 << 24
 #: Sweeps of the solver at most; it stops earlier when no count moves by half a repeat.
 SWEEPS = 200
 TOKENS = "doc_id long, ids binary, doc_tokens long, part int, rest int, rest_no long, full_no long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``SLICE`` rows and, unless it is one row, ``SLICE_BYTES`` in ``column``."""
+    for batch in batches:
+        begin, held = 0, 0
+        for i, size in enumerate(pc.binary_length(batch[column]).to_pylist()):
+            if i > begin and (i - begin == SLICE or held + size > SLICE_BYTES):
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        yield batch.slice(begin)
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes, by chunks between ASCII white space.
 
-    The tokenizer drops white space and no token or normalisation crosses it,
-    so the ids of a text are those of its chunks; frequent chunks are encoded once.
+    A tokenizer that splits by a pattern and removes what is between its
+    matches drops white space, and no token or normalisation crosses it: the
+    ids of a text are those of its chunks. Chunks seen of late are remembered.
+    Texts for any other tokenizer are encoded whole.
     """
 
     def __init__(self, model: bytes):
@@ -50,24 +68,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        split = json.loads(model).get("pre_tokenizer") or {}
+        split = (split.get("pretokenizers") or [split])[0]
+        pattern = (split.get("pattern") or {}).get("Regex", "")
+        self.by_chunk = split.get("behavior") == "Removed" and split.get("invert", False) and pattern.endswith(r"[^\s\p{L}\p{N}]+")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.asarray(e.ids, self.kind).tobytes() for e in encoded]
+        """Ids of each chunk; the chunks of a call are encoded as one text and told apart by where its tokens begin."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), CALL):
+            texts = [c.decode() for c in chunks[at : at + CALL]]
+            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.asarray(encoded.ids, self.kind)
+            begins = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(ids))
+            ends = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts])).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
-    def encode(self, texts: list[bytes], end: int) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array, end: int) -> Iterator[bytes]:
         """Ids of each text, then ``end``."""
         last = np.asarray([end], self.kind).tobytes()
+        if not self.by_chunk:
+            for text in texts.to_pylist():
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + last
+            return
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = {c for text in texts for c in text.split()}.difference(self.known)
-        self.known.update(zip(fresh, self.ids(list(fresh)), strict=True))
-        for text in texts:  # split again, as only distinct chunks are held
-            yield b"".join(map(self.known.__getitem__, text.split())) + last
-        for chunk in fresh:
-            if len(chunk) > LONGEST:
-                del self.known[chunk]
+            self.known, self.older = {}, self.known
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()  # every distinct chunk is looked up once
+        distinct = chunks.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.known.get, distinct))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        fresh = self.fresh([distinct[i] for i in gaps])
+        for i in gaps:
+            found[i] = fresh[distinct[i]]
+        ids = pa.array(found, pa.binary()).take(chunks.indices)
+        for text in pc.binary_join(pa.ListArray.from_arrays(pc.subtract(split.offsets, split.offsets[0]), ids), b""):
+            yield text.as_py() + last
+
+    def fresh(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not among the latest ones; now they are."""
+        out = {c: ids for c in chunks if (ids := self.older.get(c)) is not None}
+        unknown = [c for c in chunks if c not in out]
+        out.update(zip(unknown, self.ids(unknown), strict=True))
+        self.known.update((c, ids) for c, ids in out.items() if len(c) <= LONGEST)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -87,9 +134,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int, window: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(model.value), TaskContext.get().partitionId()
         seen, fulls = np.zeros(window, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), code.encode(batch["text"].cast(pa.binary()).to_pylist(), end), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), code.encode(batch["text"], end), strict=True):
                 n = len(ids) // code.kind.itemsize
                 full, rest = divmod(n, window)
                 rows.append((doc_id, ids, n, part, rest, int(seen[rest]), fulls))
@@ -254,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = 1) ->
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = plan.value
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             rows: list[tuple] = []
             for r in batch.to_pylist():
                 n = r["doc_tokens"]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -205,13 +206,22 @@ def test_pack(request, which, window):
 
 def test_chunks_encode_as_whole_texts():
     rng = random.Random(9)
-    signs = ["a", "B", "'", "s", "é", "é", " ", "\t", "\n\n", " ", " ", "1", "-", "<|endoftext|>", "Σ", "ß", "漢", "🙂", "́", "\x1f", "\x85", "İ"]
-    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)] + ["x" * 100_000, "ab " * 50_000]
+    signs = ["a", "B", "'", "s", "é", "é", " ", "\t", "\n\n", " ", " ", "1", "-", "<|endoftext|>", "Σ", "ß", "漢", "🙂", "́", "\x1f", "\x85", "İ", ".", ",", ":", "?!", "'S", "e\u0301", "\u1112\u1161\u11ab", "ﬀ", "\u0338", "=", "<"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(6000)] + ["x" * 100_000, "ab " * 50_000]
     code, whole = packing.encoder(open(MODEL, "rb").read()), Tokenizer.from_file(MODEL)
-    got = [np.frombuffer(b, code.kind).tolist() for b in code.encode([t.encode() for t in texts], 1)]
+    assert code.by_chunk
+    got = [np.frombuffer(b, code.kind).tolist() for at in range(0, len(texts), 500) for b in code.encode(pa.array(texts[at : at + 500]), 1)]
     assert got == [[*e.ids, 1] for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, whole = packing.encoder(open(path, "rb").read()), Tokenizer.from_file(path)
+    texts = ["two  spaces, kept", "", "a\nb"]
+    assert not code.by_chunk
+    assert [np.frombuffer(b, code.kind).tolist() for b in code.encode(pa.array(texts), 7)] == [[*whole.encode(t).ids, 7] for t in texts]
+
+
 def test_plan_of_few_and_many():
     """Ranks of a plan cover all sequences once, whatever the counts."""
     rng = np.random.default_rng(2)
