@@ -24,14 +24,13 @@ def _colon(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
-@query(
-    "b11_sentiment_category",
-    f"""SELECT request_id, CASE WHEN trim(v) = '' THEN 'Neutral' WHEN v LIKE '%no sentiment%' OR v LIKE '%n/a%' THEN 'No Sentiment'
+CATEGORY_SQL = f"""SELECT request_id, CASE WHEN trim(v) = '' THEN 'Neutral' WHEN v LIKE '%no sentiment%' OR v LIKE '%n/a%' THEN 'No Sentiment'
           WHEN v LIKE '%very positive%' THEN 'Very Positive' WHEN v LIKE '%very negative%' THEN 'Very Negative'
           WHEN v LIKE '%positive%' THEN 'Positive' WHEN v LIKE '%negative%' THEN 'Negative' ELSE 'Neutral' END AS category
-        FROM (SELECT request_id, lower({AN.format('sentiment.category')}) AS v FROM analysis_responses) t""",
-    "analysis_responses",
-)
+        FROM (SELECT request_id, lower({AN.format('sentiment.category')}) AS v FROM analysis_responses) t"""
+
+
+@query("b11_sentiment_category", CATEGORY_SQL, "analysis_responses")
 def b11(t):
     return analysis(t).select("request_id", F.col("a.sentiment.category").alias("category"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from callflow.catalog.registry import query
 from callflow.catalog.requests import CHANGES, accepts_even, no_wait
+from callflow.operators import usage
 from callflow.plans import deliver
 from callflow.sources import files
-from callflow.streaming import jobs
+from callflow.streaming import jobs, rollup
 from callflow.streaming.keyed import KeyedFolder, upsert_stream
 
 
@@ -141,6 +143,27 @@ def k8_stream(t):
     return states.read().select("job_id", "delivered", "attempts").join(log, "job_id", "left")
 
 
+@query(
+    "i7_rollup_stream",
+    f"""SELECT period, count(*) AS jobs, round(avg(v), 6) AS mean_rtf, round(max(mid) FILTER (WHERE mid_place), 6) AS median_rtf FROM (
+        SELECT *, CASE WHEN v < 1e-9 THEN 0 ELSE pow({rollup.RATIO!r}, bin) * {2 / (rollup.RATIO + 1)!r} END AS mid, place = ceil(n / 2.0) AS mid_place FROM (
+            SELECT strftime(created_at, '%Y-%m') AS period, processing_time / audio_duration AS v, ceil(ln(v) / {math.log(rollup.RATIO)!r}) AS bin,
+                   row_number() OVER (PARTITION BY period ORDER BY bin) AS place, count(*) OVER (PARTITION BY period) AS n
+            FROM jobs WHERE audio_duration > 0 AND processing_time > 0) a) b GROUP BY period""",
+    "jobs",
+)
+def i7_rollup(t):
+    out = new_folder(t)
+    ratios = usage.with_rtf(t["jobs"]).where("processing_time > 0").select(
+        F.col("job_id").alias("id"), F.lit(2).alias("version"), F.date_format("created_at", "yyyy-MM").alias("group"), F.col("rtf").alias("value")
+    )
+    kept = rollup.Rollup(t.spark, f"{out}/rollup", 8)
+    early = ratios.where("id % 3 = 0").withColumn("version", F.lit(1)).withColumn("value", F.col("value") + 5)  # replaced later
+    kept.add(early, -1)
+    kept.follow(arriving(t, ratios, f"{out}/in", 2), f"{out}/c").awaitTermination()
+    return kept.read().select(F.col("group").alias("period"), F.col("n").alias("jobs"), F.round("mean", 6).alias("mean_rtf"), F.round("quantile", 6).alias("median_rtf"))
+
+
 @query("i7_incremental", "SELECT job_id, status FROM jobs", "jobs")
 def i7(t):
     out = new_folder(t)

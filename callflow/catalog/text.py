@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from callflow.catalog import views
 from callflow.catalog.alignment import LINE_SQL
-from callflow.catalog.documents import FRAUD_SQL, analysis, fraud, scoring
+from callflow.catalog.documents import CATEGORY_SQL, FRAUD_SQL, analysis, fraud, scoring
 from callflow.catalog.registry import query
 from callflow.functions import lexicons as lx
 from callflow.functions import records
@@ -23,6 +23,11 @@ SELECT conv_id AS call_id, turn AS line_no, 'speaker_' || CAST(CASE WHEN conv_id
             WHEN 7 THEN 'Thanks, that is great, goodbye. ' WHEN 8 THEN 'I hate this terrible problem, I will cancel, call me back. ' WHEN 9 THEN 'Act immediately or face legal action, pay now with a gift card. ' ELSE '' END
        || translate(text, chr(10), ' ') AS text
 FROM conversations""",
+        # The same with phrases that run from one line of a speaker to the speaker's next one.
+        "broken_lines": """
+SELECT call_id, line_no, speaker, CASE WHEN call_id % 4 = 1 AND line_no = 2 THEN text || ' I can take your' WHEN call_id % 4 = 1 AND line_no IN (4, 5) THEN 'information. ' || text
+       WHEN call_id % 4 = 2 AND line_no = 1 THEN text || ' Thank you for' WHEN call_id % 4 = 2 AND line_no IN (3, 4) THEN 'calling. Please hold. ' || text ELSE text END AS text
+FROM spoken_lines""",
         "contact_texts": """
 SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' mail a' || CAST(doc_id AS STRING) || '@ex.org or call 612-555-' || CAST(1000 + doc_id % 9000 AS STRING)
        WHEN 1 THEN ' on 2024-03-0' || CAST(1 + doc_id % 9 AS STRING) || ' for $1,200.50' ELSE '' END AS text FROM documents""",
@@ -77,9 +82,16 @@ def g2(t):
     return rows.join(first, "call_id").select("call_id", "line_no", lx.matches_announcement(F.col("text"), F.col("ivr_text")).alias("matches"))
 
 
-SIGNALS = f"""SELECT call_id, speaker, min(line_no) AS first_line, count(*) AS n_lines, bool_or({has(lx.IVR_SPEAKER_PHRASES)}) AS ivr, bool_or({has(lx.CUSTOMER_PHRASES)}) AS cust, bool_or({has(lx.AGENT_PHRASES)}) AS agt,
-    count(*) FILTER (WHERE {has(lx.ROLE_RULES['Agent'])}) AS ah, count(*) FILTER (WHERE {has(lx.ROLE_RULES['Customer'])}) AS ch,
-    row_number() OVER (PARTITION BY call_id ORDER BY min(line_no)) - 1 AS place FROM spoken_lines WHERE line_no < 30 GROUP BY call_id, speaker"""
+def over_breaks(phrases) -> str:
+    """Phrases that run over a line break in a speaker's lines."""
+    pattern = rx(phrases).replace(" ", "[ \n]")
+    return f"len(list_filter(regexp_extract_all(lower(broken), {pattern}), lambda m: contains(m, chr(10))))"
+
+
+SIGNALS = f"""SELECT *, {has(lx.IVR_SPEAKER_PHRASES, 'joined')} AS ivr, {has(lx.CUSTOMER_PHRASES, 'joined')} AS cust, {has(lx.AGENT_PHRASES, 'joined')} AS agt,
+    ahs + {over_breaks(lx.ROLE_RULES['Agent'])} AS ah, chs + {over_breaks(lx.ROLE_RULES['Customer'])} AS ch, row_number() OVER (PARTITION BY call_id ORDER BY first_line) - 1 AS place
+    FROM (SELECT call_id, speaker, min(line_no) AS first_line, count(*) AS n_lines, string_agg(trim(text), ' ' ORDER BY line_no) AS joined, string_agg(trim(text), chr(10) ORDER BY line_no) AS broken,
+    count(*) FILTER (WHERE {has(lx.ROLE_RULES['Agent'])}) AS ahs, count(*) FILTER (WHERE {has(lx.ROLE_RULES['Customer'])}) AS chs FROM broken_lines WHERE line_no < 30 GROUP BY call_id, speaker) g"""
 ROLE_SQL = {
     "sig": SIGNALS,
     "ruled": "SELECT *, CASE WHEN ch > ah THEN 'Customer' WHEN ah > ch THEN 'Agent' WHEN place = 1 THEN 'Customer' ELSE 'Agent' END AS role FROM sig",
@@ -93,36 +105,44 @@ ROLE_SQL = {
 
 
 def signals(t):
-    return roles.speaker_signals(t["spoken_lines"].where("line_no < 30"))
+    return roles.speaker_signals(t["broken_lines"].where("line_no < 30"))
 
 
-@query("h11_role_validation", "SELECT call_id, speaker, place, role FROM final", "spoken_lines", **ROLE_SQL)
+@query("h11_role_validation", "SELECT call_id, speaker, place, role FROM final", "broken_lines", **ROLE_SQL)
 def h11(t):
     return roles.validate_roles(roles.rule_roles(signals(t))).withColumn("place", F.col("place").cast("long"))
 
 
-@query("h12_fallback_roles", "SELECT call_id, speaker, CASE WHEN place = 1 THEN 'Customer' ELSE 'Agent' END AS role FROM sig", "spoken_lines", **ROLE_SQL)
+@query("h12_fallback_roles", "SELECT call_id, speaker, CASE WHEN place = 1 THEN 'Customer' ELSE 'Agent' END AS role FROM sig", "broken_lines", **ROLE_SQL)
 def h12(t):
     return roles.fallback_roles(signals(t)).select("call_id", "speaker", "role")
 
 
-@query("j6_rule_roles", "SELECT call_id, speaker, role FROM ruled", "spoken_lines", **ROLE_SQL)
+@query("j6_rule_roles", "SELECT call_id, speaker, role FROM ruled", "broken_lines", **ROLE_SQL)
 def j6(t):
     return roles.rule_roles(signals(t)).select("call_id", "speaker", "role")
 
 
-@query("h10_relabel_text", """SELECT s.call_id, s.line_no, '[' || CASE WHEN s.line_no = 0 THEN 'IVR' ELSE f.role END || '] ' || trim(s.text) AS line FROM spoken_lines s JOIN final f ON f.call_id = s.call_id AND f.speaker = s.speaker""", "spoken_lines", **ROLE_SQL)
+@query("h10_relabel_text", """SELECT s.call_id, s.line_no, '[' || CASE WHEN s.line_no = 0 THEN 'IVR' ELSE f.role END || '] ' || trim(s.text) AS line FROM spoken_lines s JOIN final f ON f.call_id = s.call_id AND f.speaker = s.speaker""", "broken_lines", **ROLE_SQL)
 def h10(t):
     parsed = roles.parse_lines(transcripts(t))
     first = t["spoken_lines"].where("line_no = 0").select("call_id", F.col("text").alias("ivr_text"))
     return roles.relabel_text(parsed, roles.validate_roles(roles.rule_roles(signals(t))), first)
 
 
-@query("h13_apply_roles", """SELECT w.call_id, w.word_idx, coalesce(CASE w.speaker WHEN 'IVR' THEN 'IVR' WHEN 'speaker_0' THEN 'Agent' WHEN 'speaker_1' THEN 'Customer' END, w.speaker) AS speaker FROM noisy_words w""", "noisy_words")
+# Labels that the map has, that only contain or are contained in one it has, and that it does not know.
+OTHER_LABELS = """SELECT call_id, word_idx, CASE WHEN speaker = 'IVR' THEN speaker WHEN call_id % 4 = 1 THEN 'the ' || speaker || ' again' WHEN call_id % 4 = 2 AND word_idx % 7 = 0 THEN 'speaker'
+       WHEN call_id % 4 = 2 AND word_idx % 7 = 1 THEN 'ker_1' WHEN call_id % 4 = 3 AND word_idx % 5 = 0 THEN 'guest' WHEN call_id % 4 = 3 AND word_idx % 5 = 1 THEN 'speaker_10' ELSE speaker END AS speaker FROM {}"""
+
+
+@query("h13_apply_roles", """SELECT w.call_id, w.word_idx, CASE WHEN w.speaker = 'IVR' THEN 'IVR' WHEN w.speaker = 'speaker_0' THEN 'Agent' WHEN w.speaker = 'speaker_1' THEN 'Customer'
+    WHEN contains(w.speaker, 'speaker_0') OR contains('speaker_0', w.speaker) THEN 'Agent' WHEN contains(w.speaker, 'speaker_1') OR contains('speaker_1', w.speaker) THEN 'Customer' ELSE w.speaker END AS speaker FROM other w""", "noisy_words",
+    other=OTHER_LABELS.format("noisy_words"))
 def h13(t):
-    two = t["noisy_words"].where("speaker <> 'IVR'").select("call_id").distinct()
+    t["noisy_words"].createOrReplaceTempView("noisy")
+    words = t.spark.sql(OTHER_LABELS.format("noisy"))
     table = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f"speaker_{i}").alias("speaker"), F.lit(r).alias("role")) for i, r in enumerate(["Agent", "Customer"])])
-    return roles.apply_roles(t["noisy_words"], two.select("call_id", F.inline(table))).select("call_id", "word_idx", "speaker")
+    return roles.apply_roles(words, words.select("call_id").distinct().select("call_id", F.inline(table))).select("call_id", "word_idx", "speaker")
 
 
 # Announcements by call: the first eight words; one of their words twice more than spoken, so that only the share decides; words that are not spoken.
@@ -201,6 +221,18 @@ def j1(t):
     return rules.score_batch(t["spoken_lines"].select("call_id", "line_no", "text"), rules.stub_scorer, "text").select("call_id", "line_no", "response", "error")
 
 
+@query(
+    "j1_token_batches",
+    r"""SELECT call_id, line_no, least(n, 12) AS n_tokens, n > 12 AS cut, '{"length": ' || CAST(length(CASE WHEN n > 12 THEN head ELSE text END) AS VARCHAR) || '}' AS response FROM (
+        SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')) AS n, regexp_extract(text, '^(?:\s*(?:[A-Za-z0-9_]+|[^A-Za-z0-9_\s])){12}') AS head FROM spoken_lines) t""",
+    "spoken_lines",
+)
+def j1_tokens(t):
+    lines = t["spoken_lines"].select("call_id", "line_no", "text")
+    scored = rules.score_by_tokens(lines, rules.stub_scorer, "text", budget=64, context=rules.MAX_TOKENS + rules.CONTEXT_MARGIN + 12)
+    return scored.select("call_id", "line_no", "n_tokens", "cut", "response")
+
+
 def wb(words) -> str:
     return "regexp_matches(lower(text), '\\b(" + lx.pattern(words).replace("'", "''") + ")\\b')"
 
@@ -281,17 +313,24 @@ def h17(t):
     return t["cdr"].select("request_id", rules.due_date(F.col("calldate"), phrase).cast("string").alias("due"))
 
 
-@query("d20_risk_rollup", """SELECT direction, day, count(*) AS calls, count(*) FILTER (WHERE risk_level = 'High') AS high_risk, count(*) FILTER (WHERE fraud_detected) AS fraud FROM
-    (SELECT c.direction, strftime(c.calldate, '%Y-%m') AS day, CASE WHEN NOT enough2 AND NOT ind THEN 'Low' ELSE risk2 END AS risk_level, det AND NOT (NOT enough2 AND NOT ind) AS fraud_detected FROM step3 s JOIN cdr c ON c.request_id = s.request_id) t GROUP BY ROLLUP (direction, day)""", "fraud_responses cdr", **FRAUD_SQL)
+@query("d20_risk_rollup", f"""SELECT direction, day, count(*) AS calls, count(*) FILTER (WHERE risk_level = 'High') AS high_risk, count(*) FILTER (WHERE fraud_detected) AS fraud,
+    count(*) FILTER (WHERE category IN ('Negative', 'Very Negative')) AS negative FROM
+    (SELECT c.direction, strftime(c.calldate, '%Y-%m') AS day, CASE WHEN NOT enough2 AND NOT ind THEN 'Low' ELSE risk2 END AS risk_level, det AND NOT (NOT enough2 AND NOT ind) AS fraud_detected, a.category
+     FROM step3 s JOIN cdr c ON c.request_id = s.request_id JOIN ({CATEGORY_SQL}) a ON a.request_id = s.request_id) t GROUP BY ROLLUP (direction, day)""", "fraud_responses analysis_responses cdr", **FRAUD_SQL)
 def d20(t):
-    docs = fraud(t).join(t["cdr"], "request_id").select("direction", F.date_format("calldate", "yyyy-MM").alias("day"), "f.risk_level", "f.fraud_detected", F.lit("Neutral").alias("category"))
-    return rules.risk_rollup(docs, ["direction", "day"]).drop("negative")
+    felt = analysis(t).select("request_id", F.col("a.sentiment.category").alias("category"))
+    docs = fraud(t).join(t["cdr"], "request_id").join(felt, "request_id").select("direction", F.date_format("calldate", "yyyy-MM").alias("day"), "f.risk_level", "f.fraud_detected", "category")
+    return rules.risk_rollup(docs, ["direction", "day"])
+
+
+# What the responses give for each metric; a null or a word counts as 0.
+METRICS = {"greeting": "g", "clarity": "c", "listening_balance": "l", "response_relevance": "r", "tone_professionalism": "t", "call_flow": "f", "call_closure": "cc", "compliance": "p"}
 
 
-@query("d21_score_rollup", """SELECT count(*) AS scored, round(avg(g), 6) AS greeting, round(avg(c), 6) AS clarity, round(avg(g) / 10, 6) AS greeting_share, round(avg(c) / 15, 6) AS clarity_share, count(*) FILTER (WHERE g + c + l + r + cc + 10 <> o) AS mismatched FROM
-    (SELECT CAST(json_extract_string(js, '$.agent_scoring.metrics.greeting') AS BIGINT) AS g, CAST(json_extract_string(js, '$.agent_scoring.metrics.clarity') AS BIGINT) AS c, CAST(json_extract_string(js, '$.agent_scoring.metrics.listening_balance') AS BIGINT) AS l,
-     CAST(json_extract_string(js, '$.agent_scoring.metrics.response_relevance') AS BIGINT) AS r, CAST(floor(CAST(json_extract_string(js, '$.agent_scoring.metrics.call_closure') AS DOUBLE)) AS BIGINT) AS cc,
-     least(100, greatest(0, coalesce(try_cast(json_extract_string(js, '$.agent_scoring.overall_score') AS BIGINT), 0))) AS o FROM scoring_responses) t WHERE g <= 10""", "scoring_responses")
+@query("d21_score_rollup", "SELECT count(*) AS scored, " + ", ".join(f"round(avg({a}), 6) AS {m}, round(avg({a}) / {records.SCORE_CAPS[m]}, 6) AS {m}_share" for m, a in METRICS.items())
+    + f", count(*) FILTER (WHERE {' + '.join(METRICS.values())} <> o) AS mismatched FROM (SELECT "
+    + ", ".join(f"coalesce(CAST(floor(try_cast(json_extract_string(js, '$.agent_scoring.metrics.{m}') AS DOUBLE)) AS BIGINT), 0) AS {a}" for m, a in METRICS.items())
+    + ", least(100, greatest(0, coalesce(try_cast(json_extract_string(js, '$.agent_scoring.overall_score') AS BIGINT), 0))) AS o FROM scoring_responses) t WHERE g <= 10", "scoring_responses")
 def d21(t):
     r = rules.score_rollup(scoring(t))
-    return r.select("scored", *[F.round(c, 6).alias(c) for c in ("greeting", "clarity", "greeting_share", "clarity_share")], "mismatched")
+    return r.select(*[F.round(c, 6).alias(c) if c not in ("scored", "mismatched") else c for c in r.columns])

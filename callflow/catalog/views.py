@@ -199,6 +199,7 @@ NEEDS = {
     "user_turns": ["words"],
     "results": ["jobs"],
     "cdr_json": ["cdr"],
+    "broken_lines": ["spoken_lines"],
 }
 
 

@@ -2,46 +2,121 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from callflow.functions import lexicons as lx
 from callflow.functions import records
 
+# The model's context, what an answer may take of it, and the margin.
+CONTEXT_TOKENS, MAX_TOKENS, CONTEXT_MARGIN = 8192, 800, 100
+#: Padded tokens of a batch, and how far a task reads ahead to find prompts of like length.
+TOKEN_BUDGET, AHEAD, AHEAD_CHARS = 32_768, 2048, 1 << 24
+TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]")
 SHORT_CALL_WORDS = 50
 EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d{3}[-. ]\d{3}[-. ]\d{4}\b"
 DATE, AMOUNT = r"\b\d{4}-\d{2}-\d{2}\b", r"\$\d+(?:,\d{3})*(?:\.\d{2})?"
 
 
 def score_batch(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt: str = "prompt", out: str = "response") -> DataFrame:
-    """Call a batch model on a prompt column; a failing row keeps its error.
-
-    A batch that fails as a whole is retried row by row, so one bad prompt
-    does not lose its neighbours.
-    """
+    """Call a batch model on a prompt column; a failing row keeps its error and does not lose its neighbours."""
     schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prompts = batch[prompt].tolist()
-            try:
-                answers = [(a, None) for a in scorer(prompts)]
-            except Exception:  # noqa: BLE001
-                answers = []
-                for p in prompts:
-                    try:
-                        answers.append((scorer([p])[0], None))
-                    except Exception as failure:  # noqa: BLE001
-                        answers.append((None, str(failure)))
+            answers = _answers(scorer, batch[prompt].tolist())
             yield batch.assign(**{out: [a for a, _ in answers], "error": [e for _, e in answers]})
 
     return df.mapInPandas(run, schema)
 
 
+def _answers(scorer: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """Answer and error of each prompt; a batch that fails as a whole is retried row by row."""
+    try:
+        return [(a, None) for a in scorer(prompts)]
+    except Exception:  # noqa: BLE001
+        out: list[tuple[str | None, str | None]] = []
+        for p in prompts:
+            try:
+                out.append((scorer([p])[0], None))
+            except Exception as failure:  # noqa: BLE001
+                out.append((None, str(failure)))
+        return out
+
+
+def word_ends(text: str) -> list[int]:
+    """Where the tokens of a text end: words and single signs. A model's own tokenizer may take its place."""
+    return [m.end() for m in TOKEN.finditer(text)]
+
+
+def token_batches(lengths: Sequence[int], budget: int) -> list[list[int]]:
+    """Places of ``lengths`` in batches of neighbouring length; a batch, padded to its longest, fits ``budget``."""
+    batches: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if batches and max(1, lengths[batches[-1][0]]) * (len(batches[-1]) + 1) <= budget:
+            batches[-1].append(i)
+        else:
+            batches.append([i])
+    return batches
+
+
+def score_by_tokens(
+    df: DataFrame,
+    scorer: Callable[[list[str]], list[str]],
+    prompt: str = "prompt",
+    out: str = "response",
+    ends: Callable[[str], Sequence[int]] = word_ends,
+    budget: int = TOKEN_BUDGET,
+    max_tokens: int = MAX_TOKENS,
+    context: int = CONTEXT_TOKENS,
+) -> DataFrame:
+    """Call a batch model on prompts dealt by length; adds ``out``, error, n_tokens and cut.
+
+    A prompt keeps the tokens that leave room in the model's context for its
+    answer and a margin; ``cut`` tells those that lost some. A task reads ahead
+    ``AHEAD`` rows or ``AHEAD_CHARS`` characters, orders them by length and calls
+    the model with batches that fit ``budget`` when padded. The answer to a row
+    does not depend on its batch. A batch that fails is retried row by row, and
+    a failing row keeps its error. Null prompts count as empty.
+    """
+    limit = context - max_tokens - CONTEXT_MARGIN
+    if not 0 < limit <= budget:
+        raise ValueError("a prompt of the longest kind must fit the budget")
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField("error", StringType()), StructField("n_tokens", LongType()), StructField("cut", BooleanType())])
+
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        prompts, lengths, cut = [], [], []
+        for text in rows[prompt]:
+            text = text or ""
+            stops = ends(text)
+            cut.append(len(stops) > limit)
+            prompts.append(text[: stops[limit - 1]] if cut[-1] else text)
+            lengths.append(min(len(stops), limit))
+        answers: list = [None] * len(prompts)
+        for batch in token_batches(lengths, budget):
+            for i, answer in zip(batch, _answers(scorer, [prompts[i] for i in batch]), strict=True):
+                answers[i] = answer
+        return rows.assign(**{out: [a for a, _ in answers], "error": [e for _, e in answers], "n_tokens": lengths, "cut": cut})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            begin, held = 0, 0
+            for i, size in enumerate(batch[prompt].str.len().fillna(0).astype(int).tolist()):
+                if i > begin and (i - begin == AHEAD or held + size > AHEAD_CHARS):
+                    yield scored(batch.iloc[begin:i])
+                    begin, held = i, 0
+                held += size
+            if begin < len(batch):
+                yield scored(batch.iloc[begin:])
+
+    return df.mapInPandas(run, schema)
+
+
 def stub_scorer(prompts: list[str]) -> list[str]:
     """Deterministic stand-in for a model: the length of each prompt."""
     return [f'{{"length": {len(p)}}}' for p in prompts]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +22,22 @@ BUCKETS = 64
 
 
 class KeyedFolder:
-    """The newest row of each ``key`` below ``path``; ``order`` tells which of two is newer."""
+    """One row of each ``key`` below ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: Callable[[], Column], buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.order, self.buckets = spark, path, key, order, buckets
+    ``order`` tells which of two rows of a key is newer; with ``sums`` the named
+    columns are added up instead.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: Callable[[], Column] | None = None, buckets: int = BUCKETS, sums: Sequence[str] = ()):
+        self.spark, self.path, self.key, self.order, self.buckets, self.sums = spark, path, key, order, buckets, sums
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        names = [c for c in rows.columns if c != "_bucket"]
+        grouped = rows.groupBy(self.key, "_bucket")
+        if self.sums:
+            same = [F.first(c).alias(c) for c in names if c not in (self.key, *self.sums)]
+            return grouped.agg(*same, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in self.sums]).select("_bucket", *names)
+        return grouped.agg(F.max_by(F.struct(*names), self.order()).alias("_row")).select("_bucket", "_row.*")
 
     def _files(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,17 +82,17 @@ class KeyedFolder:
     def upsert(self, rows: DataFrame, batch: int) -> bool:
         """Merge one batch and publish it; False if it had been published before.
 
-        Of the rows of a key, old and new, the one last in ``order`` stays.
+        Of the rows of a key, old and new, the one last in ``order`` stays, or
+        their sums do.
         """
         before = self.manifest()
         if before is not None and before["batch"] >= batch:
             return False
-        names = rows.columns
         dealt = rows.withColumn("_bucket", self._bucket())
         touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())  # at most the number of buckets
         old = self.read(touched) if before is not None else None
         both = dealt if old is None else dealt.unionByName(old.withColumn("_bucket", self._bucket()), allowMissingColumns=True)
-        newest = both.groupBy(self.key, "_bucket").agg(F.max_by(F.struct(*names), self.order()).alias("_row")).select("_bucket", "_row.*")
+        newest = self._merged(both)
         folder = f"data/{batch:020d}-{uuid.uuid4().hex}"
         newest.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         folders = dict(before["folders"]) if before is not None else {}
