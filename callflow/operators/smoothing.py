@@ -7,6 +7,8 @@ n_words, start_ms, end_ms, last_text``) and returns them with corrected
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,12 +169,13 @@ def gap_thresholds(gaps: DataFrame) -> DataFrame:
     )
 
 
-def number_silence_turns(words: DataFrame) -> DataFrame:
+def number_silence_turns(words: DataFrame, hold: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """Number the stretches between significant gaps on the words of calls.
 
-    Calls without a positive gap keep a single stretch.
+    Calls without a positive gap keep a single stretch. The words next to their
+    gaps are read three times; ``hold`` cuts their lineage.
     """
-    near = durable(
+    near = hold(
         neighbours(words, CALL, ["word_idx"], index_block("word_idx"), ["end_ms"]).withColumn(
             "gap_ms", F.col("start_ms") - F.col("prev_end_ms")
         )

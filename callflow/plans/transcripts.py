@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callflow.operators import align, lines, runs, smoothing
+from callflow.operators import align, lines, repair, runs, smoothing
 from callflow.operators.sequence import neighbours
 from callflow.session import durable
 
@@ -147,7 +147,7 @@ def talk_and_turns(words: DataFrame, segments: DataFrame, chunks: DataFrame) ->
 
 @dataclass
 class Transcripts:
-    """Result of ``assemble_transcripts``; every member is lazy."""
+    """Result of ``assemble_transcripts``: lazy frames over its two cuts."""
 
     aligned: DataFrame  # words numbered by base run
     base: DataFrame  # base runs with their final speaker and final run
@@ -171,46 +171,18 @@ def assemble_transcripts(
     """Align, split single-speaker calls, smooth, repair sentences, renumber.
 
     Words are shuffled by ``(call_id, chunk_idx)`` for the alignment and read
-    again only to write lines; every repair in between works on runs. Two cuts
-    of lineage keep later branches from repeating the alignment.
+    again only to number runs and to write lines; every repair in between is one
+    pass along the runs. Two cuts of lineage, made here, keep later branches
+    from repeating the alignment and the numbering.
     """
     spoken = durable(align_corpus(words, segments, chunks, dedupe_overlap))
     numbered = durable(runs.word_runs(spoken, F.col("chunk_idx")))
-    sizes = runs.call_totals(runs.collapse(numbered))
-    lone = sizes.where("call_speakers <= 1").select("call_id")
-
-    many = numbered.join(lone, "call_id", "left_anti")
+    heard = runs.collapse(numbered)
+    totals = runs.call_totals(heard).select("call_id", "call_words", "call_speakers")
+    lone = totals.where("call_speakers <= 1").select("call_id")
     # Calls heard as one speaker are cut at their silences instead.
-    single = smoothing.number_silence_turns(spoken.join(lone, "call_id", "left_semi"))
-    stretches = durable(runs.collapse(single))
-    span = stretches.groupBy("call_id").agg(F.max("run_idx").alias("_last"), F.sum("n_words").alias("_words"))
-    split = (
-        smoothing.alternate_speakers(stretches)
-        .join(span, "call_id")
-        .withColumn(
-            "speaker",
-            F.when((F.col("_words") >= smoothing.MIN_WORDS_SENTENCE) & (F.col("_last") > 0), F.col("speaker")).otherwise(
-                F.lit("speaker_0")
-            ),
-        )
-        .drop("_last", "_words")
-    )
-    base = durable(smoothing.renumber(runs.collapse(many).unionByName(split)).drop("original_speaker"))
-
-    # The number of speakers that selects the rules is the one before smoothing.
-    few = runs.call_totals(base).where("call_speakers <= 2").select("call_id", F.lit(True).alias("_few"))
-    smooth = smoothing.apply_to_base(base, smoothing.smooth_short_runs)
-
-    def boundaries(turns: DataFrame) -> DataFrame:
-        fixed = smoothing.fix_boundaries(turns, only_two_speakers=False)
-        fixed = fixed.select("call_id", "run_idx", F.col("speaker").alias("_to")).join(few, "call_id")
-        return (
-            turns.join(fixed, ["call_id", "run_idx"], "left")
-            .withColumn("speaker", F.coalesce("_to", "speaker"))
-            .drop("_to", "_few")
-        )
-
-    repaired = smoothing.apply_to_base(smoothing.apply_to_base(smooth, boundaries), smoothing.fix_mid_sentence)
-    final = durable(runs.regroup(durable(smoothing.renumber(repaired).drop("original_speaker"))))
+    single = smoothing.number_silence_turns(spoken.join(lone, "call_id", "left_semi"), hold=lambda near: near)
+    many = numbered.join(lone, "call_id", "left_anti")
+    final = repair.repair_runs(runs.collapse(many).unionByName(runs.collapse(single)), totals)
     both = many.unionByName(single, allowMissingColumns=True)
     return Transcripts(both.withColumnRenamed("run_idx", "base_idx"), final, runs.merge(final))
