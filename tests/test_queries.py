@@ -1,10 +1,8 @@
 """Registered queries against DuckDB, and the shape of their plans.
 
-The smallest tables keep this quick; CALLFLOW_ALL=1 runs every query.
+Every query with SQL runs on the smallest tables.
 """
 
-import os
-
 import duckdb
 import pytest
 
@@ -16,13 +14,7 @@ from callflow.plans import transcripts
 from check import canonical
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = [
-    "c1_segment_chunk_clip", "c2_word_align", "c3_nearest_segment", "g1_concatenate_words", "e2_renumber_speakers", "e5_e6_smooth_runs",
-    "e7_boundary_fix", "e8_mid_sentence_fix", "e10_sentence_lines", "k1_transcript_runs", "b12_product", "b21_fraud_consistency", "b25_email",
-    "h1_salvage", "k3_enrich", "h11_role_validation", "i1_admission", "e19_non_speech", "c12_interval_subtraction", "d18_cluster_quality",
-    "e23_trailing_usage", "d14_class_scores", "flagship_talk_time",
-]
-NAMES = sorted(registry.oracle_sql()) if os.environ.get("CALLFLOW_ALL") else SOME
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
