@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +161,41 @@ def _closed(text: Column, keys: Column) -> Column:
     return F.aggregate(F.split(text, r"(?<=[{}])"), seed, step, lambda acc: acc["found"])
 
 
+def _unwrapped(doc: Column, fields: Column, kind: Column) -> Column:
+    """The value under the kind's wrapper if the document has one, null if that is empty; else the document."""
+    wrapper = F.coalesce(*[F.when(kind == k, F.lit(w)) for k, w in WRAPPERS.items()], F.lit(""))
+    inner = F.element_at(fields, wrapper)
+    typed = F.element_at(F.from_json(doc, "map<string,variant>"), wrapper)  # a field's text comes without its quotes
+    quoted = doc.rlike('"(?:' + "|".join(WRAPPERS.values()) + r')"\s*:\s*"')
+    text = F.when(quoted, F.coalesce(F.schema_of_variant(typed) == "STRING", F.lit(False))).otherwise(F.lit(False))
+    value = F.when(text, F.when(inner != "", F.to_json(typed))).otherwise(F.when(~inner.isin(EMPTY), inner))
+    return F.when(F.map_contains_key(fields, wrapper), value).otherwise(doc)
+
+
+def _span(text: Column) -> Column:
+    """From the first opening to the last closing brace."""
+    first = F.instr(text, "{")
+    return F.substr(text, first, F.length(text) - first - F.instr(F.reverse(text), "}") + 2)
+
+
+def _plain(span: Column) -> Column:
+    """Whether the braces of a valid object are its structure, at most ``MAX_DEPTH`` levels of it.
+
+    With strings and all else taken out, the braces left must be all there are,
+    and vanish when innermost pairs are struck out once per level.
+    """
+    gone = lambda text, sign: F.replace(text, F.lit(sign), F.lit(""))
+
+    def fits(braces: Column) -> Column:
+        struck = braces
+        for _ in range(MAX_DEPTH):
+            struck = gone(struck, "{}")
+        return (struck == "") & (F.length(braces) == F.length(span) - F.length(gone(gone(span, "{"), "}")))
+
+    few_escapes = F.length(span) - F.length(gone(span, "\\")) < 1000  # the pattern goes a level down for each
+    return few_escapes & _bound(F.regexp_replace(span, r'"(?:[^"\\]++|\\.)*+"|[^{}"]++', ""), fits)
+
+
 def _search(text: Column, kind: Column) -> Column:
     strict, relaxed = _keys(kind, 0), _keys(kind, 1)
     cut = lambda p: F.substr(text, p["at"], p["size"])
@@ -167,24 +204,22 @@ def _search(text: Column, kind: Column) -> Column:
         low = F.filter(found, lambda p: p["height"] <= MAX_DEPTH)
         none = F.struct(F.lit(0).alias("size"), F.lit(None).cast("string").alias("doc"))
         longest = F.aggregate(low, none, lambda acc, p: F.when((p["size"] > acc["size"]) & _loads(cut(p), strict), F.struct(p["size"].alias("size"), cut(p).alias("doc"))).otherwise(acc), lambda acc: acc["doc"])
-        first = F.instr(text, "{")
-        span = F.substr(text, first, F.length(text) - first - F.instr(F.reverse(text), "}") + 2)
-        whole = F.when((kind == "analysis") & (first > 0) & _loads(span, strict), span)
+        span = _span(text)
+        whole = F.when((kind == "analysis") & text.contains("{") & _loads(span, strict), span)
         outer = F.filter(found, lambda p: p["outer"])
         last = F.aggregate(outer, F.lit(None).cast("string"), lambda acc, p: F.when(_loads(cut(p), relaxed), cut(p)).otherwise(acc))
         return F.coalesce(longest, whole, last)
 
-    def unwrapped(doc: Column) -> Column:
-        wrapper = F.coalesce(*[F.when(kind == k, F.lit(w)) for k, w in WRAPPERS.items()], F.lit(""))
-        fields = _fields(doc)
-        inner = F.element_at(fields, wrapper)
-        typed = F.element_at(F.from_json(doc, "map<string,variant>"), wrapper)
-        text = F.coalesce(F.schema_of_variant(typed) == "STRING", F.lit(False))  # a field's text comes without its quotes
-        value = F.when(text, F.when(inner != "", F.to_json(typed))).otherwise(F.when(~inner.isin(EMPTY), inner))
-        return F.when(F.map_contains_key(fields, wrapper), value).otherwise(doc)
-
     both = F.array_distinct(F.concat(strict, relaxed))
-    return _bound(_bound(_closed(text, both), choose), unwrapped)
+    searched = _bound(_bound(_closed(text, both), choose), lambda doc: _unwrapped(doc, _fields(doc), kind))
+
+    def at_once(span: Column, fields: Column) -> Column:
+        """Most responses hold one plain object: then that is the longest one, and no search is needed."""
+        there = F.coalesce(F.exists(strict, lambda k: F.map_contains_key(fields, k)), F.lit(False))
+        return F.when(there & _plain(span), _unwrapped(span, fields, kind)).otherwise(searched)
+
+    found = _bound(_span(text), lambda span: _bound(_fields(span), lambda fields: at_once(span, fields)))
+    return F.when(_marked(text, both), found)
 
 
 def salvage(raw: Column, kind: str | Column) -> Column:
@@ -196,8 +231,14 @@ def salvage(raw: Column, kind: str | Column) -> Column:
     is taken if it is there, and null if that is empty.
     """
     named = F.lit(kind) if isinstance(kind, str) else kind
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, FENCE.pattern, ""), COMMENT.pattern, ""), NO_NUMBER, "null")
-    return _bound(clean, lambda text: _search(text, named))
+
+    def without(text: Column, signs: list[str], pattern: str, instead: str = "") -> Column:
+        there = reduce(or_, [text.contains(x) for x in signs])
+        return F.when(there, F.regexp_replace(text, pattern, instead)).otherwise(text)
+
+    clean = _bound(without(raw, ["```"], FENCE.pattern), lambda text: without(text, ["//"], COMMENT.pattern))
+    numbers = _bound(clean, lambda text: without(text, ["NaN", "Infinity"], NO_NUMBER, "null"))
+    return _bound(numbers, lambda text: _search(text, named))
 
 
 def parse(doc: Column, kind: str) -> Column:
