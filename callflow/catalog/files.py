@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callflow.catalog.operations import EV, REPORT_SQL
 from callflow.catalog.registry import query
 from callflow.catalog.requests import CHANGES, accepts_even, no_wait
 from callflow.operators import usage
-from callflow.plans import deliver
+from callflow.plans import deliver, evaluate
 from callflow.sources import files
 from callflow.streaming import jobs, rollup
 from callflow.streaming.keyed import KeyedFolder, upsert_stream
@@ -87,6 +88,13 @@ def a8(t):
     return _read(files.read_event_log(t.spark, delivered_log(t)))
 
 
+@query("a13_evaluation_report", REPORT_SQL, "eval_labels", **EV)
+def a13(t):
+    out = new_folder(t)
+    files.write_eval_report(evaluate.report(t["eval_labels"]), out)
+    return files.read_eval_report(t.spark, out).withColumn("value", F.round("value", 6))
+
+
 @query("i4_delivery_log_stream", LOG_SQL, "results")
 def i4(t):
     out = new_folder(t)

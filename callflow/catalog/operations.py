@@ -218,21 +218,24 @@ def d16(t):
     return evaluate.evaluate(t["eval_labels"])["distributions"]
 
 
-@query("k5_evaluate", """SELECT 'overall' AS section, 'all' AS label, 'total' AS metric, CAST(count(*) AS DOUBLE) AS value FROM cleaned
+REPORT_SQL = """SELECT 'overall' AS section, 'all' AS label, 'total' AS metric, CAST(count(*) AS DOUBLE) AS value FROM cleaned
     UNION ALL SELECT 'overall', 'all', 'accuracy', round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) FROM cleaned
     UNION ALL SELECT 'overall', 'all', 'adjacent_accuracy', round(avg(CASE WHEN abs(a.i - p.i) <= 1 THEN 1.0 ELSE 0.0 END), 6) FROM cleaned c JOIN levels a ON a.label = c.actual JOIN levels p ON p.label = c.predicted
     UNION ALL SELECT 'class', label, unnest(['precision', 'recall', 'f1', 'support']), unnest([round(precision, 6), round(recall, 6), round(f1, 6), CAST(support AS DOUBLE)]) FROM full_scores
     UNION ALL SELECT 'average', 'all', unnest(['macro_precision', 'macro_recall', 'macro_f1', 'weighted_precision', 'weighted_recall', 'weighted_f1']),
       unnest([round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6)]) FROM full_scores
     UNION ALL SELECT 'distribution', 'actual:' || actual, 'n', CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY actual
-    UNION ALL SELECT 'distribution', 'predicted:' || predicted, 'n', CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY predicted""", "eval_labels", **EV)
+    UNION ALL SELECT 'distribution', 'predicted:' || predicted, 'n', CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY predicted"""
+
+
+@query("k5_evaluate", REPORT_SQL, "eval_labels", **EV)
 def k5(t):
     return evaluate.report(t["eval_labels"]).withColumn("value", F.round("value", 6))
 
 
-@query("d17_rtf", "SELECT strftime(created_at, '%Y-%m') AS period, count(rtf) AS jobs, round(avg(rtf), 6) AS mean_rtf, round(max(rtf), 6) AS max_rtf FROM (SELECT created_at, CASE WHEN audio_duration > 0 THEN processing_time / audio_duration END AS rtf FROM jobs) t GROUP BY period", "jobs")
+@query("d17_rtf", "SELECT strftime(created_at, '%Y-%m') AS period, count(rtf) AS jobs, round(avg(rtf), 6) AS mean_rtf, round(max(rtf), 6) AS max_rtf, round(quantile_disc(rtf, 0.5), 6) AS median_rtf FROM (SELECT created_at, CASE WHEN audio_duration > 0 THEN processing_time / audio_duration END AS rtf FROM jobs) t GROUP BY period", "jobs")
 def d17(t):
-    return usage.rtf_by_month(t["jobs"]).select("period", "jobs", *six("mean_rtf", "max_rtf"))
+    return usage.rtf_by_month(t["jobs"]).select("period", "jobs", *six("mean_rtf", "max_rtf", "median_rtf"))
 
 
 def trailing(seconds):

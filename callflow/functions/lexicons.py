@@ -23,6 +23,7 @@ CUSTOMER_PHRASES = [
     "i will get this forwarded",
 ]
 AGENT_PHRASES = ["i'm with ", "i am with ", "i'm from ", "i am from ", "calling from ", "calling you from ", "this is "]
+# Phrases that tell an agent or a customer.
 ROLE_RULES = {
     "Agent": [
         "i'm with ", "i'm from ", "calling from ", "calling you from ", "looking to speak with", "trying to reach",
@@ -33,6 +34,7 @@ ROLE_RULES = {
         "is he helping you with something", "forward this to", "give this to my manager", "isn't working", "had issues with",
     ],
 }
+# Phrases of each fraud tactic.
 FRAUD_LEXICON = {
     "impersonation": ["this is the irs", "from microsoft", "bank's fraud department", "police", "fbi", "dea", "government official", "tech support"],
     "urgency": ["act immediately", "within 24 hours", "deadline today", "right now"],
@@ -44,6 +46,7 @@ FRAUD_LEXICON = {
     "pressure": ["don't hang up", "don't tell anyone", "do it now"],
     "threats": ["hurt you", "physical harm", "ruin your reputation"],
 }
+# Own lists from here on.
 SENTIMENT_LEXICON = {
     "very_positive": ["amazing", "fantastic", "excellent", "love", "wonderful"],
     "positive": ["thanks", "thank", "great", "good", "happy", "appreciate", "helpful"],

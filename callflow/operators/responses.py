@@ -30,6 +30,7 @@ MARKERS = {
     "email": (["follow_up_email"], ["follow_up_email"]),
 }
 WRAPPERS = {"analysis": "ai_analysis", "scoring": "agent_scoring", "fraud": "fraud_detection"}
+# Levels of a document, and the fences and comments taken out of a response.
 MAX_DEPTH = 4
 FENCE = re.compile(r"```(?:json)?\s*")
 COMMENT = re.compile(r"(?<!:)//(?!/)[^\n]*")

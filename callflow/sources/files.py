@@ -110,5 +110,10 @@ def read_saved(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("_row.*")
 
 
+def read_eval_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("section string, label string, metric string, value double").json(path)
+
+
 def write_eval_report(report: DataFrame, path: str) -> None:
+    """The report (section, label, metric, value), a few rows, as one file of JSON lines."""
     report.coalesce(1).write.mode("overwrite").json(path)
