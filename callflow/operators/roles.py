@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callflow.functions import lexicons as lx
 from callflow.operators.sequence import index_block, running_sum
 
+# Role names and thresholds.
 VALID = ["Agent", "Customer", "Agent_2"]
 SAMPLE_LINES = 30
 IVR_MAX_LINES = 2
