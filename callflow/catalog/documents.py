@@ -35,52 +35,48 @@ def b11(t):
     return analysis(t).select("request_id", F.col("a.sentiment.category").alias("category"))
 
 
-@query(
-    "b12_product",
-    f"""SELECT request_id, CASE WHEN trim(n) = '' THEN 'Unknown Product' ELSE trim(n) END AS name,
+PRODUCT_SQL = f"""SELECT request_id, CASE WHEN trim(n) = '' THEN 'Unknown Product' ELSE trim(n) END AS name,
           try_cast(q AS BIGINT) AS quantity, CASE WHEN lower(m) IN ('null','none','n/a') THEN NULL ELSE trim(m) END AS mentioned_at
         FROM (SELECT request_id, {AN.format('extracted_items.products[0].name')} AS n, {AN.format('extracted_items.products[0].quantity')} AS q,
-          {AN.format('extracted_items.products[0].mentioned_at')} AS m FROM analysis_responses) t""",
-    "analysis_responses",
-)
+          {AN.format('extracted_items.products[0].mentioned_at')} AS m FROM analysis_responses) t"""
+
+
+@query("b12_product", PRODUCT_SQL, "analysis_responses")
 def b12(t):
     return analysis(t).select("request_id", F.inline("a.extracted_items.products"))
 
 
-@query(
-    "b13_contact",
-    f"""SELECT request_id, CASE WHEN lower(p) IN ('null','none','n/a','unknown') THEN NULL ELSE trim(p) END AS phone,
+CONTACT_SQL = f"""SELECT request_id, CASE WHEN lower(p) IN ('null','none','n/a','unknown') THEN NULL ELSE trim(p) END AS phone,
           CASE WHEN e NOT LIKE '%@%' THEN NULL ELSE e END AS email,
           CASE WHEN lower(n) IN ('null','none','n/a','unknown') THEN NULL ELSE trim(n) END AS name
         FROM (SELECT request_id, {AN.format('extracted_items.contact_info.phone')} AS p, lower(trim({AN.format('extracted_items.contact_info.email')})) AS e,
-          {AN.format('extracted_items.contact_info.name')} AS n FROM analysis_responses) t""",
-    "analysis_responses",
-)
+          {AN.format('extracted_items.contact_info.name')} AS n FROM analysis_responses) t"""
+
+
+@query("b13_contact", CONTACT_SQL, "analysis_responses")
 def b13(t):
     return analysis(t).select("request_id", "a.extracted_items.contact_info.*")
 
 
-@query(
-    "b14_consent",
-    f"""SELECT request_id, lower({AN.format('recording_consent.agent_disclosed_recording')}) IN ('true','yes','y','1') AS agent_disclosed_recording,
+CONSENT_SQL = f"""SELECT request_id, lower({AN.format('recording_consent.agent_disclosed_recording')}) IN ('true','yes','y','1') AS agent_disclosed_recording,
           coalesce(lower({AN.format('recording_consent.customer_consented_to_recording')}) IN ('true','yes','y','1'), false) AS customer_consented_to_recording
-        FROM analysis_responses""",
-    "analysis_responses",
-)
+        FROM analysis_responses"""
+
+
+@query("b14_consent", CONSENT_SQL, "analysis_responses")
 def b14(t):
     return analysis(t).select("request_id", "a.recording_consent.*")
 
 
-@query(
-    "b15_text_fields",
-    f"""SELECT request_id, CASE WHEN trim(d) = '' THEN 'No description' ELSE trim(d) END AS action, trim(pt) AS info_type, trim(pv) AS info_value,
+TEXT_SQL = f"""SELECT request_id, CASE WHEN trim(d) = '' THEN 'No description' ELSE trim(d) END AS action, trim(pt) AS info_type, trim(pv) AS info_value,
           trim(o) AS opportunity, coalesce(r, '') AS risk, trim(ia) AS area, '' AS recommendation
         FROM (SELECT request_id, {AN.format('extracted_items.action_items[0].description')} AS d, {AN.format('extracted_items.personal_info[0].type')} AS pt,
           {AN.format('extracted_items.personal_info[0].value')} AS pv, {AN.format('business_intelligence.opportunities[0].description')} AS o,
           {AN.format('business_intelligence.risks[0].description')} AS r, {AN.format('improvement_recommendations[0].area_for_improvement')} AS ia
-          FROM analysis_responses) t""",
-    "analysis_responses",
-)
+          FROM analysis_responses) t"""
+
+
+@query("b15_text_fields", TEXT_SQL, "analysis_responses")
 def b15(t):
     a = "a.extracted_items."
     return analysis(t).select(
@@ -95,12 +91,11 @@ def b15(t):
     )
 
 
-@query(
-    "b16_summary",
-    f"""SELECT request_id, CASE WHEN trim(v) = '' THEN 'No summary available' ELSE regexp_replace(trim(v), '\\s+', ' ', 'g') END AS summary
-        FROM (SELECT request_id, {AN.format('summary')} AS v FROM analysis_responses) t""",
-    "analysis_responses",
-)
+SUMMARY_SQL = f"""SELECT request_id, CASE WHEN trim(v) = '' THEN 'No summary available' ELSE regexp_replace(trim(v), '\\s+', ' ', 'g') END AS summary
+        FROM (SELECT request_id, {AN.format('summary')} AS v FROM analysis_responses) t"""
+
+
+@query("b16_summary", SUMMARY_SQL, "analysis_responses")
 def b16(t):
     return analysis(t).select("request_id", F.col("a.summary").alias("summary"))
 
@@ -251,16 +246,15 @@ def b24(t):
 EM = "json_extract_string(js, '$.follow_up_email.{}')"
 
 
-@query(
-    "b25_email",
-    f"""SELECT request_id, trim(s) AS subject, CASE WHEN tone IN ('friendly','urgent') THEN tone ELSE 'professional' END AS tone,
+EMAIL_SQL = f"""SELECT request_id, trim(s) AS subject, CASE WHEN tone IN ('friendly','urgent') THEN tone ELSE 'professional' END AS tone,
           CASE WHEN k = '' THEN 'general_follow_up' ELSE replace(k, ' ', '_') END AS email_type, k <> 'mystery' AS valid, b <> '' AS data_sufficient,
           CASE WHEN f IS NOT NULL THEN trim(f) WHEN g = '' AND b = '' THEN '' ELSE
             concat_ws(chr(10) || chr(10), nullif(g, ''), nullif(b, ''), nullif(c, ''), 'Bye') END AS full_email
         FROM (SELECT request_id, {EM.format('subject')} AS s, lower(trim({EM.format('tone')})) AS tone, lower(trim({EM.format('email_type')})) AS k,
-          trim({EM.format('greeting')}) AS g, trim({EM.format('body')}) AS b, trim({EM.format('call_to_action')}) AS c, {EM.format('full_email')} AS f FROM email_responses) t""",
-    "email_responses",
-)
+          trim({EM.format('greeting')}) AS g, trim({EM.format('body')}) AS b, trim({EM.format('call_to_action')}) AS c, {EM.format('full_email')} AS f FROM email_responses) t"""
+
+
+@query("b25_email", EMAIL_SQL, "email_responses")
 def b25(t):
     doc = F.from_json("js", records.EMAIL_SCHEMA)
     return t["email_responses"].select("request_id", records.email_record(doc).alias("e")).select(
@@ -498,15 +492,24 @@ def c11(t):
     )
 
 
-K3_SQL = """SELECT e.event_id AS request_id, f.risk_level, CASE WHEN s.ok THEN s.o ELSE -1 END AS overall_score, n.task_count,
-       CASE WHEN n.request_id IS NULL THEN NULL ELSE n.assigned_to END AS assigned_to
-       FROM events e JOIN fr f ON f.request_id = e.event_id JOIN sc s ON s.request_id = e.event_id LEFT JOIN tk n ON n.request_id = e.event_id"""
+TEXTS = ["action", "info_type", "info_value", "opportunity", "risk", "area", "recommendation"]
+TOLD = ["category", "summary", "product", "quantity", "mentioned_at", "name", "phone", "contact_email", "agent_disclosed_recording", "customer_consented_to_recording", *TEXTS]
+WRITTEN = ["subject", "tone", "email_type", "data_sufficient", "full_email"]
+# Every thirteenth analysis is cut off; calls without words have no document.
+K3_SQL = f"""SELECT c.request_id, f.risk_level, CASE WHEN s.ok THEN s.o ELSE CASE WHEN said THEN -1 END END AS overall_score, n.task_count, n.assigned_to,
+       {", ".join(f"CASE WHEN c.request_id % 13 <> 0 THEN a.{x} END AS {x}" for x in TOLD)}, {", ".join(f"CASE WHEN m.valid THEN m.{x} END AS {x}" for x in WRITTEN)},
+       CASE WHEN broken THEN 'Could not extract valid JSON from output' END AS error, CASE WHEN broken THEN length(cut) END AS output_length, CASE WHEN broken THEN contains(cut, '"ai_analysis"') END AS contains_marker,
+       CASE WHEN broken THEN substr(cut, 1, 100) END AS first_100_chars, CASE WHEN broken THEN right(cut, 100) END AS last_100_chars
+       FROM (SELECT *, coalesce(trim(transcript), '') <> '' AS said FROM call_texts) c
+       LEFT JOIN fr f ON said AND f.request_id = c.request_id LEFT JOIN sc s ON said AND s.request_id = c.request_id LEFT JOIN tk n ON said AND n.request_id = c.request_id
+       LEFT JOIN told a ON said AND a.request_id = c.request_id LEFT JOIN written m ON said AND m.request_id = c.request_id
+       LEFT JOIN (SELECT request_id, request_id % 13 = 0 AS broken, substr(js, 1, length(js) // 2) AS cut FROM analysis_responses) r ON said AND r.request_id = c.request_id"""
 
 
 @query(
     "k3_enrich",
     K3_SQL,
-    "fraud_responses scoring_responses task_responses cdr",
+    "call_texts analysis_responses fraud_responses scoring_responses task_responses email_responses cdr",
     **FRAUD_SQL,
     **TASK_SQL,
     fr="SELECT request_id, CASE WHEN NOT enough2 AND NOT ind THEN 'Low' ELSE risk2 END AS risk_level FROM step3",
@@ -514,6 +517,9 @@ K3_SQL = """SELECT e.event_id AS request_id, f.risk_level, CASE WHEN s.ok THEN s
        CAST(least(100, greatest(0, coalesce(try_cast(json_extract_string(js, '$.agent_scoring.overall_score') AS BIGINT), 0))) AS BIGINT) AS o FROM scoring_responses""",
     tk="""SELECT c.request_id, CASE WHEN d.doc IS NULL THEN 0 ELSE 1 END AS task_count, CASE WHEN d.doc IS NOT NULL THEN c.agent_extension END AS assigned_to
        FROM docs d JOIN cdr c ON c.request_id = d.request_id""",
+    told=f"""SELECT * FROM ({CATEGORY_SQL}) a1 JOIN ({SUMMARY_SQL}) a2 USING (request_id) JOIN (SELECT request_id, name AS product, quantity, mentioned_at FROM ({PRODUCT_SQL}) p) a3 USING (request_id)
+       JOIN (SELECT request_id, name, phone, email AS contact_email FROM ({CONTACT_SQL}) p) a4 USING (request_id) JOIN ({CONSENT_SQL}) a5 USING (request_id) JOIN ({TEXT_SQL}) a6 USING (request_id)""",
+    written=EMAIL_SQL,
 )
 def k3(t):
     raw = None
@@ -521,9 +527,21 @@ def k3(t):
         name = "task_responses" if kind == "tasks" else f"{kind}_responses"
         part = t[name].select("request_id", F.lit(kind).alias("kind"), F.col(column).alias("raw"))
         raw = part if raw is None else raw.unionByName(part)
-    transcripts = t["events"].select(F.col("event_id").alias("request_id"), F.col("event_type").alias("transcript"))
-    d = enrich.enrich(transcripts, t["cdr"], raw)
+    cut = F.substr("raw", F.lit(1), F.floor(F.length("raw") / 2).cast("int"))
+    raw = raw.withColumn("raw", F.when((F.col("kind") == "analysis") & (F.col("request_id") % 13 == 0), cut).otherwise(F.col("raw")))
+    d = enrich.enrich(t["call_texts"], t["cdr"], raw)
+    a, e = F.col("document.analysis"), F.col("document.analysis_error")
+    items, intel, wanted = a["extracted_items"], a["business_intelligence"], a["improvement_recommendations"]
     return d.select(
         "request_id", F.col("document.fraud_detection.risk_level").alias("risk_level"), F.col("document.agent_scoring.overall_score").alias("overall_score"),
         F.col("document.agent_tasks.task_count").alias("task_count"), F.get("document.agent_tasks.tasks", 0)["assigned_to"].alias("assigned_to"),
+        a["sentiment"]["category"].alias("category"), a["summary"].alias("summary"),
+        F.get(items["products"], F.lit(0))["name"].alias("product"), *[F.get(items["products"], F.lit(0))[x].alias(x) for x in ("quantity", "mentioned_at")],
+        *[items["contact_info"][x].alias("contact_email" if x == "email" else x) for x in ("name", "phone", "email")],
+        *[a["recording_consent"][x].alias(x) for x in ("agent_disclosed_recording", "customer_consented_to_recording")],
+        F.get(items["action_items"], F.lit(0))["description"].alias("action"), F.get(items["personal_info"], F.lit(0))["type"].alias("info_type"), F.get(items["personal_info"], F.lit(0))["value"].alias("info_value"),
+        F.get(intel["opportunities"], F.lit(0))["description"].alias("opportunity"), F.get(intel["risks"], F.lit(0))["description"].alias("risk"),
+        F.get(wanted, F.lit(0))["area_for_improvement"].alias("area"), F.get(wanted, F.lit(0))["recommendation"].alias("recommendation"),
+        *[F.col(f"document.follow_up_email.{x}").alias(x) for x in WRITTEN],
+        *[e[x].alias(x) for x in ("error", "output_length", "contains_marker", "first_100_chars", "last_100_chars")],
     )

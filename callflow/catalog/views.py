@@ -188,6 +188,10 @@ SELECT request_id,
             ELSE '{"src": "' || src || '", "dst": "' || dst || '", "direction": "' || direction || '", "calldate": ' ||
                  CASE WHEN request_id % 5 = 0 THEN 'null' ELSE '"' || CAST(request_id AS STRING) || '"' END || '}' END AS raw
 FROM cdr""",
+    # What was said in the call of each request, some calls without a word and some unknown.
+    "call_texts": """
+SELECT e.event_id AS request_id, CASE WHEN e.event_id % 10 = 0 THEN '  ' ELSE c.text END AS transcript
+FROM events e LEFT JOIN conversations c ON c.conv_id = e.event_id % 120 AND c.turn = e.event_id % 3""",
     "speaker_vectors": "SELECT label AS call_id, vec_id, embedding FROM embeddings",
 }
 
