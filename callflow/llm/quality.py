@@ -38,7 +38,7 @@ ID_BITS = 20
 #: Keys of pooled words stand above those of all bigrams.
 POOLED = 1 << 62
 #: Trusted words per shard of the model, bigrams and distinct words held before a task writes their counts, documents scored at a time.
-SHARD_WORDS, COUNTED, COUNTED_WORDS, SCORED = 2_000_000, 1 << 20, 1 << 18, 512
+SHARD_WORDS, COUNTED, COUNTED_WORDS, SCORED = 2_000_000, 1 << 19, 1 << 17, 512
 #: Bits of the filters that spare needless shuffling; a fixed size, so a filter grows weaker, not larger.
 FILTER_BITS = 1 << 26
 QUANTILE = 0.99
@@ -94,13 +94,23 @@ class Filter:
         return cls(words)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, first all lowest bytes; the upper ones are nearly all alike and take no room."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, which compress well."""
-    return np.diff(keys, prepend=np.int64(0)).tobytes()
+    """Sorted keys as differences, whose upper bytes are mostly zero."""
+    return planes(np.diff(keys, prepend=np.int64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.int64))
+    return np.cumsum(numbers(data, np.int64))
 
 
 def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -325,7 +335,7 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
                 wanted, of = keys[ask][order], doc[ask][order]
                 by, shard = by_shard(wanted, m.shards)
                 edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
-                rows = [{"shard": int(shard[a]), "kind": 1, "batch": number, "at": of[by[a:b]].astype(np.uint16).tobytes(), "keys": packed(wanted[by[a:b]])} for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                rows = [{"shard": int(shard[a]), "kind": 1, "batch": number, "at": planes(of[by[a:b]].astype(np.uint16)), "keys": packed(wanted[by[a:b]])} for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 rows.append({"shard": number % m.shards, "kind": 2, "batch": number, "doc_id": batch["doc_id"].to_pylist(), "lang": batch["lang"].to_pylist(), "words": sizes.tolist(), "base": base.tolist()})
                 number += 1
                 yield routed(rows)
@@ -348,7 +358,7 @@ def log_probabilities(docs: DataFrame, model: Model, counts: DataFrame) -> DataF
                 elif r["kind"] == 2:
                     rows.append(r)
                 elif r["shard"] == shard and len(keys):
-                    wanted, at = unpacked(r["keys"]), np.frombuffer(r["at"], np.uint16)
+                    wanted, at = unpacked(r["keys"]), numbers(r["at"], np.uint16)
                     place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     got = np.bincount(at, np.where(keys[place] == wanted, gains[place], 0.0), SCORED)
                     hit = np.flatnonzero(got)
