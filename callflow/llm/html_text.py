@@ -5,13 +5,16 @@ and commas to its parent, half of them to its grandparent and a third further
 up; a container's points are discounted by its link density. The best container
 and the siblings that score well beside it are kept; what is boilerplate by its
 element, its name or its links is left out of them. A form or a name drops nothing
-that holds the article or most of the page.
+that holds the article or most of the page; inside an article only plain names
+drop, and no element with the headline. Lists of sources stay, and what stands
+under a heading of reader comments goes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -46,6 +49,17 @@ NAMES = re.compile(
     r"newsletter|subscribe|subscription|signup|sign-up|login|register|search|tags?|toolbar|skip-?link|hidden|sr-only)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Inside an article: class words that name boilerplate wherever they begin or end a class, and those that do only as the whole class.
+ALWAYS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "cookie", "cookies", "consent", "popup",
+    "modal", "overlay", "sidebar", "widget", "widgets", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "comments", "commentlist",
+    "respond", "disqus", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "newsletter", "subscribe", "subscription", "signup", "login",
+    "register", "toolbar",
+}
+ALONE = {"notice", "notices", "notification", "alert", "banner", "disclaimer", "tags", "search", "footer", "legal", "copyright", "hidden", "sr-only", "skip-link", "toc", "comment", "replies", "reviews", "popular", "rail", "aside"}
+#: What a list of links is introduced by when it belongs to the article, and the headings of reader comments.
+SOURCES = re.compile(r"\b(?:sources?|references?|further reading|bibliography|literature|quellen|literatur|fuentes|referencias|bibliograf[ií]a|r[ée]f[ée]rences|bibliographie)\b", re.IGNORECASE)
+REMARKS = re.compile(r"(?:\d[\d.,]*\s+|reader\s+|leave\s+a\s+)?(?:responses?|comments?|repl(?:y|ies)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d*\)?|\s+(?:to|on|zu|sur|sobre)\b.*)\W*", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Share of linked characters from which a list or box inside the article is a menu.
 MENU_DENSITY = 0.8
@@ -64,6 +78,8 @@ class Tree:
         self.doubtful, self.marks = [False], [""]  # dropped unless it holds the article or most of the page; what the element says it is
         self.blocks: list[tuple[int, str, int]] = []
         self._open, self._text, self._links, self._linked = [0], [], 0, 0
+        self._places: dict[str, list[int]] = {}  # of the open elements of each tag among all open ones
+        self._solid = [0]  # of those that are not inline
         skip = None
         for m in TOKEN.finditer(html):
             piece, name = m[0], m[2]
@@ -93,7 +109,11 @@ class Tree:
             self._linked += len(text.strip())
 
     def _owner(self) -> int:
-        return next(i for i in reversed(self._open) if self.tag[i] not in INLINE)
+        return self._open[self._solid[-1]]
+
+    def _place(self, tags: Iterable[str]) -> int:
+        """Of the innermost open element with one of the tags; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=0)
 
     def _flush(self) -> None:
         if self._text:
@@ -103,7 +123,12 @@ class Tree:
         self._text, self._linked = [], 0
 
     def _pop(self, at: int) -> None:
-        self._links -= sum(self.tag[i] == "a" for i in self._open[at:])
+        for i in self._open[at:]:
+            tag = self.tag[i]
+            self._places[tag].pop()
+            self._links -= tag == "a"
+            if tag not in INLINE:
+                self._solid.pop()
         del self._open[at:]
 
     def _start(self, name: str, attributes: str) -> None:
@@ -113,13 +138,9 @@ class Tree:
         if name not in INLINE:
             self._flush()
             ends = (*ENDS.get(name, ()), *(("p",) if name not in ("option", "td", "th", "tr") else ()))
-            for at in range(len(self._open) - 1, 0, -1):
-                tag = self.tag[self._open[at]]
-                if tag in ends:
-                    self._pop(at)
-                    break
-                if tag in BARRIERS:
-                    break
+            at = self._place(ends)
+            if at and at >= self._place(BARRIERS):
+                self._pop(at)
         given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip(" /\n\t\r") else {}
         up = self._open[-1]
         named = f"{given.get('class', '')} {given.get('id', '')}"
@@ -134,7 +155,8 @@ class Tree:
             or given.get("aria-hidden") == "true"
             or bool(HIDDEN.search(given.get("style", "")))
         )
-        doubtful = name == "form" or given.get("role") == "form" or (name not in ("html", "body", "article", "main") and bool(NAMES.search(named)))
+        says = name not in ("html", "body", "article", "main") and (boilerplate(named) if self.main[up] else bool(NAMES.search(named)))
+        doubtful = name == "form" or given.get("role") == "form" or says
         if name in VOID or attributes.endswith("/") and name in INLINE:
             return
         self.tag.append(name)
@@ -143,19 +165,54 @@ class Tree:
         self.main.append(inside)
         self.doubtful.append(doubtful)
         self.marks.append(mark)
+        self._places.setdefault(name, []).append(len(self._open))
+        if name not in INLINE:
+            self._solid.append(len(self._open))
         self._open.append(len(self.tag) - 1)
         self._links += name == "a"
 
     def _end(self, name: str) -> None:
         if name not in INLINE:
             self._flush()
-        for at in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[at]]
-            if tag == name:
-                self._pop(at)
-                return
-            if name in INLINE and tag not in INLINE:
-                return
+        at = self._place((name,))
+        if at and (name not in INLINE or at > self._solid[-1]):  # an inline end tag does not reach out of its block
+            self._pop(at)
+
+
+def boilerplate(named: str) -> bool:
+    """Whether class and id of an element inside the article name something that is not the article's."""
+    for word in named.lower().split():
+        parts = re.split(r"[_-]+", word)
+        if word in ALONE or parts[0] in ALWAYS or parts[-1] in ALWAYS:
+            return True
+    return False
+
+
+def remarks(tree: Tree) -> list[int]:
+    """Elements under a heading that announces reader comments, the heading among them."""
+    out = []
+    for owner, text, _ in tree.blocks:
+        if tree.tag[owner] in ("h2", "h3", "h4") and len(text) <= 80 and REMARKS.fullmatch(text):
+            up = tree.parent[owner]
+            around = tree.tag[up] in ("article", "main", "body", "html", "#root")
+            out += [i for i in range(owner, len(tree.tag)) if tree.parent[i] == up] if around else [up]
+    return out
+
+
+def introduced(tree: Tree) -> set[int]:
+    """Lists inside an article that come right after a block naming sources."""
+    out, before = set(), ""
+    around = [0] * len(tree.tag)
+    for i in range(1, len(tree.tag)):
+        around[i] = i if tree.tag[i] in ("ul", "ol", "dl") else around[tree.parent[i]]
+    for owner, text, _ in tree.blocks:
+        node = around[owner]
+        if node and tree.main[node]:
+            if node in out or SOURCES.search(before):
+                out.add(node)
+                continue
+        before = text if len(text) <= 120 else ""
+    return out
 
 
 def sums(tree: Tree) -> tuple[list[int], list[int]]:
@@ -195,20 +252,27 @@ def main_blocks(html: str) -> list[str]:
     tree = Tree(html)
     chars, linked = sums(tree)
     wrapper = wrappers(tree) if any(tree.doubtful) else []
+    headed = [False] * len(tree.tag)
+    for i in range(len(tree.tag) - 1, 0, -1):
+        headed[tree.parent[i]] |= headed[i] or tree.tag[i] == "h1"
+    sources = introduced(tree)
+    for i in remarks(tree):
+        tree.dropped[i] = True
     for i in range(1, len(tree.tag)):
-        if tree.dropped[tree.parent[i]] or (tree.doubtful[i] and not wrapper[i]) or (tree.tag[i] in BOXES and chars[i] and linked[i] >= MENU_DENSITY * chars[i]):
+        up = tree.parent[i]
+        named = tree.doubtful[i] and not wrapper[i] and not (tree.main[up] and headed[i])
+        menu = tree.tag[i] in BOXES and chars[i] and linked[i] >= MENU_DENSITY * chars[i] and i not in sources
+        if tree.dropped[up] or named or menu:
             tree.dropped[i] = True
-    points = [0.0] * len(tree.tag)
+    points, given = [0.0] * len(tree.tag), Counter()
     for owner, text, links in tree.blocks:
-        if tree.dropped[owner]:
-            continue
-        got = points_of(text, links)
-        node, share = owner if tree.tag[owner] in ("article", "main", "body", "div", "section", "#root") else tree.parent[owner], 1.0
+        if not tree.dropped[owner]:
+            given[owner if tree.tag[owner] in ("article", "main", "body", "div", "section", "#root") else tree.parent[owner]] += points_of(text, links)
+    for node, got in given.items():  # blocks of one parent go up together
         level = 1
         while node >= 0:
-            points[node] += got * share
+            points[node] += got / level
             level += 1
-            share = 1 / level
             node = tree.parent[node]
     score = [p * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i, p in enumerate(points)]
     if not any(score):

@@ -1,5 +1,6 @@
 """Token counts, chat formatting, HTML extraction, decontamination and language ID."""
 
+import time
 from collections import Counter
 
 import duckdb
@@ -245,3 +246,34 @@ def test_folded_tables_equal_the_network():
 def test_queries_module_reads_whole_tables():
     text = open(queries.__file__).read()
     assert "limit(" not in text and "sample(" not in text
+
+
+BODY = "<p>The first paragraph of the story, which is long enough, says what happened and where, in some detail.</p><p>The second one, also long, adds who was there, what they said, and why it matters to them.</p>"
+
+
+@pytest.mark.parametrize(
+    "inside, kept, lost",
+    [
+        ('<header class="entry-header"><h1>Big Headline</h1></header>' + BODY, ["Big Headline", "second one"], []),
+        ('<div class="article-header"><h1>Big Headline</h1></div>' + BODY, ["Big Headline"], []),
+        ('<div class="side-by-side"><p>A comparison, both halves of it, told in words.</p></div>' + BODY, ["A comparison"], []),
+        (BODY + '<h2>Sources</h2><ul><li><a href="a">Report of the office</a></li><li><a href="b">Interview</a></li></ul>', ["Report of the office", "Interview"], []),
+        (BODY + '<ul class="related"><li><a href="a">Another story</a></li></ul>', [], ["Another story"]),
+        (BODY + '<ul><li><a href="a">Elsewhere</a></li></ul>', [], ["Elsewhere"]),
+        (BODY + "<section><h2>12 Responses</h2><ol><li>I do not agree, not at all, with any of this.</li></ol></section>", ["first paragraph"], ["agree", "Responses"]),
+        (BODY + '<h3>Comments (2)</h3><div>I do not agree, not at all.</div><div>Nor do I.</div>', ["second one"], ["agree", "Nor"]),
+        (BODY + "<h2>Responses of the ministry</h2><p>It said, at some length, that all is well, and will be.</p>", ["all is well", "Responses of the ministry"], []),
+        (BODY + '<div class="ad-slot">Buy, buy, buy.</div><div class="notice">We moved.</div>', [], ["Buy", "moved"]),
+    ],
+)
+def test_articles_are_kept_whole(inside, kept, lost):
+    page = f"<html><body><nav><a href='x'>Home</a></nav><div class='wrap'><article>{inside}</article></div><footer>Imprint</footer></body></html>"
+    text = " ".join(html_text.main_blocks(page))
+    assert all(k in text for k in ["first paragraph", *kept]) and not any(x in text for x in ["Home", "Imprint", *lost]), text
+
+
+@pytest.mark.parametrize("opened, ends", [("<div>", "</foo>"), ("<foo>", "</bar>"), ("<b>", "</i>"), ("<foo>", "<p>x, y"), ("<i><div><b>", "</i>")])
+def test_broken_pages_take_linear_time(opened, ends):
+    began = time.time()
+    text = " ".join(html_text.main_blocks("<article><p>Some words, to be kept, at the beginning.</p>" + opened * 5_000 + ends * 50_000 + "</article>"))
+    assert text and time.time() - began < 10
