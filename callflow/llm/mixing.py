@@ -20,6 +20,8 @@ from callflow.llm.shared import only, stored
 
 #: Words of the remaining budget that the dynamic programme fits; it bounds its memory.
 FIT_WORDS = 1 << 16
+#: The part of a budget that the dynamic programme fits, where documents are small beside it.
+SPARE = 20
 PLAN = "source string, size long, count long, copies long, take long, target double, source_size long"
 
 
@@ -43,10 +45,12 @@ def water_level(sources: DataFrame, weights: Sequence[float], budget: float, cap
     return levels.select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("weight") * level, F.col("limit"))).alias("target"))
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, offset: float = 0.5) -> np.ndarray:
     """How many documents of each size to take so that their words come as close to ``budget`` as found.
 
-    Exact whenever the remaining budget can be reached by the sizes left over.
+    All but a ``SPARE``-th of the budget (three of the longest documents at least)
+    is spread over the sizes, which rise, in proportion; ``offset`` (0 to 1) is where rounding
+    begins. Exact whenever the remaining budget can be reached by the sizes left over.
     """
     take = np.zeros(len(sizes), np.int64)
     whole = int((sizes * counts).sum())
@@ -54,8 +58,12 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return take
     if budget >= whole:
         return np.where(sizes > 0, counts, 0)
-    for i, (s, c) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
-        take[i] = c * budget // whole if s else 0
+    # Documents are taken in proportion at every length, also where each length has one: rounding runs on over the
+    # lengths in order. Its error stays below twice the longest document, so the rest is never negative.
+    spare = max(budget // SPARE, 3 * int(sizes.max()))
+    share = max(0, budget - spare) / whole
+    upto = np.floor(np.cumsum(np.where(sizes > 0, counts, 0)) * share + offset).astype(np.int64)
+    take = np.diff(upto, prepend=np.int64(offset))
     left = budget - int((take * sizes).sum())
     order = np.argsort(-sizes, kind="stable")
     for i in order:
@@ -74,7 +82,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     reach[0] = True
     first = np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in np.argsort(-sizes, kind="stable"):
+    for i in np.random.default_rng(len(sizes)).permutation(len(sizes)):  # no length comes first by its size
         s, c, part = int(sizes[i]), int(counts[i]), 1
         c = min(c, top // s) if s else 0
         while c > 0 and not reach[budget]:
