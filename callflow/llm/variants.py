@@ -17,6 +17,8 @@ one such place, the length of the common prefix, so none comes twice.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from callflow.llm.shared import only, stored
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 #: Words of an initial state that one task composes; longer prefixes split what is heavier.
-STATE_WORDS = 20_000
+STATE_WORDS = 4_000
 PAIRS = "a string, a_n long, b string, b_n long"
 
 
@@ -120,13 +122,16 @@ class Acceptor:
             stack += [(x, depth + 1, c) for c, x in self.arcs[p].items()]
 
 
-def compose(rows: pa.Table) -> pa.Table:
-    """Pairs among the words of one initial state."""
-    prefix = rows["prefix"][0].as_py()
-    n = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
-    found = [(prefix + a, prefix + b) for a, b in Acceptor([w[len(prefix) :] for w in sorted(n)]).pairs()]
-    a, b = [x for x, _ in found], [x for _, x in found]
-    return pa.table([pa.array(a, pa.string()), pa.array([n[x] for x in a], pa.int64()), pa.array(b, pa.string()), pa.array([n[x] for x in b], pa.int64())], names=["a", "a_n", "b", "b_n"])
+def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs among the words of each initial state; words arrive in order, so a task holds one state at a time."""
+    rows = ((p, w, n) for b in batches for p, w, n in zip(*(b[c].to_pylist() for c in ("prefix", "word", "n")), strict=True))
+    for prefix, state in groupby(rows, itemgetter(0)):
+        n = {w: k for _, w, k in state}
+        found = [(prefix + a, prefix + b) for a, b in Acceptor([w[len(prefix) :] for w in n]).pairs()]
+        if found:
+            a, b = zip(*found, strict=True)
+            columns = [pa.array(a, pa.string()), pa.array([n[x] for x in a], pa.int64()), pa.array(b, pa.string()), pa.array([n[x] for x in b], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "a_n", "b", "b_n"])
 
 
 def near_pairs(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
@@ -144,7 +149,8 @@ def near_pairs(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
     placed = stored(words.join(deep, "word", "left").select("word", "n", F.coalesce("depth", F.lit(1)).alias("depth")))
 
     states = placed.where("char_length(word) >= depth").withColumn("prefix", F.substr("word", F.lit(1), F.col("depth")))
-    later = states.groupBy("prefix").applyInArrow(compose, PAIRS)
+    tasks = 1 + placed.count() // (4 * state_words)  # by words, as composing takes far longer than their bytes tell
+    later = states.select("prefix", "word", "n").repartition(tasks, "prefix").sortWithinPartitions("prefix", "word").mapInArrow(compose, PAIRS)
     cuts = placed.select("word", "n", F.explode(F.expr("sequence(0, least(depth, char_length(word)) - 1)")).alias("i"))
     cuts = cuts.withColumn("rest", F.expr("concat(substr(word, 1, i), substr(word, i + 2))"))
     columns = [F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n")]
