@@ -154,6 +154,10 @@ FROM {source} r LEFT JOIN (
   FROM {source} WHERE speaker <> 'IVR' GROUP BY call_id, speaker) m ON r.call_id = m.call_id AND r.speaker = m.speaker"""
 
 
+# A word of a chunk without segments overlaps none: DuckDB's least and greatest skip nulls.
+UNMATCHED = {"matched": views.DUCK["scored"], "scored": "SELECT * REPLACE (CASE WHEN seg_idx IS NOT NULL THEN ov END AS ov, CASE WHEN seg_idx IS NOT NULL THEN dist END AS dist) FROM matched"}
+UNMATCHED["aligned_local"] = views.DUCK["aligned_local"]
+
 RUN_COLS = "call_id, run_idx, speaker, first_idx, last_idx, n_words, start_ms, end_ms"
 NOISY = {"runs": run_sql("noisy_words")}
 
@@ -174,7 +178,8 @@ def aligned(t):
 @query(
     "c2_word_align",
     "SELECT call_id, chunk_idx, pos, text, speaker, overlap_ms FROM aligned_local WHERE how = 'overlap'",
-    "aligned_local",
+    "chunk_words clipped",
+    **UNMATCHED,
 )
 def c2(t):
     return aligned_local(t).where("how = 'overlap'").select("call_id", "chunk_idx", "pos", "text", "speaker", "overlap_ms")

@@ -3,6 +3,8 @@
 Every query with SQL runs on the smallest tables.
 """
 
+import os
+
 import duckdb
 import pytest
 
@@ -33,6 +35,26 @@ def test_matches_sql(spark, duck, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == want
 
 
+def differences(spark, duck, folder, name):
+    """Rows of a query on tables of its own and of its SQL on the same."""
+    for f in os.listdir(folder):
+        duck.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    df = registry.queries()[name](spark, folder)
+    cur = duck.execute(registry.oracle_sql()[name])
+    want = canonical(cur.fetchall(), [d[0] for d in cur.description])
+    return canonical([tuple(r) for r in df.collect()], df.columns), want
+
+
+@pytest.mark.parametrize("name", ["c2_word_align"])
+def test_words_of_a_chunk_without_segments(spark, folder, name):
+    duck = duckdb.connect()
+    # one turn of 202 words, its end at 60.6 s; the segment of call 0 ends 1.2 s earlier, that of call 2 with it
+    duck.execute(f"COPY (SELECT unnest([0, 2])::BIGINT AS conv_id, 0 AS turn, 'user' AS role, repeat('w ', 201) || 'w' AS text) TO '{folder}/conversations.parquet'")
+    got, want = differences(spark, duck, folder, name)
+    assert got == want
+    assert len(got[1]) == {"c2_word_align": 401}[name]
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
