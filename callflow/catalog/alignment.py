@@ -209,7 +209,9 @@ def c4(t):
 @query(
     "g1_concatenate_words",
     "SELECT call_id, chunk_idx, word_idx, text, start_ms, end_ms, speaker, how FROM aligned",
-    "aligned",
+    "chunk_words clipped",
+    **UNMATCHED,
+    aligned=views.DUCK["aligned"],
 )
 def g1(t):
     return aligned(t).select("call_id", "chunk_idx", "word_idx", "text", "start_ms", "end_ms", "speaker", "how")

@@ -45,14 +45,14 @@ def differences(spark, duck, folder, name):
     return canonical([tuple(r) for r in df.collect()], df.columns), want
 
 
-@pytest.mark.parametrize("name", ["c2_word_align"])
+@pytest.mark.parametrize("name", ["c2_word_align", "g1_concatenate_words"])
 def test_words_of_a_chunk_without_segments(spark, folder, name):
     duck = duckdb.connect()
     # one turn of 202 words, its end at 60.6 s; the segment of call 0 ends 1.2 s earlier, that of call 2 with it
     duck.execute(f"COPY (SELECT unnest([0, 2])::BIGINT AS conv_id, 0 AS turn, 'user' AS role, repeat('w ', 201) || 'w' AS text) TO '{folder}/conversations.parquet'")
     got, want = differences(spark, duck, folder, name)
     assert got == want
-    assert len(got[1]) == {"c2_word_align": 401}[name]
+    assert len(got[1]) == {"c2_word_align": 401, "g1_concatenate_words": 406}[name]
 
 
 def plan(df) -> str:
