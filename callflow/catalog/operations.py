@@ -287,7 +287,8 @@ def g4(t):
 
 
 @query("h18_formatting", """SELECT job_id, CASE WHEN d < 60 THEN printf('%.1fs', d) WHEN d < 3600 THEN printf('%.1fm', d / 60) ELSE printf('%.1fh', d / 3600) END AS duration,
-    CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
+    CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576)
+         WHEN b < 1099511627776 THEN printf('%.1f GB', b / 1073741824) ELSE printf('%.1f TB', b / 1099511627776) END AS size
     FROM (SELECT job_id, CAST((job_id % 9000) * 0.75 AS DOUBLE) AS d, CAST(job_id AS DOUBLE) * job_id * 64 AS b FROM jobs) t""", "jobs")
 def h18(t):
     j = F.col("job_id")

@@ -55,6 +55,14 @@ def test_words_of_a_chunk_without_segments(spark, folder, name):
     assert len(got[1]) == {"c2_word_align": 401, "g1_concatenate_words": 406}[name]
 
 
+def test_sizes_past_a_terabyte(spark, folder):
+    duck = duckdb.connect()
+    # 64 bytes times the square of the key: 1 TB at 131,072
+    duck.execute(f"COPY (SELECT * REPLACE (o_orderkey + 131000 AS o_orderkey) FROM '{FOLDER}/orders.parquet') TO '{folder}/orders.parquet'")
+    got, want = differences(spark, duck, folder, "h18_formatting")
+    assert got == want and {r[-1].split()[-1] for r in got[1]} == {"GB'", "TB'"}
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
