@@ -158,7 +158,7 @@ def d18(t):
     return q.select("call_id", *[F.round(c, 5).alias(c) for c in ("silhouette", "davies_bouldin", "combined")])
 
 
-@query("f7_best_cluster_count", """SELECT user_id, CASE WHEN k > 3 AND tried >= 3 AND best - coalesce(s3, 0) < 0.1 THEN 3 ELSE k END AS k, round(best, 6) AS score FROM (SELECT user_id, arg_max(k, s) AS k, max(s) AS best, max(CASE WHEN k = 3 THEN s END) AS s3, count(*) AS tried
+@query("f7_best_cluster_count", """SELECT user_id, CASE WHEN k > 3 AND tried >= 3 AND best - coalesce(s3, 0) < 0.1 THEN 3 ELSE k END AS k, round(best, 6) AS score FROM (SELECT user_id, arg_max(k, row(s, -k)) AS k, max(s) AS best, max(CASE WHEN k = 3 THEN s END) AS s3, count(*) AS tried
     FROM (SELECT user_id, event_id % 6 + 2 AS k, max(value) / 400 AS s FROM events GROUP BY 1, 2) a GROUP BY user_id) b""")
 def f7(t):
     scores = t["events"].groupBy("user_id", (F.col("event_id") % 6 + 2).alias("k")).agg((F.max("value") / 400).alias("score"))

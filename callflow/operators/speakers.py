@@ -122,7 +122,7 @@ def quality(labelled: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_count(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Cluster count with the best score (k, score) per key.
+    """Cluster count with the best score (k, score) per key, the smallest of equals.
 
     More than three fall back to three when the margin is under 0.1 and at
     least three counts were tried.

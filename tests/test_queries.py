@@ -63,6 +63,14 @@ def test_sizes_past_a_terabyte(spark, folder):
     assert got == want and {r[-1].split()[-1] for r in got[1]} == {"GB'", "TB'"}
 
 
+def test_equal_scores_take_the_smallest_count(spark, folder):
+    duck = duckdb.connect()
+    one = f"SELECT * FROM '{FOLDER}/events.parquet'"  # copies with later keys bring the same best value to other counts
+    duck.execute(f"COPY (SELECT e.* REPLACE (event_id + i AS event_id) FROM ({one}) e, unnest([5, 4, 3, 2, 1, 0]) t(i)) TO '{folder}/events.parquet'")
+    got, want = differences(spark, duck, folder, "f7_best_cluster_count")
+    assert got == want and {r[0] for r in got[1]} == {"2"}
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
