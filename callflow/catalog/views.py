@@ -247,6 +247,18 @@ class Tables:
             self._read[name] = df
         return self._read[name]
 
+    def dealt(self, name: str) -> Tables:
+        """The same tables with the rows of one dealt evenly, where the work on a row outweighs moving it.
+
+        A table in one file is otherwise read by as many tasks as it has row
+        groups, few of them whatever the number of cores.
+        """
+        out = Tables(self.spark, self.folder)
+        session = self.spark
+        parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+        out._read = self._read | {name: self.base(name).repartition(parts)}
+        return out
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.base(name)

@@ -33,7 +33,7 @@ WRAPPERS = {"analysis": "ai_analysis", "scoring": "agent_scoring", "fraud": "fra
 # Levels of a document, and the fences and comments taken out of a response.
 MAX_DEPTH = 4
 FENCE = re.compile(r"```(?:json)?\s*")
-COMMENT = re.compile(r"(?<!:)//(?!/)[^\n]*")
+COMMENT = re.compile(r"//(?<!://)(?!/)[^\n]*")
 #: Numbers that JSON does not have become null.
 NO_NUMBER = r"(?<=[:\[,\s])(?:NaN|-?Infinity)(?=\s*[,\]}])"
 EMPTY = ["", "{}", "[]", "0", "0.0", "false"]
@@ -115,7 +115,7 @@ def _keys(kind: Column, which: int) -> Column:
 def _fields(text: Column) -> Column:
     """Top-level fields of a text that is one JSON object and nothing else; null otherwise."""
     whole = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+    return _bound(whole, lambda objects: F.when(F.size(objects) == 1, F.get(objects, F.lit(0))))
 
 
 def _marked(text: Column, keys: Column) -> Column:
@@ -176,7 +176,7 @@ def _unwrapped(doc: Column, fields: Column, kind: Column) -> Column:
 def _span(text: Column) -> Column:
     """From the first opening to the last closing brace."""
     first = F.instr(text, "{")
-    return F.substr(text, first, F.length(text) - first - F.instr(F.reverse(text), "}") + 2)
+    return F.substr(text, first, F.length(text) - F.length(F.substring_index(text, "}", -1)) - first + 1)
 
 
 def _plain(span: Column) -> Column:
@@ -191,9 +191,9 @@ def _plain(span: Column) -> Column:
         struck = braces
         for _ in range(MAX_DEPTH):
             struck = gone(struck, "{}")
-        return (struck == "") & (F.length(braces) == F.length(span) - F.length(gone(gone(span, "{"), "}")))
+        return (struck == "") & (F.octet_length(braces) == F.octet_length(span) - F.octet_length(gone(gone(span, "{"), "}")))
 
-    few_escapes = F.length(span) - F.length(gone(span, "\\")) < 1000  # the pattern goes a level down for each
+    few_escapes = F.octet_length(span) - F.octet_length(gone(span, "\\")) < 1000  # the pattern goes a level down for each
     return few_escapes & _bound(F.regexp_replace(span, r'"(?:[^"\\]++|\\.)*+"|[^{}"]++', ""), fits)
 
 

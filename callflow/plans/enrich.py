@@ -104,12 +104,11 @@ def enrich(transcripts: DataFrame, cdr: DataFrame, raw: DataFrame) -> DataFrame:
         *[newest(k, "doc", F.struct("made", "raw")).alias(f"doc_{k}") for k in RECORDS],
         newest("analysis", "raw", F.struct("made", "raw")).alias("raw_analysis"),
     )
-    typed = wide.select(
-        "request_id",
-        "raw_analysis",
-        F.col("doc_analysis").isNotNull().alias("parsed"),
-        *[RECORDS[k](responses.parse(F.col(f"doc_{k}"), k)).alias(k) for k in RECORDS],
+    # parsed in a step of its own, once, however many fields a record takes
+    read = wide.select(
+        "request_id", "raw_analysis", F.col("doc_analysis").isNotNull().alias("parsed"), *[responses.parse(F.col(f"doc_{k}"), k).alias(k) for k in RECORDS]
     )
+    typed = read.select("request_id", "raw_analysis", "parsed", *[record(F.col(k)).alias(k) for k, record in RECORDS.items()])
     called = typed.join(
         cdr.select("request_id", "src", "agent_extension", F.lit(True).alias("_called")), "request_id", "left"
     )

@@ -75,6 +75,14 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["k3_enrich"])
+def test_responses_are_dealt_and_searched_once(spark, name):
+    df = registry.queries()[name](spark, FOLDER)
+    assert "RoundRobinPartitioning" in plan(df)  # events in one file do not make one task
+    searches = df._jdf.queryExecution().optimizedPlan().toString().count("```(?:json)?")
+    assert searches <= {"k3_enrich": 5}[name]  # kinds
+
+
 def test_alignment_stays_in_the_engine(spark):
     t = Tables(spark, FOLDER)
     text = plan(transcripts.align_corpus(t["chunk_words"], t["segments"], t["chunks"]))
