@@ -281,7 +281,7 @@ def b27(t):
 
 @query("h1_salvage", "SELECT request_id, title, doc IS NOT NULL AS found FROM tidy", "task_responses", **TASK_SQL)
 def h1(t):
-    doc = t["task_responses"].select("request_id", responses.salvage(F.col("raw"), "tasks").alias("doc"))
+    doc = dealt(t, "task_responses").select("request_id", responses.salvage(F.col("raw"), "tasks").alias("doc"))
     return doc.select("request_id", F.get_json_object("doc", "$.tasks[0].title").alias("title"), F.col("doc").isNotNull().alias("found"))
 
 
@@ -296,7 +296,7 @@ def h1_all(t):
     paths = {"analysis": "summary", "fraud": "risk_level", "scoring": "metrics.greeting", "email": "follow_up_email.subject"}
     every = None
     for kind in paths:
-        part = t[f"{kind}_responses"].select("request_id", F.lit(kind).alias("kind"), F.concat(F.lit("Sure: ```json\n"), "js", F.lit("\n``` // end")).alias("raw"))
+        part = dealt(t, f"{kind}_responses").select("request_id", F.lit(kind).alias("kind"), F.concat(F.lit("Sure: ```json\n"), "js", F.lit("\n``` // end")).alias("raw"))
         every = part if every is None else every.unionByName(part)
     docs = every.select("kind", responses.salvage(F.col("raw"), F.col("kind")).alias("doc"))
     longest = F.coalesce(*[F.when(F.col("kind") == k, F.length(F.get_json_object("doc", f"$.{p}"))) for k, p in paths.items()])
