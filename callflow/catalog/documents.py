@@ -228,8 +228,10 @@ TASK_SQL = {
 
 
 def tasks(t):
-    doc = responses.parse(responses.salvage(F.col("raw"), "tasks"), "tasks")
-    return t["task_responses"].select("request_id", records.tasks_record(doc).alias("t"))
+    # a step each: one expression would search and parse the response again for every field it takes
+    found = dealt(t, "task_responses").select("request_id", responses.salvage(F.col("raw"), "tasks").alias("doc"))
+    read = found.select("request_id", responses.parse(F.col("doc"), "tasks").alias("doc"))
+    return read.select("request_id", records.tasks_record(F.col("doc")).alias("t"))
 
 
 @query("b23_tasks", "SELECT request_id, title, task_type, priority, confidence FROM tidy WHERE doc IS NOT NULL", "task_responses", **TASK_SQL)
