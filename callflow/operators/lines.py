@@ -50,40 +50,35 @@ def _ends(text):
     return text.rlike(r"[.?!]$")
 
 
+def _stops(texts):
+    """Places, from one, of the words that end a sentence."""
+    return F.array_compact(F.transform(texts, lambda t, i: F.when(_ends(t), i + 1)))
+
+
 def _transfer(texts):
-    """For each state at the start of a piece, the state at its end and the lines closed in it."""
-    states = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(0).alias("closed")) for s in range(STATES)])
-
-    def step(acc, text):
-        stop = _ends(text)
-        return F.transform(
-            acc,
-            lambda s: F.when(
-                stop & (s["state"] + 1 > LINE_WORDS), F.struct(F.lit(0).alias("state"), (s["closed"] + 1).alias("closed"))
-            ).otherwise(F.struct(F.least(s["state"] + 1, F.lit(STATES - 1)).alias("state"), s["closed"].alias("closed"))),
-        )
+    """For each state at the start of a piece, the state at its end and the lines closed in it.
 
-    return F.aggregate(texts, states, step)
+    Only sentence ends are walked along; ``last`` is where the open line starts,
+    before the piece if words came in with it.
+    """
+    states = F.array(*[F.struct(F.lit(-s).alias("last"), F.lit(0).alias("closed")) for s in range(STATES)])
+
+    def step(acc, at):
+        return F.transform(acc, lambda s: F.when(at - s["last"] > LINE_WORDS, F.struct(at.alias("last"), (s["closed"] + 1).alias("closed"))).otherwise(s))
+
+    ended = lambda s: F.struct(F.least(F.size(texts) - s["last"], F.lit(STATES - 1)).alias("state"), s["closed"].alias("closed"))
+    return F.aggregate(_stops(texts), states, step, lambda acc: F.transform(acc, ended))
 
 
 def _fold(texts, open_words):
     """Lines of a piece that starts ``open_words`` into a line; the last one may stay open."""
-    empty = F.array().cast("array<string>")
-    return F.aggregate(
-        texts,
-        F.struct(open_words.alias("n"), empty.alias("line"), F.array().cast("array<array<string>>").alias("done")),
-        lambda acc, t: F.when(
-            _ends(t) & (acc["n"] + 1 > LINE_WORDS),
-            F.struct(
-                F.lit(0).alias("n"), empty.alias("line"), F.array_append(acc["done"], F.array_append(acc["line"], t)).alias("done")
-            ),
-        ).otherwise(
-            F.struct(
-                (acc["n"] + 1).alias("n"), F.array_append(acc["line"], t).alias("line"), acc["done"].alias("done")
-            )
-        ),
-        lambda acc: F.when(F.size(acc["line"]) > 0, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]),
-    )
+    seed = F.struct((-open_words).alias("last"), F.array().cast("array<int>").alias("ends"))
+    step = lambda acc, at: F.when(
+        at - acc["last"] > LINE_WORDS, F.struct(at.alias("last"), F.array_append(acc["ends"], at).alias("ends"))
+    ).otherwise(acc)
+    ends = F.aggregate(_stops(texts), seed, step, lambda acc: F.when(acc["last"] < F.size(texts), F.array_append(acc["ends"], F.size(texts))).otherwise(acc["ends"]))
+    spans = lambda ends: F.zip_with(F.concat(F.array(F.lit(0)), ends), ends, lambda a, z: F.when(z.isNotNull(), F.slice(texts, a + 1, z - a)))
+    return F.array_compact(F.get(F.transform(F.array(ends), spans), F.lit(0)))
 
 
 def _entries(pieces: DataFrame) -> DataFrame:
