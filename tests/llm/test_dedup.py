@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from callflow.llm import exact_dedup, repeats, simhash
+from callflow.llm import exact_dedup, queries, repeats, simhash
 from callflow.llm.components import components
 
 SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -158,3 +158,9 @@ def test_heavy_groups_are_refined(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = Counter((i, *p) for i, p in enumerate(plain_repeats([t.encode() for t in texts], 50)))
     assert Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in repeats.remove_repeats(df, 50).collect()) == want
+
+
+def test_op10_counts_the_kept_text_in_code_points(spark, tmp_path):
+    spark.createDataFrame([(1, "für über größe"), (2, "plain"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_repeated_bytes(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_kept, r.text) for r in got] == [(18, 0, 14, "für über größe"), (5, 0, 5, "plain"), (0, 0, 0, "")]
