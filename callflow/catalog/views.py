@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callflow.operators.sequence import number_rows, running_sum
@@ -354,12 +355,8 @@ class Tables:
             (F.col("start_ms") - F.col("chunk_idx") * 60000).alias("start_ms"),
             (F.col("end_ms") - F.col("chunk_idx") * 60000).alias("end_ms"),
         )
-        first = local.groupBy("call_id", "chunk_idx").agg(F.min("spoken_idx").alias("first"))
-        return (
-            local.join(first, ["call_id", "chunk_idx"])
-            .withColumn("pos", F.col("spoken_idx") - F.col("first"))
-            .drop("first")
-        )
+        first = F.min("spoken_idx").over(W.partitionBy("call_id", "chunk_idx"))  # a minute of words
+        return local.withColumn("pos", F.col("spoken_idx") - first)
 
     def _frames(self) -> DataFrame:
         events = self.base("events").select(

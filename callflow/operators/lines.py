@@ -35,6 +35,17 @@ def run_pieces(words: DataFrame) -> DataFrame:
     )
 
 
+def stretch_pieces(parts: DataFrame) -> DataFrame:
+    """The same from stretches of words that know where their run begins and ends (``run_from``, ``run_to``)."""
+    piece = lambda at: F.floor((F.col(at) - F.col("run_from")) / PIECE_WORDS)
+    texts = F.array_sort(F.collect_list(F.struct("first_idx", F.col("items")["text"].alias("texts"))))
+    return (
+        parts.groupBy("call_id", "run_idx", piece("first_idx").alias("piece"))
+        .agg(F.min("speaker").alias("speaker"), F.min("run_from").alias("_run_from"), F.max(piece("run_to")).alias("last_piece"), F.min("first_idx").alias("from_idx"), F.flatten(F.transform(texts, lambda p: p["texts"])).alias("texts"))
+        .select("call_id", "run_idx", "speaker", F.col("_run_from").alias("first_idx"), "piece", "last_piece", "from_idx", "texts")
+    )
+
+
 def _labelled(line):
     return F.concat(F.lit("["), F.col("speaker"), F.lit("] "), line)
 

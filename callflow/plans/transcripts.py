@@ -105,12 +105,8 @@ def questions_and_pace(words: DataFrame) -> DataFrame:
     )
 
 
-def align_corpus(words: DataFrame, segments: DataFrame, chunks: DataFrame, dedupe_overlap: bool = False) -> DataFrame:
-    """Aligned words of whole calls, in order, with a speaker each.
-
-    ``chunks`` may carry ``text``: a chunk with text but no words gets
-    approximate word times first.
-    """
+def _heard_words(words: DataFrame, segments: DataFrame, chunks: DataFrame, dedupe_overlap: bool) -> tuple[DataFrame, DataFrame]:
+    """Words in chunk-local time, as given and with a speaker each."""
     local = words.select("call_id", "chunk_idx", "pos", "text", "start_ms", "end_ms")
     if "text" in chunks.columns:
         silent = chunks.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(
@@ -127,7 +123,16 @@ def align_corpus(words: DataFrame, segments: DataFrame, chunks: DataFrame, dedup
         local = local.unionByName(guessed)
     if dedupe_overlap:
         local = align.drop_repeated(local, chunks)
-    aligned = align.align_words(local, align.clip_segments(segments, chunks))
+    return local, align.align_words(local, align.clip_segments(segments, chunks))
+
+
+def align_corpus(words: DataFrame, segments: DataFrame, chunks: DataFrame, dedupe_overlap: bool = False) -> DataFrame:
+    """Aligned words of whole calls, in order, with a speaker each.
+
+    ``chunks`` may carry ``text``: a chunk with text but no words gets
+    approximate word times first.
+    """
+    local, aligned = _heard_words(words, segments, chunks, dedupe_overlap)
     return align.place_words(aligned, align.chunk_offsets(local, chunks))
 
 
@@ -149,17 +154,22 @@ def talk_and_turns(words: DataFrame, segments: DataFrame, chunks: DataFrame) ->
 class Transcripts:
     """Result of ``assemble_transcripts``: lazy frames over its two cuts."""
 
-    aligned: DataFrame  # words numbered by base run
+    aligned: DataFrame  # stretches of words within a chunk, numbered by base run
     base: DataFrame  # base runs with their final speaker and final run
     turns: DataFrame  # final runs
 
+    def stretches(self) -> DataFrame:
+        """Stretches of words with their final speaker and run, and where that run begins and ends."""
+        ends = self.turns.select("call_id", F.col("run_idx").alias("turn_idx"), F.col("first_idx").alias("run_from"), F.col("last_idx").alias("run_to"))
+        final = self.base.select("call_id", "turn_idx", F.col("run_idx").alias("base_idx"), "speaker").join(ends, ["call_id", "turn_idx"])
+        return self.aligned.drop("speaker").join(final.withColumnRenamed("turn_idx", "run_idx"), ["call_id", "base_idx"]).drop("base_idx")
+
     def words(self) -> DataFrame:
         """Aligned words with their final speaker and run."""
-        final = self.base.select("call_id", F.col("run_idx").alias("base_idx"), F.col("turn_idx").alias("run_idx"), "speaker")
-        return self.aligned.drop("speaker").join(final, ["call_id", "base_idx"]).drop("base_idx")
+        return runs.spread(self.stretches()).drop("run_from", "run_to")
 
     def lines(self) -> DataFrame:
-        return lines.sentence_lines(lines.run_pieces(self.words()))
+        return lines.sentence_lines(lines.stretch_pieces(self.stretches()))
 
     def documents(self) -> DataFrame:
         return lines.documents(self.lines())
@@ -170,19 +180,21 @@ def assemble_transcripts(
 ) -> Transcripts:
     """Align, split single-speaker calls, smooth, repair sentences, renumber.
 
-    Words are shuffled by ``(call_id, chunk_idx)`` for the alignment and read
-    again only to number runs and to write lines; every repair in between is one
-    pass along the runs. Two cuts of lineage, made here, keep later branches
+    Words are shuffled once, by ``(call_id, chunk_idx)``: there they are aligned
+    and gathered into stretches of one speaker within a chunk, and places in the
+    call, runs and lines follow from these. Only calls heard as one speaker are
+    spread into words again. Two cuts of lineage, made here, keep later branches
     from repeating the alignment and the numbering.
     """
-    spoken = durable(align_corpus(words, segments, chunks, dedupe_overlap))
-    numbered = durable(runs.word_runs(spoken, F.col("chunk_idx")))
-    heard = runs.collapse(numbered)
+    _, heard_words = _heard_words(words, segments, chunks, dedupe_overlap)
+    numbered = durable(runs.number_stretches(durable(runs.stretches(heard_words)), chunks))
+    heard = runs.merge(numbered, "run_idx")
     totals = runs.call_totals(heard).select("call_id", "call_words", "call_speakers")
     lone = totals.where("call_speakers <= 1").select("call_id")
     # Calls heard as one speaker are cut at their silences instead.
-    single = smoothing.number_silence_turns(spoken.join(lone, "call_id", "left_semi"), hold=lambda near: near)
+    alone = runs.spread(numbered.join(lone, "call_id", "left_semi")).drop("run_idx")
+    single = runs.gather(smoothing.number_silence_turns(alone, hold=lambda near: near))
     many = numbered.join(lone, "call_id", "left_anti")
-    final = repair.repair_runs(runs.collapse(many).unionByName(runs.collapse(single)), totals)
-    both = many.unionByName(single, allowMissingColumns=True)
+    final = repair.repair_runs(runs.merge(many, "run_idx").unionByName(runs.merge(single, "run_idx")), totals)
+    both = many.drop("chunk_idx").unionByName(single)
     return Transcripts(both.withColumnRenamed("run_idx", "base_idx"), final, runs.merge(final))

@@ -73,3 +73,13 @@ def test_a_transcript_takes_three_cuts(spark, monkeypatch):
     assert len(cuts) == 2
     assert built.documents().count() > 0
     assert len(cuts) == 3
+
+
+def test_words_travel_as_stretches(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    words, segments, chunks = t["chunk_words"], t["segments"], t["chunks"]
+    built = transcripts.assemble_transcripts(words, segments, chunks)
+    assert 0 < built.aligned.count() < words.count() / 5  # rows, each a stretch of one speaker
+    columns = ["call_id", "word_idx", "text", "start_ms", "end_ms"]
+    want = transcripts.align_corpus(words, segments, chunks).select(columns).collect()
+    assert sorted(built.words().select(columns).collect()) == sorted(want)
