@@ -20,18 +20,26 @@ STATES = LINE_WORDS + 2  # words in the open line: 0 … 8, and "more than 8"
 
 
 def run_pieces(words: DataFrame) -> DataFrame:
-    """Words grouped per run: ordered texts in bounded pieces."""
+    """Words grouped per run: ordered texts in bounded pieces.
+
+    Blocks of a run meet its ends by ``(call_id, run_idx, block)``, so that a run
+    of many blocks is never in one task.
+    """
     item = F.struct("word_idx", "text")
-    blocks = words.groupBy("call_id", "run_idx", "speaker", F.floor(F.col("word_idx") / PIECE_WORDS).alias("_block")).agg(
-        F.collect_list(item).alias("_items"), F.min("word_idx").alias("_from")
+    run = ["call_id", "run_idx"]
+    blocks = words.groupBy(*run, F.floor(F.col("word_idx") / PIECE_WORDS).alias("_block")).agg(
+        F.min("speaker").alias("speaker"), F.array_sort(F.collect_list(item)).alias("_items"), F.min("word_idx").alias("_from")
     )
-    ends = blocks.groupBy("call_id", "run_idx").agg(F.min("_from").alias("first_idx"), F.max("_from").alias("_to"))
+    narrow = words.groupBy(*run, F.floor(F.col("word_idx") / PIECE_WORDS).alias("_block")).agg(F.min("word_idx").alias("_from"))
+    ends = narrow.groupBy(*run).agg(F.min("_from").alias("first_idx"), F.max("_from").alias("_to"), F.collect_list("_block").alias("_blocks"))
+    spread = ends.select(*run, "first_idx", "_to", F.explode("_blocks").alias("_block"))
     piece = lambda at: F.floor((F.col(at) - F.col("first_idx")) / PIECE_WORDS)
-    placed = blocks.join(ends, ["call_id", "run_idx"]).withColumn("piece", piece("_from")).withColumn("last_piece", piece("_to"))
+    placed = blocks.join(spread, [*run, "_block"]).withColumn("piece", piece("_from")).withColumn("last_piece", piece("_to"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_from", F.col("_items")["text"].alias("texts")))), lambda b: b["texts"])
     return (
-        placed.groupBy("call_id", "run_idx", "speaker", "first_idx", "piece", "last_piece")
-        .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias("_items"), F.min("_from").alias("from_idx"))
-        .select("call_id", "run_idx", "speaker", "first_idx", "piece", "last_piece", "from_idx", F.col("_items")["text"].alias("texts"))
+        placed.groupBy(*run, "piece")
+        .agg(F.min("speaker").alias("speaker"), F.min("first_idx").alias("first_idx"), F.min("last_piece").alias("last_piece"), F.min("_from").alias("from_idx"), F.flatten(texts).alias("texts"))
+        .select(*run, "speaker", "first_idx", "piece", "last_piece", "from_idx", "texts")
     )
 
 

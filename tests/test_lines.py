@@ -30,3 +30,17 @@ def test_a_piece_without_sentence_end_takes_linear_time(spark):
     began = time.time()
     assert piece.select(F.sum(F.size(lines._fold(F.col("texts"), F.lit(0))))).first()[0] == 800
     assert time.time() - began < 15
+
+
+def test_pieces_of_a_run_lie_in_many_tasks(spark):
+    words = spark.range(0, 20 * lines.PIECE_WORDS, 1, 4).select(F.lit(7).cast("long").alias("call_id"), F.lit(0).cast("long").alias("run_idx"), F.col("id").alias("word_idx"), F.lit("w").alias("text"), F.lit("s").alias("speaker"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        pieces = lines.run_pieces(words)
+        assert pieces.count() == 20
+        assert pieces.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
