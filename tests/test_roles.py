@@ -1,6 +1,7 @@
 """Roles from phrases that run over line breaks."""
 
 from callflow.operators import roles
+from callflow.plans import label_roles
 
 
 def test_phrases_run_over_line_breaks(spark):
@@ -15,3 +16,13 @@ def test_phrases_run_over_line_breaks(spark):
     assert {r.speaker: r.role for r in roles.rule_roles(signals).collect()} == {"speaker_0": "Customer", "speaker_1": "Agent"}
     # speaker_0 comes first and is the Agent until both contradict it
     assert {r.speaker: r.role for r in roles.validate_roles(roles.fallback_roles(signals)).collect()} == {"speaker_0": "Customer", "speaker_1": "Agent"}
+
+
+def test_answers_are_parsed_once(spark):
+    words = spark.createDataFrame([(c, i, t, s, r) for c in range(3) for i, (t, s, r) in enumerate([("hello", "speaker_0", 0), ("there.", "speaker_0", 0), ("hi", "speaker_1", 1)])], "call_id long, word_idx long, text string, speaker string, run_idx long")
+    raw = """CASE WHEN call_id = 0 THEN '{"has_ivr": false, "ivr_text": "", "speaker_roles": {"speaker_0": "Customer", "speaker_1": "Agent"}}' ELSE 'no' END"""
+    labelled = label_roles.label_roles(words, words.select("call_id").distinct().selectExpr("call_id", f"{raw} AS raw"))
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan  # neither for every word nor for every branch
+    got = {r.call_id: r.transcript for r in label_roles.role_documents(labelled).collect()}
+    assert got == {0: "[Customer] hello there.\n[Agent] hi", 1: "[Agent] hello there.\n[Customer] hi", 2: "[Agent] hello there.\n[Customer] hi"}
