@@ -35,9 +35,21 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_transcript_files(spark: SparkSession, path: str) -> DataFrame:
-    """Header values and body of transcript text files, one row per file."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+TRANSCRIPT_END = "=== END ==="
+
+
+def read_transcript_files(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """Header values and body of transcript text files, one row per file.
+
+    With ``many`` a file holds transcripts one after the other, a title line
+    first and ``=== END ===`` last in each, and gives a row for each of them. A
+    text that holds the end mark itself ends there, in either form.
+    """
+    if many:
+        records = spark.read.text(path, lineSep=TRANSCRIPT_END).where(F.col("value").rlike(r"^\s*===[^\n]*===\s*\n"))
+    else:
+        records = spark.read.text(path, wholetext=True)
+    raw = records.select(F.input_file_name().alias("file"), "value")
 
     def head(name: str):
         return F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{name}:[ ]*(.*)$", 1)), F.lit(""))

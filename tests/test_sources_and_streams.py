@@ -1,5 +1,6 @@
 """Files, delivery, and streaming jobs against their batch results."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -148,3 +149,25 @@ def test_incremental_and_stuck_jobs(spark, folder):
     query.awaitTermination(180)
     assert query.exception() is None
     assert [r.job_id for r in spark.table("stuck").collect()] == [1]
+
+
+def test_transcripts_share_files(spark, folder, monkeypatch):
+    from callflow.catalog import files as catalog, registry
+
+    monkeypatch.setattr(catalog, "new_folder", lambda t: f"{folder}/x")
+    rows = registry.queries()["a6_transcript_files"](spark, "/root/testdata/sf0.01").count()
+    assert rows == spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id").distinct().count() > 50
+    written = [f for _, _, names in os.walk(f"{folder}/x") for f in names if f.endswith(".txt")]
+    assert len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_transcripts_of_one_file_are_read_apart(spark, folder):
+    one = "=== Results ===\nAudio File: c{0}.wav\nDuration: {0}.25s\nModel: m\nChunks Processed: {0}\n\n=== TRANSCRIPTION ===\nA == {0}.\n=== B =\n\n=== END ==="
+    path = write(folder, "many.txt", "\n".join(one.format(i) for i in range(300)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")  # cuts fall anywhere, within end marks too
+        got = files.read_transcript_files(spark, path, many=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.chunks, r.audio_file, r.duration_s, r.text) for r in got) == [(i, f"c{i}.wav", i + 0.25, f"A == {i}.\n=== B =") for i in range(300)]
