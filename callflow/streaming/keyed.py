@@ -32,8 +32,8 @@ class KeyedFolder:
         self.spark, self.path, self.key, self.order, self.buckets, self.sums = spark, path, key, order, buckets, sums
 
     def _merged(self, rows: DataFrame) -> DataFrame:
-        names = [c for c in rows.columns if c != "_bucket"]
-        grouped = rows.groupBy(self.key, "_bucket")
+        names = [c for c in rows.columns if c not in ("_bucket", "_part")]
+        grouped = rows.groupBy(self.key, "_bucket", "_part")
         if self.sums:
             same = [F.first(c).alias(c) for c in names if c not in (self.key, *self.sums)]
             return grouped.agg(*same, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in self.sums]).select("_bucket", *names)
@@ -69,6 +69,11 @@ class KeyedFolder:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``_bucket`` dealt by parts of buckets, so that neither merging nor writing a bucket is one task."""
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return rows.withColumn("_part", F.pmod(F.hash(F.col(self.key)), F.lit(parts))).repartition("_bucket", "_part")
+
     def read(self, only: list[int] | None = None) -> DataFrame | None:
         """Rows of the newest version, of some buckets only if asked; None before the first batch."""
         version = self.manifest()
@@ -92,9 +97,9 @@ class KeyedFolder:
         touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())  # at most the number of buckets
         old = self.read(touched) if before is not None else None
         both = dealt if old is None else dealt.unionByName(old.withColumn("_bucket", self._bucket()), allowMissingColumns=True)
-        newest = self._merged(both)
+        newest = self._merged(self._spread(both))
         folder = f"data/{batch:020d}-{uuid.uuid4().hex}"
-        newest.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        newest.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         folders = dict(before["folders"]) if before is not None else {}
         folders |= {str(b): f"{folder}/_bucket={b}" for b in touched}
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in newest.drop("_bucket").schema)
@@ -107,6 +112,6 @@ def upsert_stream(stream: DataFrame, folder: KeyedFolder, checkpoint: str, trans
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not folder.committed(batch_id):
-            folder.upsert(transform(batch), batch_id)
+            folder.upsert(transform(batch.repartition(F.col(folder.key))), batch_id)  # a batch of one file is not one task
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,3 +120,20 @@ def test_delivered_jobs_are_not_sent_again(spark, folder):
     assert {r.job_id: (r.delivered, r.attempts) for r in kept.read().collect()} == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (True, 1)}
     assert sorted(r.data for r in deliver.committed_log(f"{folder}/log", kept).select("data").distinct().collect()) == sorted(f'{{"job_id":{i},"transcription":"text"}}' for i in (1, 2, 3, 4))
     assert deliver.committed_log(f"{folder}/log", kept).count() == 4
+
+
+def test_a_bucket_is_merged_and_written_by_many_tasks(spark, folder):
+    import glob
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = jobs.job_states(spark, f"{folder}/k", buckets=1)
+        rows = spark.range(2000).selectExpr("id AS job_id", "'pending' AS status", "timestamp'2024-01-01 00:00:00' AS ts")
+        kept.upsert(rows, 0)
+        kept.upsert(rows.selectExpr("job_id", "'completed' AS status", "ts + INTERVAL 1 MINUTE AS ts").where("job_id % 2 = 0"), 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert states(kept) == {i: "pending" if i % 2 else "completed" for i in range(2000)}
+    for batch in range(2):
+        assert len(glob.glob(f"{folder}/k/data/{batch:020d}-*/_bucket=0/*.parquet")) > 1
