@@ -4,15 +4,20 @@ Cosine sums over pairs equal products with summed vectors, so affinity degrees,
 silhouette and Davies–Bouldin need one pass over the vectors and one small
 table of sums per cluster; pairs are never listed. All calls are clustered
 together: what is kept per call is at most four centres per tried count. Vectors
-meet these in ``BLOCKS`` blocks per call, so a long call is not one task.
+stream past these in ``BLOCKS`` blocks per call, so a long call is not one task,
+and give a row of sums per batch and cluster; centres are never copied to vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callflow.session import durable
@@ -21,6 +26,10 @@ COUNTS = (2, 3, 4)  # speakers a call is tried with
 ROUNDS = 4
 BLOCKS = 16
 
+#: Centres of all counts stand in one row per call: each count with the slot of its first.
+SLOTS = [(k, sum(c for c in COUNTS if c < k)) for k in COUNTS]
+ALL_SLOTS = sum(COUNTS)
+
 SILHOUETTE_WEIGHT, DB_WEIGHT = 0.7, 0.3
 PREFERRED_K, K_MARGIN = 3, 0.1
 
@@ -44,9 +53,75 @@ def _block() -> Column:
     return F.pmod(F.hash("vec_id"), F.lit(BLOCKS)).cast("int")
 
 
-def _meet(vectors: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Vectors (with _block) next to the row of their keys in a small table, which is repeated for every block."""
-    return vectors.join(small.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), [*keys, "_block"])
+def beside(vectors: DataFrame, small: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work`` over batches of vectors (with _block) that stream past the row of their keys in a small table.
+
+    The small table is repeated for every block and sorted in front of its vectors.
+    ``work(rows, at, table)`` gets record batches; ``at`` is the place of each row's
+    partner in ``table``. Vectors without a partner are left out, as in a join.
+    """
+    near = small.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("_vector", F.lit(False))
+    both = vectors.withColumn("_vector", F.lit(True)).unionByName(near, allowMissingColumns=True)
+    dealt = both.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "_vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row of the small table, whose vectors may go on in the next batch
+        for batch in batches:
+            is_vector = batch["_vector"].to_numpy(zero_copy_only=False)
+            at = (np.cumsum(~is_vector) - 1 + (held is not None))[is_vector]
+            rows, table = batch.filter(batch["_vector"]), batch.filter(pc.invert(batch["_vector"]))
+            if held is not None:
+                table = pa.Table.from_batches([held, table]).combine_chunks().to_batches()[0]
+            if not len(table):
+                continue
+            held = table.slice(len(table) - 1)
+            met = at >= 0
+            for c in [*keys, "_block"]:
+                met &= pc.equal(rows[c], table[c].take(pa.array(np.maximum(at, 0)))).fill_null(False).to_numpy(zero_copy_only=False)
+            if met.any():
+                yield from work(rows.filter(pa.array(met)), at[met], table)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def numbers(column: pa.Array, *shape: int) -> np.ndarray:
+    """Doubles of a column of (nested) lists of one size, a row each."""
+    flat = column
+    while pa.types.is_list(flat.type):
+        flat = flat.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), *(shape or (-1,)))
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def products(rows: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Dot products of each row with the vectors of its place in ``table``, summed in order of the elements as ``dot`` does."""
+    out, columns = np.zeros((len(rows), table.shape[1])), np.ascontiguousarray(table.transpose(2, 0, 1))
+    for x, column in zip(np.ascontiguousarray(rows.T), columns, strict=True):
+        out += x[:, None] * column[at]
+    return out
+
+
+def slot_sums(values: np.ndarray, slots: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Place in the table, slot, count and sums of ``values`` of every slot that occurs; a row of ``slots`` may name several."""
+    found, group = np.unique(at[:, None] * size + slots, return_inverse=True)
+    group, each = group.ravel(), slots.shape[1]
+    sums = np.stack([np.bincount(group, np.repeat(v, each), len(found)) for v in values.T], axis=1)
+    return found // size, found % size, np.bincount(group, minlength=len(found)), sums
+
+
+def added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of sums (keys, total, n) of batches, one per key."""
+    sums = parts.groupBy(*keys).agg(Summarizer.sum(array_to_vector("total")).alias("_sum"), F.sum("n").alias("n"))
+    return sums.select(*keys, vector_to_array("_sum").alias("total"), "n")
+
+
+def by_slot(rows: DataFrame, value: Column, out: str) -> DataFrame:
+    """call_id and a map of slots to ``value``."""
+    return rows.groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", value.alias("value")))).alias(out))
 
 
 def affinity_degree(vectors: DataFrame) -> DataFrame:
@@ -68,57 +143,87 @@ def pair_affinity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("call_id", "left_id", "right_id", value.alias("affinity"))
 
 
-def cluster_tables(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key an array of its clusters with their vector sums; ``labelled`` has unit and cluster."""
-    sums = vector_sums(labelled, [*keys, "cluster"])
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "total"))).alias("sums"))
-
+def cluster_tables(sums: DataFrame, keys: list[str], cluster: str = "cluster") -> DataFrame:
+    """Per key its clusters with their counts and vector sums, in order."""
+    sums = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(cluster, "n", "total"))).alias("sums"))
+    return sums.select(*keys, *[F.col("sums")[c].alias(f"{c}s") for c in (cluster, "n", "total")])
 
-def silhouette(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean silhouette per key over distance (1 − cos) / 2, by cluster sums."""
-    unit = labelled.select(*keys, "vec_id", "cluster", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block())
-    rows = _meet(unit, cluster_tables(unit, keys), keys)
-    own = F.filter("sums", lambda s: s["cluster"] == F.col("cluster"))[0]
-    inside = (own["n"] - dot(F.col("unit"), own["total"])) / 2 / F.nullif(own["n"] - 1, F.lit(0))
-    others = F.transform(
-        F.filter("sums", lambda s: s["cluster"] != F.col("cluster")), lambda s: (1 - dot(F.col("unit"), s["total"]) / s["n"]) / 2
-    )
-    b = F.array_min(others)
-    value = F.when(own["n"] <= 1, 0.0).otherwise(F.coalesce((b - inside) / F.nullif(F.greatest(inside, b), F.lit(0.0)), F.lit(0.0)))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("silhouette"))
 
+def tabled(table: pa.RecordBatch, names: str, size: int | None = None) -> tuple[np.ndarray, ...]:
+    """Names, counts and sums of ``cluster_tables``, padded to one size; with ``size`` names are places.
 
-def davies_bouldin(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Davies–Bouldin index per key on normalised vectors."""
-    unit = labelled.select(*keys, "vec_id", "cluster", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block())
-    centre = lambda s: F.transform(s["total"], lambda x: x / s["n"])
-    table = cluster_tables(unit, keys)
+    A cluster that is not there counts zero.
+    """
+    many = pc.list_value_length(table[names]).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(table)), many)
+    name = table[names].flatten().to_numpy(zero_copy_only=False)
+    place = name if size else np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    shape = (len(table), size or int(many.max()))
+    sums = table["totals"].flatten()
+    label, n, totals = np.zeros(shape, name.dtype), np.zeros(shape), np.zeros((*shape, len(sums[0])))
+    label[row, place], n[row, place] = name, table["ns"].flatten().to_numpy(zero_copy_only=False)
+    totals[row, place] = numbers(sums)
+    return label, n, totals
+
+
+def fit(rows: np.ndarray, at: np.ndarray, own: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Silhouette over distance (1 − cos) / 2 of each row in its cluster, and its distance from the centre."""
+    each, size, like = np.arange(len(rows)), n[at], products(rows, at, totals)
+    mine, apart = size[each, own], np.zeros(len(rows))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = (mine - like[each, own]) / 2 / (mine - 1)
+        others = np.where(size > 0, (1 - like / size) / 2, np.inf)
+        others[each, own] = np.inf
+        other = others.min(axis=1)
+        most = np.maximum(inside, other)
+        value = np.where((mine > 1) & np.isfinite(other) & (most != 0), (other - inside) / most, 0.0)
+        centres = totals / n[..., None]
+    for x, column in zip(rows.T, centres.transpose(2, 0, 1), strict=True):
+        apart += (x - column[at, own]) ** 2
+    return np.stack([value, np.sqrt(apart)], axis=1)
+
+
+def scores(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """Silhouette, Davies–Bouldin index and their mix per key.
+
+    ``clusters`` has a row per key and cluster: n, total, fit (the sums of its silhouettes and distances).
+    """
+    centre = F.transform("total", lambda x: x / F.col("n"))
+    made = F.struct("cluster", (F.col("fit")[1] / F.col("n")).alias("spread"), centre.alias("centre"))
+    row = clusters.groupBy(*keys).agg((F.sum(F.col("fit")[0]) / F.sum("n")).alias("silhouette"), F.array_sort(F.collect_list(made)).alias("made"))
 
     def distance(a: Column, b: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    own = F.filter("sums", lambda s: s["cluster"] == F.col("cluster"))[0]
-    spread = _meet(unit, table, keys).groupBy(*keys, "cluster").agg(F.avg(distance(F.col("unit"), centre(own))).alias("spread"))
-    spreads = spread.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "spread"))).alias("spreads"))
     # the few clusters of one key are compared inside its row
-    row = table.join(spreads, keys)
     worst = F.transform(
-        "sums",
+        "made",
         lambda a: F.array_max(
-            F.transform(
-                F.filter("sums", lambda b: b["cluster"] != a["cluster"]),
-                lambda b: (F.col("spreads")[a["cluster"]] + F.col("spreads")[b["cluster"]]) / distance(centre(a), centre(b)),
-            )
+            F.transform(F.filter("made", lambda b: b["cluster"] != a["cluster"]), lambda b: (a["spread"] + b["spread"]) / distance(a["centre"], b["centre"]))
         ),
     )
-    mean = F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / F.size("sums")
-    return row.select(*keys, mean.alias("davies_bouldin"), F.size("sums").alias("clusters"))
+    mean = F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / F.size("made")
+    both = row.select(*keys, "silhouette", mean.alias("davies_bouldin"), F.size("made").alias("clusters"))
+    combined = SILHOUETTE_WEIGHT * F.col("silhouette") + DB_WEIGHT / (1 + F.col("davies_bouldin"))
+    return both.withColumn("combined", combined)
 
 
 def quality(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    both = silhouette(labelled, keys).join(davies_bouldin(labelled, keys), keys)
-    combined = SILHOUETTE_WEIGHT * F.col("silhouette") + DB_WEIGHT / (1 + F.col("davies_bouldin"))
-    return both.withColumn("combined", combined)
+    """Silhouette, Davies–Bouldin index, clusters and combined score per key of vectors with their cluster."""
+    unit = labelled.select(*keys, F.col("cluster").cast("long").alias("cluster"), normalise(F.col("embedding")).alias("unit"), _block().alias("_block"))
+    sums = vector_sums(unit, [*keys, "cluster"])
+
+    def work(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names, n, totals = tabled(table, "clusters")
+        own = ((names[at] == rows["cluster"].to_numpy()[:, None]) & (n[at] > 0)).argmax(axis=1)
+        of, slot, count, total = slot_sums(fit(numbers(rows["unit"]), at, own, n, totals), own[:, None], at, n.shape[1])
+        columns = [*[table[c].take(pa.array(of)) for c in keys], pa.array(names[of, slot]), lists(total), pa.array(count)]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "cluster", "total", "n"])
+
+    kinds = ", ".join(f"`{c}` {unit.schema[c].dataType.simpleString()}" for c in keys)
+    parts = beside(unit, cluster_tables(sums, keys), keys, work, f"{kinds}, cluster long, total array<double>, n long")
+    fits = added(parts, [*keys, "cluster"]).select(*keys, "cluster", F.col("total").alias("fit"))
+    return scores(sums.join(fits, [*keys, "cluster"]), keys)
 
 
 def best_count(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,22 +242,102 @@ def best_count(scores: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.when(back, PREFERRED_K).otherwise(F.col("k")).cast("long").alias("k"), "score")
 
 
+def first_of(at: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """The first row of every place in order."""
+    by = np.lexsort((*order[::-1], at))
+    return by[np.unique(at[by], return_index=True)[1]]
+
+
 def _seeds(units: DataFrame) -> DataFrame:
     """Per call its first vector, then again and again the one least like those chosen."""
-    chosen = units.groupBy("call_id").agg(F.array(F.min_by("unit", "vec_id")).alias("seeds"))
+
+    def work(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        unit = numbers(rows["unit"])
+        near = products(unit, at, numbers(table["seeds"], len(table["seeds"][0]), unit.shape[1])).max(axis=1)
+        first = first_of(at, near, rows["vec_id"].to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [rows["call_id"].take(pa.array(first)), pa.array(near[first]), rows["vec_id"].take(pa.array(first)), lists(unit[first])], ["call_id", "near", "vec_id", "unit"]
+        )
+
+    chosen = durable(units.groupBy("call_id").agg(F.array(F.min_by("unit", "vec_id")).alias("seeds")))
     for _ in range(max(COUNTS) - 1):
-        near = F.array_max(F.transform("seeds", lambda c: dot(c, F.col("unit"))))
-        far = _meet(units, chosen, ["call_id"]).groupBy("call_id").agg(F.min_by("unit", F.struct(near, "vec_id")).alias("_next"))
+        least = beside(units, chosen, ["call_id"], work, "call_id long, near double, vec_id long, unit array<double>")
+        far = least.groupBy("call_id").agg(F.min_by("unit", F.struct("near", "vec_id")).alias("_next"))
         chosen = durable(chosen.join(far, "call_id").select("call_id", F.array_append("seeds", F.col("_next")).alias("seeds")))
     return chosen
 
 
-def _assign(units: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nearest centre of each vector, for every count tried."""
-    like = F.transform("centres", lambda c: dot(c, F.col("unit")))
-    return _meet(units, centres, ["call_id"]).withColumn("_like", like).withColumn(
-        "cluster", (F.array_position("_like", F.array_max("_like")) - 1).cast("int")
-    ).drop("_like")
+def _nearest(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> np.ndarray:
+    """Slot of the nearest centre of each vector, for every count tried."""
+    unit = numbers(rows["unit"])
+    like = products(unit, at, numbers(table["centres"], ALL_SLOTS, unit.shape[1]))
+    return np.stack([first + like[:, first : first + k].argmax(axis=1) for k, first in SLOTS], axis=1)
+
+
+def clusters_of(units: DataFrame, centres: DataFrame, nearest: Callable, value: str = "unit") -> DataFrame:
+    """call_id, slot, total and n: sums of the vectors that are nearest to each centre."""
+
+    def work(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        of, slot, count, total = slot_sums(numbers(rows[value]), nearest(rows, at, table), at, ALL_SLOTS)
+        yield pa.RecordBatch.from_arrays([table["call_id"].take(pa.array(of)), pa.array(slot, pa.int32()), lists(total), pa.array(count)], ["call_id", "slot", "total", "n"])
+
+    return added(beside(units, centres, ["call_id"], work, "call_id long, slot int, total array<double>, n long"), ["call_id", "slot"])
+
+
+def name_speakers(units: DataFrame, centres: DataFrame, nearest: Callable) -> DataFrame:
+    """call_id, vec_id, speaker_no and settled: each vector in its cluster of the best count of its call.
+
+    ``centres`` has call_id, centres and settled, a flag for every count.
+    """
+    sums = durable(clusters_of(units, centres, nearest))
+    tables = cluster_tables(sums, ["call_id"], "slot")
+    of_count = F.coalesce(*[F.when(F.col("slot") < first + k, F.lit(k)) for k, first in SLOTS]).alias("k")
+
+    def fits(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        slots, unit = nearest(rows, at, table), numbers(rows["unit"])
+        _, n, totals = tabled(table, "slots", ALL_SLOTS)
+        for i, (k, first) in enumerate(SLOTS):
+            own = slots[:, i] - first
+            values = fit(unit, at, own, n[:, first : first + k], totals[:, first : first + k])
+            of, slot, count, total = slot_sums(values, own[:, None], at, k)
+            yield pa.RecordBatch.from_arrays(
+                [table["call_id"].take(pa.array(of)), pa.array(first + slot, pa.int32()), lists(total), pa.array(count)], ["call_id", "slot", "total", "n"]
+            )
+
+    parts = beside(units, centres.join(tables, "call_id"), ["call_id"], fits, "call_id long, slot int, total array<double>, n long")
+    of_slot = added(parts, ["call_id", "slot"]).select("call_id", "slot", F.col("total").alias("fit"))
+    judged = scores(sums.join(of_slot, ["call_id", "slot"]).select("call_id", of_count, F.col("slot").alias("cluster"), "total", "n", "fit"), ["call_id", "k"])
+    sizes = sums.where(F.col("slot") < COUNTS[0]).groupBy("call_id").agg(F.sum("n").alias("size"))
+    tried = judged.join(sizes, "call_id").where("clusters = k AND k < size AND size >= 4")
+    best = best_count(tried.withColumnRenamed("combined", "score"), ["call_id"]).select("call_id", F.col("k").alias("_best"))
+    count = F.when(F.col("size") < 2, 1).when(F.col("size") < 4, 2).otherwise(F.coalesce("_best", F.lit(2)))
+    # a call of one vector is read from its first trial, where it is alone in a cluster
+    trial = (F.greatest(count, F.lit(COUNTS[0])) - COUNTS[0]).cast("int").alias("trial")
+    used = sums.groupBy("call_id").agg(F.collect_set("slot").alias("used"))
+    chosen = sizes.join(best, "call_id", "left").select("call_id", trial).join(used, "call_id").join(centres, "call_id")
+
+    def names(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        trial = table["trial"].to_numpy()[at]
+        slot = nearest(rows, at, table)[np.arange(len(rows)), trial]
+        used = np.zeros((len(table), ALL_SLOTS), int)
+        used[np.repeat(np.arange(len(table)), pc.list_value_length(table["used"])), table["used"].flatten()] = 1
+        before = np.concatenate([np.zeros((len(table), 1), int), used.cumsum(axis=1)], axis=1)
+        number = before[at, slot] - before[at, np.array([first for _, first in SLOTS])[trial]]
+        settled = numbers(table["settled"], len(COUNTS))[at, trial] > 0
+        yield pa.RecordBatch.from_arrays([rows["call_id"], rows["vec_id"], pa.array(number), pa.array(settled)], ["call_id", "vec_id", "speaker_no", "settled"])
+
+    return beside(units, chosen, ["call_id"], names, "call_id long, vec_id long, speaker_no long, settled boolean")
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """call_id, vec_id, unit and _block of vectors that belong to a call."""
+    kept = vectors.where("call_id IS NOT NULL").select(F.col("call_id").cast("long").alias("call_id"), F.col("vec_id").cast("long").alias("vec_id"), normalise(F.col("embedding")).alias("unit"))
+    return durable(kept.withColumn("_block", _block()))
+
+
+def like_given(named: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Ids in the types they were given in."""
+    return named.withColumns({c: F.col(c).cast(vectors.schema[c].dataType) for c in ("call_id", "vec_id")})
 
 
 def cluster_calls(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -162,21 +347,11 @@ def cluster_calls(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     with the best quality wins. A call of one vector has one speaker, of fewer
     than four two. Speakers are numbered from zero without gaps.
     """
-    units = durable(vectors.select("call_id", "vec_id", "embedding", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block()))
-    sizes = units.groupBy("call_id").agg(F.count(F.lit(1)).alias("size"))
-    seeds = _seeds(units).withColumn("k", F.explode(F.array(*map(F.lit, COUNTS))))
-    centres = seeds.select("call_id", "k", F.slice("seeds", F.lit(1), F.col("k")).alias("centres"))
+    units = unit_vectors(vectors)
+    centres = _seeds(units).select("call_id", F.concat(*[F.slice("seeds", 1, k) for k in COUNTS]).alias("centres"))
     for _ in range(rounds):
-        sums = vector_sums(_assign(units, centres), ["call_id", "k", "cluster"])
-        moved = sums.groupBy("call_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("cluster", normalise(F.col("total"))))).alias("_moved"))
+        moved = by_slot(clusters_of(units, centres, _nearest), normalise(F.col("total")), "_moved")
         kept = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_moved", i), c))  # a centre without vectors stays
-        centres = durable(centres.join(moved, ["call_id", "k"]).select("call_id", "k", kept.alias("centres")))
-    labelled = durable(_assign(units, centres).select("call_id", "k", "vec_id", "embedding", "cluster"))
-    tried = quality(labelled, ["call_id", "k"]).join(sizes, "call_id").where("clusters = k AND k < size AND size >= 4")
-    best = best_count(tried.withColumnRenamed("combined", "score"), ["call_id"]).select("call_id", F.col("k").alias("_best"))
-    count = F.when(F.col("size") < 2, 1).when(F.col("size") < 4, 2).otherwise(F.coalesce("_best", F.lit(2)))
-    counts = sizes.join(best, "call_id", "left").select("call_id", count.cast("int").alias("_count"))
-    # a call of one vector is read from its first trial, where it is alone in a cluster
-    chosen = labelled.join(counts.withColumn("k", F.greatest("_count", F.lit(COUNTS[0]))), ["call_id", "k"])
-    names = chosen.select("call_id", "cluster").distinct().withColumn("speaker_no", F.dense_rank().over(W.partitionBy("call_id").orderBy("cluster")) - 1)
-    return chosen.join(names, ["call_id", "cluster"]).select("call_id", "vec_id", F.col("speaker_no").cast("long").alias("speaker_no"))
+        centres = durable(centres.join(moved, "call_id").select("call_id", kept.alias("centres")))
+    settled = F.array(*[F.lit(True) for _ in COUNTS]).alias("settled")
+    return like_given(name_speakers(units, centres.select("*", settled), _nearest), vectors).drop("settled")

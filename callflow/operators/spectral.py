@@ -8,7 +8,8 @@ matrix Bᵀ·B, a sum over vectors whose size is that of a vector squared. Each
 vector then has its place in the embedding by itself, and k-means runs there.
 
 Vectors of a call are dealt over blocks in every step; what meets per call is
-one row of sums, of the small matrix, or of centres.
+one row of sums, of the small matrix, or of centres. The rounds of k-means move
+the places alone, for all counts at once.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callflow.operators.speakers import COUNTS, _block, _meet, best_count, dot, normalise, quality, vector_sums
+from callflow.operators.speakers import ALL_SLOTS, COUNTS, SLOTS, beside, by_slot, clusters_of, first_of, like_given, lists, name_speakers, numbers, products, unit_vectors, vector_sums
 from callflow.session import durable
 
 #: Rounds of k-means at most; ``settled`` tells the calls that stopped moving before.
@@ -34,29 +34,21 @@ RANK = 1e-10
 STILL = 1e-9
 
 
-def _outer_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bᵀ·B of every (call, block), which arrive in order; memory is one small matrix."""
-    current, total = None, None
+def _weighed(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """f of each vector, without its 1/√2, and its degree."""
+    unit = numbers(rows["unit"])
+    degree = (table["n"].to_numpy()[at] + products(unit, at, numbers(table["total"], 1, unit.shape[1]))[:, 0]) / 2
+    return np.concatenate([np.ones((len(unit), 1)), unit], axis=1), degree
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([current[0]], pa.int64()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["call_id", "gram"])
 
-    for batch in batches:
-        calls, blocks = batch["call_id"].to_numpy(), batch["_block"].to_numpy()
-        width = len(batch["row"][0]) if len(batch) else 0
-        rows = batch["row"].flatten().to_numpy().reshape(len(batch), width)
-        ends = [*(np.flatnonzero((np.diff(calls) != 0) | (np.diff(blocks) != 0)) + 1).tolist(), len(batch)]
-        begin = 0
-        for end in ends if len(batch) else []:
-            key, part = (int(calls[begin]), int(blocks[begin])), rows[begin:end]
-            if key != current:
-                if current is not None:
-                    yield out()
-                current, total = key, np.zeros((width, width))
-            total = total + part.T @ part
-            begin = end
-    if current is not None:
-        yield out()
+def _outer_sums(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Bᵀ·B of the vectors of a call in a batch; memory is one small matrix."""
+    f, degree = _weighed(rows, at, table)
+    b = f / np.sqrt(2 * degree)[:, None]
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        gram = b[begin:end].T @ b[begin:end]
+        yield pa.RecordBatch.from_arrays([table["call_id"].slice(int(at[begin]), 1), lists(gram.reshape(1, -1))], ["call_id", "gram"])
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,68 +66,99 @@ def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["call_id"], pa.array(bases, pa.list_(pa.list_(pa.float64())))], ["call_id", "basis"])
 
 
+def _places(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    f, degree = _weighed(rows, at, table)
+    # 1/√2 of f and of b cancel against the degree's own
+    place = products(f, at, numbers(table["basis"], max(COUNTS), f.shape[1])) / (np.sqrt(2.0) * degree)[:, None]
+    yield pa.RecordBatch.from_arrays([rows["call_id"], rows["vec_id"], rows["unit"], rows["_block"], lists(place)], ["call_id", "vec_id", "unit", "_block", "place"])
+
+
 def spectral_embedding(vectors: DataFrame) -> DataFrame:
-    """call_id, vec_id, embedding, unit, _block and ``place``: the first eigenvectors of the
+    """call_id, vec_id, unit, _block and ``place``: the first eigenvectors of the
     normalised affinity, over the root of the degree, as far as any count of speakers needs.
 
     Directions without an eigenvalue (fewer vectors than directions) are zero.
     A vector of zeros has an affinity of a half to itself.
     """
-    units = durable(vectors.select("call_id", "vec_id", "embedding", normalise(F.col("embedding")).alias("unit")).withColumn("_block", _block()))
-    sums = vector_sums(units, ["call_id"])
-    degree = (F.col("n") + dot(F.col("unit"), F.col("total"))) / 2
-    weighed = _meet(units, sums, ["call_id"]).withColumn("degree", degree).drop("total", "n")
-    row = F.transform(F.concat(F.array(F.lit(1.0)), F.col("unit")), lambda x: x / F.sqrt(2 * F.col("degree")))
-    sorted_rows = weighed.select("call_id", "_block", row.alias("row")).repartition("call_id", "_block").sortWithinPartitions("call_id", "_block")
-    parts = sorted_rows.mapInArrow(_outer_sums, "call_id long, gram array<double>")
+    units = unit_vectors(vectors)
+    sums = durable(vector_sums(units, ["call_id"]))
+    parts = beside(units, sums, ["call_id"], _outer_sums, "call_id long, gram array<double>")
     grams = parts.groupBy("call_id").agg(Summarizer.sum(array_to_vector("gram")).alias("_sum")).select("call_id", vector_to_array("_sum").alias("gram"))
     bases = durable(grams.mapInArrow(_leading, "call_id long, basis array<array<double>>"))
-    f = F.concat(F.array(F.lit(1.0)), F.col("unit"))
-    # 1/√2 of f and of b cancel against the degree's own
-    place = F.transform("basis", lambda w: dot(f, w) / (F.sqrt(F.lit(2.0)) * F.col("degree")))
-    return _meet(weighed, bases, ["call_id"]).select("call_id", "vec_id", "embedding", "unit", "_block", place.alias("place"))
+    return beside(units, sums.join(bases, "call_id"), ["call_id"], _places, "call_id long, vec_id long, unit array<double>, _block int, place array<double>")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def _apart(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> np.ndarray:
+    """Squared distance of each place from every centre, in as many directions as its count has speakers."""
+    place, centres = numbers(rows["place"], max(COUNTS)), numbers(table["centres"], ALL_SLOTS, max(COUNTS))
+    out = np.zeros((len(place), ALL_SLOTS))
+    for k, first in SLOTS:
+        for i in range(k):
+            out[:, first : first + k] += (centres[:, first : first + k, i][at] - place[:, i, None]) ** 2
+    return out
 
 
-def _seeds(points: DataFrame) -> DataFrame:
-    """Per (call, k) the place of its first vector, then again and again the one farthest from those chosen."""
-    keys = ["call_id", "k"]
-    chosen = points.groupBy(*keys).agg(F.array(F.min_by("place", "vec_id")).alias("centres"))
-    for _ in range(max(COUNTS) - 1):
-        near = F.array_min(F.transform("centres", lambda c: _apart(c, F.col("place"))))
-        far = _meet(points, chosen, keys).groupBy(*keys).agg(F.min_by("place", F.struct((-near).alias("near"), F.col("vec_id"))).alias("_next"))
-        more = F.size("centres") < F.col("k")
-        chosen = durable(chosen.join(far, keys).select(*keys, F.when(more, F.array_append("centres", F.col("_next"))).otherwise(F.col("centres")).alias("centres")))
-    return chosen
+def _nearest(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> np.ndarray:
+    """Slot of the nearest centre of each place, for every count tried."""
+    far = _apart(rows, at, table)
+    return np.stack([first + far[:, first : first + k].argmin(axis=1) for k, first in SLOTS], axis=1)
 
 
-def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
-    far = F.transform("centres", lambda c: _apart(c, F.col("place")))
-    return _meet(points, centres, ["call_id", "k"]).withColumn("_far", far).withColumn("cluster", (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far")
+def _seeds(points: DataFrame) -> DataFrame:
+    """Per call and count the place of its first vector, then again and again the one farthest from those chosen."""
+
+    def farthest(chosen: int):
+        def work(rows: pa.RecordBatch, at: np.ndarray, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            apart, place, ids = _apart(rows, at, table), numbers(rows["place"], max(COUNTS)), rows["vec_id"].to_numpy()
+            for k, first in SLOTS:
+                if chosen >= k:
+                    continue
+                near = apart[:, first : first + chosen].min(axis=1)
+                best = first_of(at, -near, ids)
+                slot = np.full(len(best), first + chosen)
+                yield pa.RecordBatch.from_arrays(
+                    [rows["call_id"].take(pa.array(best)), pa.array(slot, pa.int32()), pa.array(-near[best]), rows["vec_id"].take(pa.array(best)), lists(place[best])],
+                    ["call_id", "slot", "near", "vec_id", "place"],
+                )
+
+        return work
+
+    centres = points.groupBy("call_id").agg(F.array_repeat(F.min_by("place", "vec_id"), ALL_SLOTS).alias("centres"))
+    for chosen in range(1, max(COUNTS)):
+        least = beside(points, durable(centres), ["call_id"], farthest(chosen), "call_id long, slot int, near double, vec_id long, place array<double>")
+        found = by_slot(least.groupBy("call_id", "slot").agg(F.min_by("place", F.struct("near", "vec_id")).alias("place")), F.col("place"), "_next")
+        turned = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_next", i), c))
+        centres = durable(centres.join(found, "call_id").select("call_id", turned.alias("centres")))
+    return centres
 
 
 def settle(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """call_id, k, centres, settled: k-means per (call, k) over ``place`` until no centre moves.
+    """call_id, centres and settled (a flag for every count): k-means over ``place`` until no centre moves.
 
-    Only (call, k) whose centres still move take part in a further round; after
-    ``rounds`` the others keep their last centres with ``settled`` false.
+    A count whose centres have stopped keeps them; only calls with a count that still
+    moves take part in a further round. After ``rounds`` what moves keeps its last
+    centres with ``settled`` false.
     """
-    keys = ["call_id", "k"]
-    moving = _seeds(points).withColumn("settled", F.lit(False))
+    moving = _seeds(points).withColumn("settled", F.array(*[F.lit(False) for _ in COUNTS]))
     done = None
+
+    def apart(a, b, k):
+        return F.aggregate(F.slice(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), 1, k), F.lit(0.0), lambda s, x: s + x)
+
     for _ in range(rounds):
-        means = _assign(points, moving).groupBy(*keys, "cluster").agg(*[F.avg(F.get("place", F.lit(i))).alias(f"_{i}") for i in range(max(COUNTS))])
-        mean = F.slice(F.array(*[F.col(f"_{i}") for i in range(max(COUNTS))]), F.lit(1), F.col("k"))
-        moved = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cluster"), mean.alias("mean")))).alias("_moved"))
-        new = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_moved", i), c))  # a centre without vectors stays
-        far = F.array_max(F.zip_with(F.col("centres"), new, lambda a, b: _apart(a, b)))
-        turned = durable(moving.join(moved, keys).select(*keys, new.alias("centres"), (far <= STILL * STILL).alias("settled")))
-        rest = turned.where("settled")
+        mean = F.transform("total", lambda x: x / F.col("n"))
+        moved = by_slot(clusters_of(points, moving, _nearest, "place"), mean, "_moved")
+        centres, settled = [], []
+        for i, (k, first) in enumerate(SLOTS):
+            stays, old = F.col("settled")[i], [F.col("centres")[first + j] for j in range(k)]
+            new = [F.when(stays, c).otherwise(F.coalesce(F.try_element_at("_moved", F.lit(first + j)), c)) for j, c in enumerate(old)]  # a centre without vectors stays
+            centres += new
+            settled.append(stays | (F.greatest(*[apart(a, b, k) for a, b in zip(old, new, strict=True)]) <= STILL * STILL))
+        turned = durable(moving.join(moved, "call_id").select("call_id", F.array(*centres).alias("centres"), F.array(*settled).alias("settled")))
+        all_settled = F.forall("settled", lambda x: x)
+        rest = turned.where(all_settled)
         done = rest if done is None else done.unionByName(rest)
-        moving = turned.where("NOT settled")
+        moving = turned.where(~all_settled)
         if moving.isEmpty():
             break
     return durable(done.unionByName(moving) if done is not None else moving)
@@ -149,15 +172,6 @@ def spectral_speakers(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     has one speaker, of fewer than four two. Speakers are numbered from zero
     without gaps.
     """
-    points = durable(
-        spectral_embedding(vectors).withColumn("k", F.explode(F.array(*map(F.lit, COUNTS)))).withColumn("place", F.slice("place", F.lit(1), F.col("k")))
-    )
-    labelled = durable(_assign(points, settle(points, rounds)).select("call_id", "k", "vec_id", "embedding", "cluster", "settled"))
-    sizes = points.where(F.col("k") == COUNTS[0]).groupBy("call_id").agg(F.count(F.lit(1)).alias("size"))
-    tried = quality(labelled, ["call_id", "k"]).join(sizes, "call_id").where("clusters = k AND k < size AND size >= 4")
-    best = best_count(tried.withColumnRenamed("combined", "score"), ["call_id"]).select("call_id", F.col("k").alias("_best"))
-    count = F.when(F.col("size") < 2, 1).when(F.col("size") < 4, 2).otherwise(F.coalesce("_best", F.lit(2)))
-    counts = sizes.join(best, "call_id", "left").select("call_id", F.greatest(count, F.lit(COUNTS[0])).cast("int").alias("k"))
-    chosen = labelled.join(counts, ["call_id", "k"])
-    names = chosen.select("call_id", "cluster").distinct().withColumn("speaker_no", F.dense_rank().over(W.partitionBy("call_id").orderBy("cluster")) - 1)
-    return chosen.join(names, ["call_id", "cluster"]).select("call_id", "vec_id", F.col("speaker_no").cast("long").alias("speaker_no"), "settled")
+    embedded = durable(spectral_embedding(vectors))
+    points = durable(embedded.select("call_id", "vec_id", "_block", "place"))
+    return like_given(name_speakers(embedded, settle(points, rounds), _nearest), vectors)
