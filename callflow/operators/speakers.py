@@ -39,8 +39,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    # the norm is bound by a transform of its own, or it would be computed anew for every element
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))))[0]
 
 
 def vector_sums(vectors: DataFrame, keys: list[str], vector: str = "unit") -> DataFrame:
@@ -331,8 +331,10 @@ def name_speakers(units: DataFrame, centres: DataFrame, nearest: Callable) -> Da
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """call_id, vec_id, unit and _block of vectors that belong to a call."""
-    kept = vectors.where("call_id IS NOT NULL").select(F.col("call_id").cast("long").alias("call_id"), F.col("vec_id").cast("long").alias("vec_id"), normalise(F.col("embedding")).alias("unit"))
-    return durable(kept.withColumn("_block", _block()))
+    kept = vectors.where("call_id IS NOT NULL").select(F.col("call_id").cast("long").alias("call_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    # few files would be few tasks
+    units = kept.repartition("vec_id").select("call_id", "vec_id", normalise(F.col("embedding")).alias("unit"))
+    return durable(units.withColumn("_block", _block()))
 
 
 def like_given(named: DataFrame, vectors: DataFrame) -> DataFrame:
