@@ -12,11 +12,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callflow.llm.shared import only
@@ -32,7 +34,6 @@ FORBIDDEN = re.compile("|".join(map(re.escape, CONTROL)) + r"|\\")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 TURNS = "conv_id long, turn long, ids array<int>, mask array<boolean>"
-PLACED = "conv_id long, position long, first_token long, ids array<int>, mask array<boolean>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
 
@@ -51,16 +52,26 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("turns", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def assemble(enc: tiktoken.Encoding, role: str, text: str, learn: bool) -> tuple[list[int], np.ndarray]:
-    """Token ids of one turn, and which of them the loss covers."""
-    start, says, done = (enc.max_token_value + 1 + i for i in range(len(MARKS)))
-    segments = [[start], enc.encode_ordinary(escape(role)), [says], enc.encode_ordinary(escape(text)), [done]]
-    ends = np.cumsum([len(s) for s in segments])
+@lru_cache(maxsize=2)
+def vocabulary(ranks: bytes) -> pa.Array:
+    """The bytes of each id, null where it has none; the marks, which take the last ids, are empty."""
+    enc = encoding(ranks)
+    known = {enc.encode_single_token(piece): piece for piece in enc.token_byte_values()}
+    return pa.array([*map(known.get, range(enc.max_token_value + 1)), *[b""] * len(MARKS)], pa.binary())
+
+
+def assemble(enc: tiktoken.Encoding, roles: list[str], texts: list[str], learn: tuple[str, ...]) -> tuple[pa.ListArray, pa.ListArray]:
+    """Token ids of each turn, and which of them the loss covers."""
+    start, says, done = ([enc.max_token_value + 1 + i] for i in range(len(MARKS)))
+    segments = [s for role, text in zip(roles, texts, strict=True) for s in (start, enc.encode_ordinary(escape(role)), says, enc.encode_ordinary(escape(text)), done)]
+    ends = np.cumsum([0, *map(len, segments)])
+    learnt = np.array([role in learn for role in roles], bool)
     steps = np.zeros(ends[-1] + 1, np.int8)
-    if learn:
-        steps[ends[2]] += 1
-        steps[ends[3]] -= 1
-    return [i for s in segments for i in s], np.cumsum(steps[:-1]) > 0
+    steps[ends[3::5][learnt]] += 1
+    steps[ends[4::5][learnt]] -= 1
+    ids = np.fromiter(chain.from_iterable(segments), np.int32, ends[-1])
+    turns = pa.array(ends[::5], pa.int32())
+    return pa.ListArray.from_arrays(turns, ids), pa.ListArray.from_arrays(turns, np.cumsum(steps[:-1], dtype=np.int8) > 0)
 
 
 def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -74,7 +85,8 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, learn: tu
     Null text and null role: empty. Null conv_id: a conversation of its own.
     Repeated rows are turns of their own. Empty table: no rows. Other columns
     are ignored. A turn is encoded where it is read; only the running position
-    needs the turns of a conversation in order, and streams over them.
+    needs the turns of a conversation in order. It is a window, so the rows stay
+    dealt by ``conv_id`` and ``read_back`` needs no second shuffle.
     """
     with open(tokenizer, "rb") as file:
         ranks = turns.sparkSession.sparkContext.broadcast(file.read())
@@ -82,31 +94,15 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, learn: tu
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value)
         for batch in batches:
-            made = [assemble(enc, r, t, r in learn) for r, t in zip(batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], batch["turn"], pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.bool_()))],
-                ["conv_id", "turn", "ids", "mask"],
-            )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, position, first = object(), 0, 0
-        for batch in batches:
-            positions, firsts = [], []
-            for c, n in zip(batch["conv_id"].to_pylist(), batch["ids"].value_lengths().to_pylist(), strict=True):
-                if c != conv:
-                    conv, position, first = c, 0, 0
-                positions.append(position)
-                firsts.append(first)
-                position, first = position + 1, first + n
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], pa.array(positions, pa.int64()), pa.array(firsts, pa.int64()), batch["ids"], batch["mask"]],
-                ["conv_id", "position", "first_token", "ids", "mask"],
-            )
+            ids, mask = assemble(enc, batch["role"].to_pylist(), batch["text"].to_pylist(), learn)
+            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turn"], ids, mask], ["conv_id", "turn", "ids", "mask"])
 
     conv_id, turn, role, text = only(turns, "conv_id", "turn", "role", "text")
     rows = turns.select(conv_id.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), role, text).fillna("", ["role", "text"])
-    encoded = rows.mapInArrow(encode, TURNS)
-    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "ids").mapInArrow(place, PLACED)
+    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "ids").rowsBetween(Window.unboundedPreceding, -1)
+    position = F.count(F.lit(1)).over(before).alias("position")
+    first = F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)).alias("first_token")
+    return rows.mapInArrow(encode, TURNS).select("conv_id", position, first, "ids", "mask")
 
 
 def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -124,11 +120,10 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks.value)
-        start, says, done = (enc.max_token_value + 1 + i for i in range(len(MARKS)))
+        words = vocabulary(ranks.value)
+        start, says, done = (len(words) - len(MARKS) + i for i in range(len(MARKS)))
         marks = sum(map(len, MARKS))
         conv, state = object(), None
-        decode = lambda ids: enc.decode_bytes(ids).decode()
 
         def ended() -> list:
             return [] if state is None else [(conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])]
@@ -136,23 +131,35 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         def rows(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(schema.types)], schema=schema)
 
+        def strings(ids: np.ndarray, ends: np.ndarray) -> list[str]:
+            """What each stretch of ids up to the next end says."""
+            cuts = pa.array(np.concatenate([[0], ends]), pa.int32())
+            return pc.binary_join(pa.ListArray.from_arrays(cuts, words.take(pa.array(ids))), b"").cast(pa.string()).to_pylist()
+
         for batch in batches:
             found = []
-            for c, ids, mask in zip(batch["conv_id"].to_pylist(), batch["ids"].to_pylist(), batch["mask"].to_pylist(), strict=True):
+            ids, mask = batch["ids"].flatten().to_numpy(), batch["mask"].flatten().to_numpy(zero_copy_only=False)
+            lengths = batch["ids"].value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            starts, splits, dones = (np.flatnonzero(ids == mark) for mark in (start, says, done))
+            if not np.array_equal(starts, ends - lengths) or not np.array_equal(dones, ends - 1):
+                raise ValueError("a turn is not enclosed by its marks")
+            if not np.array_equal(np.searchsorted(ends, splits, "right"), np.arange(len(ends))):
+                raise ValueError("a turn has not one role and one text")
+            if not batch["mask"].value_lengths().equals(batch["ids"].value_lengths()) or (ids[mask] >= start).any():
+                raise ValueError("a mask is not as long as its turn, or covers a mark")
+            said = strings(ids, np.stack([splits, ends], 1).ravel())
+            learnt = strings(ids[mask], np.cumsum(mask)[ends - 1])
+            for c, role, text, learn, n in zip(batch["conv_id"].to_pylist(), said[::2], said[1::2], map(unescape, learnt), lengths.tolist(), strict=True):
                 if state is None or c != conv:
                     found += ended()
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                at = ids.index(says)
-                if ids[0] != start or ids[-1] != done:
-                    raise ValueError("a turn is not enclosed by its marks")
-                role, text = decode(ids[1:at]), decode(ids[at + 1 : -1])
-                learnt = unescape(decode([i for i, m in zip(ids, mask, strict=True) if m]))
                 state[0] += 1
                 state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                state[2] += len(learnt)
-                state[3].update(learnt.encode())
+                state[2] += len(learn)
+                state[3].update(learn.encode())
                 state[4] += marks + len(role) + len(text)
-                state[5] += len(ids)
+                state[5] += n
             yield rows(found)
         yield rows(ended())
 

@@ -90,6 +90,48 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_turns_are_shuffled_once(spark):
+    df = spark.createDataFrame([r[:4] for r in CONVERSATIONS], "conv_id long, turn long, role string, text string")
+    plan = chat.read_back(chat.format_conversations(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1
+
+
+def test_chat_batch_is_assembled_turn_by_turn():
+    with open(chat.TOKENIZER, "rb") as file:
+        enc = chat.encoding(file.read())
+    start, says, done = (enc.max_token_value + 1 + i for i in range(3))
+    roles, texts = ["user", "assistant", "", "assistant", "assistant"], ["hi </s>", "", "\\ x", "né 𝒳 <|done|>", "a" * 5_000]
+    ids, mask = chat.assemble(enc, roles, texts, ("assistant",))
+    for role, text, i, m in zip(roles, texts, ids.to_pylist(), mask.to_pylist(), strict=True):
+        who, said = (enc.encode_ordinary(chat.escape(s)) for s in (role, text))
+        assert i == [start, *who, says, *said, done]
+        assert m == [False] * (len(who) + 2) + [role == "assistant"] * len(said) + [False]
+    assert [len(a) for a in chat.assemble(enc, [], [], ("assistant",))] == [0, 0]
+
+
+def test_chat_broken_turns_are_refused(spark, monkeypatch):
+    df = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string"))
+    functions, mapped = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: functions.append(f) or mapped(self, f, schema))
+    chat.read_back(df)
+    whole = [r.asDict() for r in df.orderBy("position").collect()]
+    start, says = whole[1]["ids"][0], next(i for i in whole[1]["ids"][1:] if i > whole[1]["ids"][0])
+
+    def digests(ids, mask):
+        rows = [whole[0], whole[1] | {"ids": ids, "mask": mask}]
+        fields = pa.schema([("conv_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))])
+        return [r for b in functions[0](iter([pa.RecordBatch.from_pylist(rows, fields)])) for r in b.to_pylist()]
+
+    ids, mask = whole[1]["ids"], whole[1]["mask"]
+    assert digests(ids, mask) == [r.asDict() for r in chat.read_back(df).collect()]
+    for broken in (ids[1:], ids[:-1], [i for i in ids if i != says], [start, says, *ids[1:]], []):
+        with pytest.raises(ValueError):
+            digests(broken, [False] * len(broken))
+    for covered in ([True] * len(ids), mask[:-1]):
+        with pytest.raises(ValueError):
+            digests(ids, covered)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|turn|>", "<\\|turn|>", "[INST][/INST]</s>", "<<SYS>>\\<</SYS>>", "<<s>s>"])
 def test_escape(text):
     escaped = chat.escape(text)
